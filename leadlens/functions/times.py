@@ -32,7 +32,7 @@ def to_storage(ts: Column) -> Column:
 
 
 def to_iso(text: Column) -> Column:
-    """ISO form of a stored timestamp; the fraction only when it is not zero."""
-    ts = parse_utc(text)
+    """ISO form of a stored timestamp as written; the fraction only when it is not zero."""
+    ts = parse_naive(text)
     whole = F.date_format(ts, LAYOUTS[3])
     return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, LAYOUTS[2]))
