@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
-from leadlens.functions.words import has_any, literals, truthy_text
+from leadlens.functions.words import bind, has_any, literals, truthy_text
 
 _SPACE = " \t\n\r\f\x0b"
 
@@ -20,9 +20,8 @@ def netloc(url: Column) -> Column:
 
 def canonical_domain(value: Column) -> Column:
     """Host of a URL or bare domain: lower case, port and one leading ``www.`` dropped; NULL when empty."""
-    text = F.btrim(value, F.lit(_SPACE))
-    url = F.when(F.contains(text, F.lit("://")), text).otherwise(F.concat(F.lit("http://"), text))
-    host = F.lower(F.substring_index(netloc(url), ":", 1))
+    whole = F.regexp_replace(F.btrim(value, F.lit(_SPACE)), r"^(?!.*://)", "http://")
+    host = F.lower(F.substring_index(netloc(whole), ":", 1))
     return truthy_text(F.regexp_replace(host, r"^www\.", ""))
 
 
@@ -32,6 +31,11 @@ def registrable_of_host(host: Column, suffixes: Sequence[str] = lx.MULTI_SUFFIXE
     return F.when(last_two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(last_two)
 
 
+def registrable_of_canonical(host: Column) -> Column:
+    """Registrable domain of an already canonical host (a further leading ``www.`` is dropped, as above)."""
+    return registrable_of_host(truthy_text(F.regexp_replace(host, r"^www\.", "")))
+
+
 def registrable_domain(value: Column) -> Column:
     return registrable_of_host(canonical_domain(value))
 
@@ -91,12 +95,12 @@ def ct_keyword_match(host: Column) -> Column:
 
 def has_harvest_tld(host: Column) -> Column:
     name = clean_host(F.lower(host))
-    return F.exists(literals(lx.HARVEST_TLDS), lambda t: F.endswith(name, t))
+    return bind(name, lambda n: F.exists(literals(lx.HARVEST_TLDS), lambda m: F.endswith(n, m)))
 
 
 def has_subdomain_signal(host: Column) -> Column:
     name = clean_host(F.lower(host))
-    return F.exists(literals(lx.SUBDOMAIN_SIGNALS), lambda p: F.startswith(name, p))
+    return bind(name, lambda n: F.exists(literals(lx.SUBDOMAIN_SIGNALS), lambda m: F.startswith(n, m)))
 
 
 def strip_subdomain_signal(host: Column) -> Column:

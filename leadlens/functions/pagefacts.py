@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
 from leadlens.functions.html import title
-from leadlens.functions.words import first_label, has_any, literals
+from leadlens.functions.words import bind, first_label, has_any, literals
 
 
 def detect_models(text: Column) -> Column:
     """Canonical model labels: plain tokens first, then short tokens that need non-letter neighbours."""
-    blob = F.lower(F.coalesce(text, F.lit("")))
     pairs = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(v).alias("label")) for t, v in lx.PAGE_MODEL_TOKENS])
-    plain = F.transform(F.filter(pairs, lambda p: F.contains(blob, p["token"])), lambda p: p["label"])
-    bounded = [
-        F.when(blob.rlike(rf"(?<![a-z]){token}(?![a-z])"), F.lit(label)) for token, label in lx.PAGE_MODEL_BOUNDED
-    ]
-    return F.array_distinct(F.concat(plain, F.array_compact(F.array(*bounded))))
+
+    def scan(blob: Column) -> Column:
+        plain = F.transform(F.filter(pairs, lambda p: F.contains(blob, p["token"])), lambda p: p["label"])
+        bounded = [
+            F.when(blob.rlike(rf"(?<![a-z]){token}(?![a-z])"), F.lit(label)) for token, label in lx.PAGE_MODEL_BOUNDED
+        ]
+        return F.array_distinct(F.concat(plain, F.array_compact(F.array(*bounded))))
+
+    return bind(F.lower(F.coalesce(text, F.lit(""))), scan)
 
 
 def _largest_near_trigger(text: Column, low: Column, pattern: str) -> Column:
@@ -49,10 +52,12 @@ def _largest_near_trigger(text: Column, low: Column, pattern: str) -> Column:
 
 def detect_amount(text: Column) -> Column:
     """Largest free-credit amount: a number in range with an offer word within 40 characters."""
-    body = F.coalesce(text, F.lit(""))
-    low = F.lower(body)
-    found = [_largest_near_trigger(body, low, p) for p in lx.PAGE_AMOUNT_PATTERNS]
-    return F.greatest(*found)
+
+    def scan(body: Column) -> Column:
+        found = [bind(F.lower(body), lambda low, p=p: _largest_near_trigger(body, low, p)) for p in lx.PAGE_AMOUNT_PATTERNS]
+        return F.when(body.rlike(r"\d"), F.greatest(*found))
+
+    return bind(F.coalesce(text, F.lit("")), scan)
 
 
 def detect_engine(page_html: Column, headers: Column | None = None) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
-from leadlens.functions.words import first_label, has_any, hits, literals, truthy_text
+from leadlens.functions.words import bind, first_label, has_any, hits, literals, truthy_text
 
 _NO_WORDS = "array<string>"
+_CARD_STEMS = ("card", "cc", "payment", "карт", "卡")
 CONDITIONS_TYPE = (
     "struct<requires_card:boolean,requires_phone:boolean,new_users_only:boolean,region:string,"
     "risk_flags:array<string>>"
@@ -21,13 +22,16 @@ LABEL_TYPE = (
 
 
 def detect_lang(text: Column) -> Column:
-    """zh on any CJK character, ru when Cyrillic letters outnumber Latin ones, else en."""
+    """zh on any CJK character, ru when Cyrillic letters outnumber Latin ones, else en.
+
+    Letters are only counted in texts that have a Cyrillic one.
+    """
     cyrillic = F.regexp_count(text, F.lit("[Ѐ-ӿ]"))
     latin = F.regexp_count(text, F.lit("[A-Za-z]"))
     return (
         F.when(truthy_text(text).isNull(), "en")
         .when(text.rlike("[一-鿿]"), "zh")
-        .when(cyrillic > latin, "ru")
+        .when(text.rlike("[Ѐ-ӿ]"), F.when(cyrillic > latin, "ru").otherwise("en"))
         .otherwise("en")
     )
 
@@ -39,37 +43,62 @@ def prefilter(text: Column, lex: lx.Lexicon = lx.Lexicon()) -> Column:
     strong English phrase, two weak English hits where a money pattern counts as one.
     """
     body = F.coalesce(text, F.lit(""))
-    low = F.lower(body)
-    zh_first = F.slice(hits(low, lex.zh_strong), 1, 1)
-    zh_weak = hits(low, lex.zh_weak)
-    ru = hits(low, lex.ru)
-    en_strong = hits(low, lex.en_strong)
-    money = F.when(body.rlike(lex.money_pattern), literals([lx.MONEY_TAG])).otherwise(literals([]))
-    en_weak = F.concat(hits(low, lex.en_weak), money)
-    named = (
-        F.when(F.size(zh_first) > 0, zh_first)
-        .when(F.size(zh_weak) >= 2, zh_weak)
-        .when(F.size(ru) > 0, ru)
-        .when(F.size(en_strong) > 0, en_strong)
-        .when(F.size(en_weak) >= 2, en_weak)
-        .otherwise(literals([]))
-    )
-    return F.transform(F.array(named), lambda n: F.struct((F.size(n) > 0).alias("ok"), n.alias("hits")))[0]
 
+    def decide(low: Column) -> Column:
+        first = lambda words: F.slice(hits(low, words), 1, 1)
+        money = F.when(body.rlike(lex.money_pattern), literals([lx.MONEY_TAG])).otherwise(literals([]))
+        weak = F.concat(hits(low, lex.en_weak), money)
+        at_least = lambda words, n: bind(words, lambda h: F.when(F.size(h) >= n, h))
+        return F.coalesce(
+            at_least(first(lex.zh_strong), 1),
+            at_least(hits(low, lex.zh_weak), 2),
+            at_least(hits(low, lex.ru), 1),
+            at_least(hits(low, lex.en_strong), 1),
+            at_least(weak, 2),
+            literals([]),
+        )
+
+    return bind(bind(F.lower(body), decide), lambda n: F.struct((F.size(n) > 0).alias("ok"), n.alias("hits")))
+
+
+def passes_prefilter(text: Column, lex: lx.Lexicon = lx.Lexicon()) -> Column:
+    """The decision of :func:`prefilter` alone: tests stop at the first satisfied tier and no word lists are built."""
+    body = F.coalesce(text, F.lit(""))
+
+    def decide(low: Column) -> Column:
+        money = body.rlike(lex.money_pattern)
+        return (
+            has_any(low, (*lex.zh_strong, *lex.ru, *lex.en_strong))
+            | (F.size(hits(low, lex.zh_weak)) >= 2)
+            | bind(F.size(hits(low, lex.en_weak)), lambda n: (n >= 2) | ((n == 1) & money))
+        )
 
-def amount_text(text: Column, pattern: str) -> Column:
-    found = truthy_text(F.regexp_extract(text, pattern, 1))
-    return F.replace(found, F.lit(","), F.lit(".")).try_cast("double")
+    return bind(F.lower(body), decide)
+
+
+def _number(found: Column) -> Column:
+    return F.replace(truthy_text(found), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def parse_amount(text: Column) -> Column:
-    """First of the three amount forms; a comma is read as a decimal point."""
-    return F.coalesce(*[amount_text(text, p) for p in lx.AMOUNT_PATTERNS])
+    """``struct(amount, currency)``: first of the three amount forms, a comma read as a decimal point.
+
+    The currency is USD for a dollar amount, or for another amount in a text with a dollar word.
+    """
+    dollar, worded, credit = (F.regexp_extract(text, p, 1) for p in lx.AMOUNT_PATTERNS)
+    in_dollars = F.when(F.contains(text, F.lit("$")), _number(dollar))
+    other = F.when(text.rlike(r"\d"), F.coalesce(_number(worded), _number(credit)))
 
+    def pair(usd: Column) -> Column:
+        by_word = bind(
+            other,
+            lambda a: F.struct(
+                a.alias("amount"), F.when(a.isNotNull() & has_any(text, lx.USD_WORDS), "USD").alias("currency")
+            ),
+        )
+        return F.when(usd.isNotNull(), F.struct(usd.alias("amount"), F.lit("USD").alias("currency"))).otherwise(by_word)
 
-def parse_currency(text: Column) -> Column:
-    dollar = text.rlike(lx.AMOUNT_PATTERNS[0])
-    return F.when(dollar | (parse_amount(text).isNotNull() & has_any(text, lx.USD_WORDS)), "USD")
+    return bind(in_dollars, pair)
 
 
 def find_models(text: Column, words=lx.MODEL_KEYWORDS) -> Column:
@@ -77,8 +106,8 @@ def find_models(text: Column, words=lx.MODEL_KEYWORDS) -> Column:
     return hits(F.lower(text), sorted(words))
 
 
-def guess_type(text: Column, lang: Column) -> Column:
-    low = F.lower(text)
+def guess_type(text: Column, low: Column, lang: Column) -> Column:
+    """Offer type; ``low`` is the lower-case text."""
     return (
         F.when((lang == "zh") | has_any(text, lx.RELAY_WORDS), "relay")
         .when(has_any(low, lx.RELEASE_WORDS), "model_release")
@@ -87,8 +116,8 @@ def guess_type(text: Column, lang: Column) -> Column:
     )
 
 
-def guess_topic(text: Column, offer_type: Column) -> Column:
-    promo = offer_type.isin(*lx.FREEBIE_TYPES) | has_any(F.lower(text), lx.FREEBIE_WORDS)
+def guess_topic(low: Column, offer_type: Column) -> Column:
+    promo = offer_type.isin(*lx.FREEBIE_TYPES) | has_any(low, lx.FREEBIE_WORDS)
     return F.when(promo, "freebie").otherwise("ai_service")
 
 
@@ -97,8 +126,7 @@ def is_referral(text: Column, url: Column) -> Column:
     return text.rlike(lx.REFERRAL_PATTERN) | in_url
 
 
-def detect_effort(text: Column, referral: Column) -> Column:
-    low = F.lower(text)
+def detect_effort(low: Column, referral: Column) -> Column:
     return (
         F.when(has_any(low, lx.HARD_WORDS), "hard")
         .when(referral | has_any(low, lx.MEDIUM_WORDS), "medium")
@@ -106,19 +134,19 @@ def detect_effort(text: Column, referral: Column) -> Column:
     )
 
 
-def detect_unit(text: Column, amount: Column, currency: Column) -> Column:
-    low = F.lower(text)
+def detect_unit(low: Column, amount: Column, currency: Column) -> Column:
     out = F.when(F.coalesce(amount, F.lit(0.0)) == 0, F.lit(None)).when(currency == "USD", "usd")
     for unit, pattern in lx.UNIT_PATTERNS:
         out = out.when(low.rlike(pattern), unit)
     return out.when(truthy_text(currency).isNotNull(), "usd").otherwise("credits")
 
 
-def detect_conditions(text: Column, url: Column, referral: Column) -> Column:
+def detect_conditions(low: Column, url: Column, referral: Column) -> Column:
     """Three-state flags (NULL = not stated), region tag and risk flags in vocabulary order."""
-    low = F.lower(text)
     blob = F.concat(low, F.when(truthy_text(url).isNotNull(), F.concat(F.lit(" "), F.lower(url))).otherwise(""))
-    card = F.when(blob.rlike(lx.NO_CARD_PATTERN), F.lit(False)).when(has_any(low, lx.CARD_WORDS), F.lit(True))
+    # every form of the pattern has one of these words; the regex only runs on texts with one
+    cardless = has_any(blob, _CARD_STEMS) & blob.rlike(lx.NO_CARD_PATTERN)
+    card = F.when(cardless, F.lit(False)).when(has_any(low, lx.CARD_WORDS), F.lit(True))
     risks = [F.when(has_any(low, words), F.lit(flag)) for flag, words in lx.RISK_RULES]
     risks.append(F.when(referral | has_any(blob, lx.REFERRAL_RISK_WORDS), F.lit("referral")))
     return F.struct(

@@ -1,12 +1,14 @@
 """Substring tests against constant word lists.
 
 A word list is a folded array literal and the test a higher-order function over it: one small compiled
-loop whatever the number of words, instead of one generated branch per word.
+loop whatever the number of words, instead of one generated branch per word.  The text is bound to a lambda
+variable first; left inside the loop, an expression such as ``lower(text)`` would run once per word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,14 +20,20 @@ def literals(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hits(text: Column, words: Sequence[str]) -> Column:
     """Words contained in ``text``, in list order."""
-    return F.filter(literals(words), lambda w: F.contains(text, w))
+    return bind(text, lambda t: F.filter(literals(words), lambda w: F.contains(t, w)))
 
 
 def has_any(text: Column, words: Sequence[str]) -> Column:
-    """True when ``text`` contains one of the words; NULL text gives false."""
-    return F.coalesce(F.exists(literals(words), lambda w: F.contains(text, w)), F.lit(False))
+    """True when ``text`` contains one of the words; NULL text gives false.  Stops at the first hit."""
+    tests = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+    return F.coalesce(bind(text, tests), F.lit(False))
 
 
 def first_label(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:

@@ -58,59 +58,69 @@ def meta_flag(name: str) -> Column:
 
 
 def prefiltered(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
-    """Adds ``match`` and ``kept`` (pre-filter passed, or forced)."""
-    return normalized.withColumn("match", X.prefilter(F.col("raw_text"), lex)).withColumn(
-        "kept", F.col("match.ok") | meta_flag("force_classify")
+    """All rows with ``match`` (decision and words), ``matched`` and ``kept`` (matched, or forced)."""
+    return normalized.withColumn("match", X.prefilter(F.col("raw_text"), lex)).withColumns(
+        {"matched": F.col("match.ok"), "kept": F.col("match.ok") | meta_flag("force_classify")}
     )
 
 
+def keep_matched(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
+    """Rows that pass the pre-filter or are forced, with ``matched``.
+
+    A row that was not forced is here because it matched, so the text is tested twice only for forced rows.
+    """
+    force = meta_flag("force_classify")
+    passes = X.passes_prefilter(F.col("raw_text"), lex)
+    return normalized.where(force | passes).withColumn("matched", F.when(force, passes).otherwise(True))
+
+
 def rule_classifier(frame: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
-    """Adds ``label`` from the word rules.  Needs raw_text, url, lang, domains and match.
+    """Adds ``label`` from the word rules.  Needs raw_text, url, lang, domains and matched.
 
     Shared pieces are staged as columns so that each pattern runs once per row.
     """
     body = F.coalesce(F.col("raw_text"), F.lit(""))
-    staged = frame.withColumns(
+    staged = frame.withColumns({"_text": body, "_low": F.lower(body)}).withColumns(
         {
-            "_text": body,
-            "_amount": X.parse_amount(body),
-            "_models": X.find_models(body, lex.models),
-            "_referral": X.is_referral(body, F.col("url")),
-            "_type": X.guess_type(body, F.col("lang")),
+            "_money": X.parse_amount(F.col("_text")),
+            "_models": X.find_models(F.col("_text"), lex.models),
+            "_referral": X.is_referral(F.col("_text"), F.col("url")),
+            "_type": X.guess_type(F.col("_text"), F.col("_low"), F.col("lang")),
         }
-    ).withColumn("_currency", X.parse_currency(F.col("_text")))
+    )
+    low, amount, currency = F.col("_low"), F.col("_money.amount"), F.col("_money.currency")
     none = F.lit(None).cast("string")
     confidence = (
         F.lit(0.45)
-        + F.when(F.coalesce(F.col("_amount"), F.lit(0.0)) != 0, 0.25).otherwise(0.0)
+        + F.when(F.coalesce(amount, F.lit(0.0)) != 0, 0.25).otherwise(0.0)
         + F.when(F.size("_models") > 0, 0.15).otherwise(0.0)
     )
     label = F.struct(
         F.lit(True).alias("is_offer"),
         F.get("domains", F.lit(0)).alias("service_name"),
         F.col("_type").alias("offer_type"),
-        F.col("_amount").alias("amount"),
-        F.col("_currency").alias("currency"),
+        amount.alias("amount"),
+        currency.alias("currency"),
         F.col("_models").alias("models"),
         none.alias("claim_steps"),
         none.alias("requirements"),
         F.col("_referral").alias("referral_required"),
-        X.detect_effort(F.col("_text"), F.col("_referral")).alias("effort"),
-        X.detect_unit(F.col("_text"), F.col("_amount"), F.col("_currency")).alias("unit"),
-        X.guess_topic(F.col("_text"), F.col("_type")).alias("topic"),
-        X.detect_conditions(F.col("_text"), F.col("url"), F.col("_referral")).alias("conditions"),
+        X.detect_effort(low, F.col("_referral")).alias("effort"),
+        X.detect_unit(low, amount, currency).alias("unit"),
+        X.guess_topic(low, F.col("_type")).alias("topic"),
+        X.detect_conditions(low, F.col("url"), F.col("_referral")).alias("conditions"),
         F.least(confidence, F.lit(0.95)).alias("confidence"),
     ).cast(X.LABEL_TYPE)
-    out = staged.withColumn("label", F.when(F.col("match.ok"), label).otherwise(X.not_offer()))
-    return out.drop("_text", "_amount", "_models", "_referral", "_type", "_currency")
+    out = staged.withColumn("label", F.when(F.col("matched"), label).otherwise(X.not_offer()))
+    return out.drop("_text", "_low", "_money", "_models", "_referral", "_type")
 
 
 def route(classified: DataFrame, min_confidence: float = lx.MIN_CONFIDENCE) -> DataFrame:
     """Adds ``blocked``, ``implausible``, ``route`` (offer, model_release, candidate, signal) and the keys
     ``service_key`` and ``offer_type`` the row attaches to."""
     label = F.col("label")
-    has_domain = F.size("domains") > 0
-    first = F.get("domains", F.lit(0))
+    first, reg = F.col("_host"), F.col("_reg")
+    has_domain = first.isNotNull()
     release = meta_flag("model_release")
     plausible = X.is_plausible(label)
     kind = (
@@ -120,17 +130,18 @@ def route(classified: DataFrame, min_confidence: float = lx.MIN_CONFIDENCE) -> D
         .otherwise("signal")
     )
     org = F.lower(F.coalesce(truthy_text(F.col("meta.org")), F.lit("hf")))
+    keyed = classified.withColumn("_host", F.get("domains", F.lit(0))).withColumn("_reg", D.registrable_of_canonical(first))
     return (
-        classified.withColumns(
+        keyed.withColumns(
             {
-                "blocked": has_domain & D.is_blocked(first) & ~release,
+                "blocked": F.coalesce(reg.isin(*lx.BLOCKED_DOMAINS), F.lit(False)) & ~release,
                 "implausible": label["is_offer"] & ~plausible,
                 "route": kind,
             }
         )
         .withColumn(
             "service_key",
-            F.when(F.col("route").isin("offer", "candidate"), F.coalesce(D.registrable_domain(first), first)).when(
+            F.when(F.col("route").isin("offer", "candidate"), F.coalesce(reg, first)).when(
                 F.col("route") == "model_release", F.concat(F.lit("hf/"), org)
             ),
         )
@@ -140,6 +151,7 @@ def route(classified: DataFrame, min_confidence: float = lx.MIN_CONFIDENCE) -> D
                 F.col("route") == "model_release", "model_release"
             ),
         )
+        .drop("_host", "_reg")
     )
 
 
@@ -150,9 +162,8 @@ def label_signals(
     min_confidence: float = lx.MIN_CONFIDENCE,
 ) -> DataFrame:
     """All narrow steps: one stage without a shuffle, rows that fail the pre-filter dropped."""
-    kept = prefiltered(normalize(signals), lex).where("kept")
     classify = classifier or (lambda df: rule_classifier(df, lex))
-    return route(classify(kept), min_confidence)
+    return route(classify(keep_matched(normalize(signals), lex)), min_confidence)
 
 
 # ------------------------------------------------------------------ duplicates
@@ -214,27 +225,30 @@ def pipeline_counters(
     signals: DataFrame, lex: lx.Lexicon = lx.Lexicon(), stored: DataFrame | None = None, offers: DataFrame | None = None
 ) -> DataFrame:
     """The run's counters in one row."""
-    pre = prefiltered(normalize(signals), lex)
-    routed = route(rule_classifier(pre.where("kept"), lex))
+    normalized = normalize(signals)
+    routed = route(rule_classifier(keep_matched(normalized, lex), lex))
     rows = storable(routed, stored)
     keys = offer_keys(rows)
     new_keys = keys if offers is None else keys.join(offers.select(F.col("id").alias("offer_id")), "offer_id", "left_anti")
     parts = [
-        pre.agg(F.count("*").alias("seen"), F.count_if(~F.col("kept")).alias("prefiltered_out")),
+        signals.agg(F.count("*").alias("seen")),
         outcome_counts(routed, stored),
         new_keys.agg(
             F.count_if(F.col("route") == "offer").alias("offers_created"),
             F.count_if(F.col("route") == "model_release").alias("model_releases"),
         ),
-        harvest_mentions(normalize(signals)).agg(F.count("*").alias("harvested")),
+        harvest_mentions(normalized, lex).agg(F.count("*").alias("harvested")),
     ]
     total = parts[0]
     for part in parts[1:]:
         total = total.unionByName(part, allowMissingColumns=True)
     merged = total.agg(*[F.max(c).alias(c) for c in total.columns])
-    return merged.withColumn("offers_updated", F.col("offer_observations") - F.col("offers_created")).drop(
-        "offer_observations"
-    )
+    return merged.withColumns(
+        {
+            "prefiltered_out": F.col("seen") - F.col("classified"),
+            "offers_updated": F.col("offer_observations") - F.col("offers_created"),
+        }
+    ).drop("offer_observations")
 
 
 def offer_keys(rows: DataFrame) -> DataFrame:
@@ -424,7 +438,7 @@ def harvest_mentions(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> D
             text.alias("_text"),
             F.posexplode(D.mentioned_domains(F.col("domains"), text)).alias("pos", "host"),
         )
-        .withColumn("domain", D.registrable_domain(F.col("host")))
+        .withColumn("domain", D.registrable_of_canonical(F.col("host")))
         .where(F.col("domain").isNotNull() & ~F.coalesce(F.col("domain").isin(*lx.BLOCKED_DOMAINS), F.lit(False)))
     )
     return mentions.select(

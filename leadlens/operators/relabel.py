@@ -9,7 +9,7 @@ from leadlens import lexicon as lx
 from leadlens.functions import text as X
 from leadlens.functions.words import literals, truthy_array, truthy_text
 from leadlens.operators.feed import richest_signal
-from leadlens.operators.ingest import Classifier, prefiltered, rule_classifier
+from leadlens.operators.ingest import Classifier, rule_classifier
 from leadlens.schemas import with_schema
 
 
@@ -61,7 +61,6 @@ def relabel_inputs(offers: DataFrame, services: DataFrame, signals: DataFrame) -
             F.concat(F.lit("https://"), F.col("_domain")).alias("url"),
             X.detect_lang(F.col("raw_text")).alias("lang"),
             F.array("_domain").alias("domains"),
-            F.lit(None).cast("struct<force_classify:boolean>").alias("meta"),
         )
     )
 
@@ -71,12 +70,12 @@ def labels_or_fallback(
 ) -> DataFrame:
     """``(id, label)`` per input: not an offer when the pre-filter rejects it, else the external label of its id
     (column ``raw``), else the rule classifier."""
-    pre = prefiltered(inputs, lex)
+    pre = inputs.withColumn("matched", X.passes_prefilter(F.col("raw_text"), lex))
     ruled = (classifier or (lambda df: rule_classifier(df, lex)))(pre)
     if external is None:
         return ruled.select("id", "label")
     joined = ruled.join(external.select("id", "raw"), "id", "left")
-    use = F.col("match.ok") & F.col("raw").isNotNull()
+    use = F.col("matched") & F.col("raw").isNotNull()
     return joined.select("id", F.when(use, coerce_label(F.col("raw"))).otherwise(F.col("label")).alias("label"))
 
 

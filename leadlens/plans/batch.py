@@ -62,9 +62,8 @@ class IngestJob:
         spark = signals.sparkSession
         tables = read_snapshot(spark, previous)
         normalized = staged(I.normalize(schemas.with_schema(signals, "signals_in")), f"{target}/_normalized")
-        pre = I.prefiltered(normalized, self.lex).where("kept")
         classify = self.classifier or (lambda df: I.rule_classifier(df, self.lex))
-        routed = I.route(classify(pre), self.min_confidence)
+        routed = I.route(classify(I.keep_matched(normalized, self.lex)), self.min_confidence)
         rows = staged(I.storable(routed, stored_signals), f"{target}/_rows")
         out = {
             "services": I.merge_services(tables["services"], rows, as_of),
