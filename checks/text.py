@@ -30,7 +30,7 @@ TEST_KEY_LINES = r"(?i)(token|secret|password)\s*[=:]\s*\S{10,}"
 
 def _texts(spark, sf):
     """Every document and every conversation turn as (key, text)."""
-    d = V.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    d = V.text_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     c = V.table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), "text"
     )
@@ -93,17 +93,17 @@ def early_keys(spark, sf):
 
 
 def redacted_documents(spark, sf):
-    return R.redact_documents(V.table(spark, sf, "documents"), TEST_KEY_LINES).select("doc_id", F.md5("text").alias("digest"))
+    return R.redact_documents(V.text_table(spark, sf, "documents"), TEST_KEY_LINES).select("doc_id", F.md5("text").alias("digest"))
 
 
 def redacted_documents_default(spark, sf):
-    return R.redact_documents(V.table(spark, sf, "documents")).select("doc_id", F.md5("text").alias("digest"))
+    return R.redact_documents(V.text_table(spark, sf, "documents")).select("doc_id", F.md5("text").alias("digest"))
 
 
 def bare_domains(spark, sf):
     """Domains named in documents, conversations and page texts without a scheme (e-mail hosts included where
     the rules see them)."""
-    pages = V.table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), F.col("html").alias("text"))
+    pages = V.text_table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), F.col("html").alias("text"))
     both = _texts(spark, sf).unionByName(pages)
     return both.select("key", F.posexplode(D.bare_domains(F.col("text"))).alias("pos", "domain"))
 

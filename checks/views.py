@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.schemas import with_schema
+from leadlens.session import spread
 from leadlens.sources.common import meta
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for text work, spread over the cores if its file has too few splits."""
+    return spread(table(spark, sf_dir, name))
+
+
 def instant(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -213,7 +219,7 @@ _META_FIELDS = ("force_classify", "service_candidate", "model_release", "org", "
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as raw signals: offers in three languages, bare mentions, model releases and certificate hosts."""
-    o = table(spark, sf_dir, "orders")
+    o = text_table(spark, sf_dir, "orders")
     rows = o.select(
         *[F.expr(e).alias(n) for n, e in POST_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at")
     )
@@ -223,7 +229,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ documents and pages
 def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     rows = d.select(
         "source",
         F.col("text").alias("raw_text"),
@@ -234,5 +240,5 @@ def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = text_table(spark, sf_dir, "pages")
     return p.select(F.col("page_id").alias("payload_id"), F.col("html").alias("body"), F.col("url").alias("page_url"))

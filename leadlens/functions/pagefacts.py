@@ -54,8 +54,8 @@ def detect_amount(text: Column) -> Column:
     """Largest free-credit amount: a number in range with an offer word within 40 characters."""
 
     def scan(body: Column) -> Column:
-        found = [bind(F.lower(body), lambda low, p=p: _largest_near_trigger(body, low, p)) for p in lx.PAGE_AMOUNT_PATTERNS]
-        return F.when(body.rlike(r"\d"), F.greatest(*found))
+        largest = lambda low: F.greatest(*[_largest_near_trigger(body, low, p) for p in lx.PAGE_AMOUNT_PATTERNS])
+        return F.when(body.rlike(r"\d"), bind(F.lower(body), largest))
 
     return bind(F.coalesce(text, F.lit("")), scan)
 
