@@ -76,7 +76,7 @@ def signal_lang(source: Column, lang: Column, source_lang: dict[str, str]) -> Co
 def reliability(alive: Column, has_pricing: Column, engine_known: Column, age_days: Column) -> Column:
     """Trust in a service: alive, priced, known engine, and domain age up to 30 days."""
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
-    age = F.coalesce(F.least(age_days / 30.0, F.lit(1.0)) * 0.2, F.lit(0.0))
+    age = F.when(age_days.isNotNull(), F.least(age_days / 30.0, F.lit(1.0)) * 0.2).otherwise(0.0)
     total = flag(alive, 0.5) + flag(has_pricing, 0.2) + flag(engine_known, 0.1) + age
     return round_steady(F.least(total, F.lit(1.0)), 3)
 
