@@ -1,2 +1,86 @@
-QUERIES = {}
-ORACLE = {}
+"""Streaming forms run to completion over the tables, compared with the batch results."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks import views as V
+from checks.leads import _EVENT_LEADS
+from leadlens.schemas import with_schema
+from leadlens.session import shared_dir
+from leadlens.sources.common import meta
+from leadlens.streaming import streams as ST
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf, name):
+    """A table file as a streaming source."""
+    schema = V.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def running_leads(spark, sf):
+    """Lead metrics kept by a streaming aggregation."""
+    e = _stream(spark, sf, "events")
+    s = e.select(F.col("user_id").alias("offer_id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("observed_at"))
+    path = _folder(spark, "leads")
+    ST.latest_to_table(ST.running_leads(s, V.AGGREGATORS), f"{path}/table", f"{path}/_checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("offer_id", "lead_hours")
+
+
+def certificate_stream(spark, sf):
+    """orders as certificate messages: three names each, distinct hosts over the whole stream."""
+    o = _stream(spark, sf, "orders")
+    u = (F.col("o_custkey") % 4000).cast("string")
+    names = F.array(
+        F.concat(F.lit("*.llm-"), u, F.lit(".com")), F.concat(F.lit("API.Shop"), u, F.lit(".net")),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("brand"), u, F.lit(".ai"))).otherwise(F.lit("googleapis.llm.org")),
+    )
+    kind = F.when(F.col("o_orderstatus") == "P", "heartbeat").otherwise("certificate_update")
+    body = F.to_json(F.struct(kind.alias("message_type"), F.struct(F.struct(names.alias("all_domains")).alias("leaf_cert")).alias("data")))
+    messages = o.select(body.alias("body"), F.col("o_orderdate").cast("timestamp").alias("received_at"))
+    path = _folder(spark, "certs")
+    query = (
+        ST.certificate_signals(messages, horizon=None).writeStream.format("parquet").option("path", f"{path}/table")
+        .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    out = spark.read.parquet(f"{path}/table")
+    return out.select("raw_text", "url", "source_url", F.coalesce("meta.force_classify", F.lit(False)).alias("forced"))
+
+
+def stream_ingest(spark, sf):
+    """Ingest by micro-batches: services and offers after the stream, counted per type."""
+    o = _stream(spark, sf, "orders")
+    fields = ("force_classify", "service_candidate", "model_release", "org", "model_id")
+    rows = o.select(*[F.expr(e).alias(n) for n, e in V.POST_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at"))
+    signals = with_schema(rows.withColumn("meta", meta(**{n: F.col(n) for n in fields})).drop(*fields), "signals_in")
+    path = _folder(spark, "ingest")
+    ST.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF)).awaitTermination()
+    offers = spark.read.parquet(f"{path}/batch=0/offers")
+    return offers.groupBy("type").agg(
+        F.count("*").alias("offers"), F.count("amount").alias("with_amount"), F.countDistinct("service_id").alias("services")
+    )
+
+
+QUERIES = {f.__name__: f for f in (running_leads, certificate_stream, stream_ingest)}
+
+from checks.posts import _OBS, _ROUTED, _offers_sql  # noqa: E402
+
+_U = "CAST(o_custkey % 4000 AS VARCHAR)"
+ORACLE = {
+    "running_leads": f"{_EVENT_LEADS} SELECT offer_id, lead_hours FROM leads",
+    "certificate_stream": f"""
+WITH m AS (SELECT {_U} AS u, o_orderkey FROM orders WHERE o_orderstatus <> 'P'),
+t AS (SELECT 'llm-' || u || '.com' AS h, true AS forced FROM m
+  UNION SELECT 'shop' || u || '.net', false FROM m
+  UNION SELECT 'brand' || u || '.ai', false FROM m WHERE o_orderkey % 2 = 0)
+SELECT h AS raw_text, 'https://' || h AS url, 'certstream://' || h AS source_url, forced FROM t""",
+    "stream_ingest": f"""WITH o AS ({_ROUTED}, {_offers_sql(_OBS)})
+SELECT type, count(*) AS offers, count(amount) AS with_amount, count(DISTINCT canonical_domain) AS services FROM o GROUP BY type""",
+}

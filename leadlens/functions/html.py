@@ -25,7 +25,7 @@ _VOID = frozenset(
 )
 _TEXT = T.StringType()
 LINK_TYPE = T.ArrayType(
-    T.StructType([T.StructField(n, _TEXT) for n in ("href", "text", "tight_text", "title", "parent_text")])
+    T.StructType([T.StructField(n, _TEXT) for n in ("href", "raw_href", "text", "tight_text", "title", "parent_text")])
 )
 CARD_TYPE = T.ArrayType(
     T.StructType(
@@ -113,6 +113,7 @@ def _links_of(page_html, base):
             out.append(
                 {
                     "href": _resolve(base, element.attrs["href"]),
+                    "raw_href": element.attrs["href"],
                     "text": _squeeze(page.text(element)),
                     "tight_text": page.text(element, ""),
                     "title": element.attrs.get("title", ""),

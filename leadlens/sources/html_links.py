@@ -22,7 +22,7 @@ DEAL_PATTERN = (
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Every link of every page: payload_id, pos, page_url, item(href, text, tight_text, title, parent_text)."""
+    """Every link of every page: payload_id, pos, page_url, item(href, raw_href, text, tight_text, title, parent_text)."""
     parsed = pages.withColumn("_links", H.links(F.col("body"), F.col("page_url")))
     return exploded(parsed, F.col("_links"), [c for c in pages.columns if c not in ("body", "payload_id")])
 
@@ -53,7 +53,7 @@ def parse_deal_page(pages: DataFrame) -> DataFrame:
     The link text and the text of the enclosing element count, 400 characters together.
     """
     rows = page_links(pages.withColumn("_own", F.lower(netloc(F.col("page_url")))))
-    href = trim_chars(F.col("item.href"), " \t\n\r")
+    href = trim_chars(F.col("item.raw_href"), " \t\n\r")
     host = F.lower(netloc(href))
     context = F.substring(F.concat("item.tight_text", F.lit(" "), "item.parent_text"), 1, 400)
     rows = rows.withColumns({"_host": host, "_context": context})
