@@ -126,12 +126,12 @@ QUERIES = {
 _LEADS = """
 leads AS (
   SELECT offer_id, first_seen_by_us, first_seen_in_aggregator,
-         round({hours}, 2) AS lead_hours
+         {hours} AS lead_hours
   FROM (SELECT offer_id, min(observed_at) FILTER (WHERE NOT ({agg})) AS first_seen_by_us,
                min(observed_at) FILTER (WHERE {agg}) AS first_seen_in_aggregator
         FROM {signals} GROUP BY offer_id)
 )"""
-_HOURS = K.hours("first_seen_in_aggregator", "first_seen_by_us")
+_HOURS = K.steady(K.hours("first_seen_in_aggregator", "first_seen_by_us"), 2)
 _EVENT_LEADS = f"WITH {V.EVENT_SIGNALS_SQL}, " + _LEADS.format(
     hours=_HOURS, agg="source = 'purchase'", signals="event_signals"
 )
@@ -146,8 +146,8 @@ scored AS (
 )
 _LEADERBOARD = (
     _EVENT_LEADS
-    + """
-SELECT source, round(avg(lead_hours), 2) AS avg_lead_hours, count(*) AS count_total,
+    + f"""
+SELECT source, {K.steady('avg(lead_hours)', 2)} AS avg_lead_hours, count(*) AS count_total,
        count(*) FILTER (WHERE lead_hours > 0) AS count_ahead
 FROM leads JOIN (
   SELECT offer_id, source FROM (
@@ -180,20 +180,20 @@ ORACLE = {
 SELECT offer_id, {K.stamp('first_seen_by_us')} AS first_seen_by_us,
        {K.stamp('first_seen_in_aggregator')} AS first_seen_in_aggregator, lead_hours FROM leads""",
     "lead_summary_api": _EVENT_LEADS
-    + """
-SELECT round(avg(lead_hours), 2) AS avg_hours, round(median(lead_hours), 2) AS median_hours,
+    + f"""
+SELECT {K.steady('avg(lead_hours)', 2)} AS avg_hours, {K.steady('median(lead_hours)', 2)} AS median_hours,
        count(*) FILTER (WHERE lead_hours > 0) AS count_ahead, count(lead_hours) AS count_total
 FROM leads WHERE lead_hours IS NOT NULL""",
     "lead_summary_edge": _EVENT_LEADS
-    + """
-SELECT round(avg(lead_hours) FILTER (WHERE lead_hours > 0), 2) AS avg_hours, round(median(lead_hours), 4) AS median_hours,
+    + f"""
+SELECT {K.steady('avg(lead_hours) FILTER (WHERE lead_hours > 0)', 2)} AS avg_hours, round(median(lead_hours), 4) AS median_hours,
        count(*) FILTER (WHERE lead_hours > 0) AS count_ahead, count(lead_hours) AS count_total
 FROM leads WHERE lead_hours IS NOT NULL""",
     "lead_scoreboard": _ORDER_LEADS
-    + """
+    + f"""
 SELECT count(*) AS tracked, count(*) FILTER (WHERE lead_hours > 0) AS ahead,
        count(*) FILTER (WHERE lead_hours < 0) AS behind, count(*) FILTER (WHERE lead_hours = 0) AS tied,
-       round(avg(lead_hours), 1) AS avg_lead, round(median(lead_hours), 1) AS median_lead,
+       {K.steady('avg(lead_hours)', 1)} AS avg_lead, {K.steady('median(lead_hours)', 1)} AS median_lead,
        max(lead_hours) FILTER (WHERE lead_hours > 0) AS best_lead,
        (SELECT canonical_domain FROM scored WHERE lead_hours > 0 ORDER BY lead_hours DESC, offer_id LIMIT 1) AS best_domain,
        CAST(floor(100.0 * count(*) FILTER (WHERE lead_hours > 0) / count(*)) AS BIGINT) AS ahead_pct,

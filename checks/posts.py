@@ -13,6 +13,7 @@ from leadlens.functions import domains as D
 from leadlens.operators import candidates as C
 from leadlens.operators import ingest as I
 from leadlens.operators import relabel as RL
+from leadlens.session import checkpointed
 
 _AS_OF = V.ORDERS_AS_OF
 
@@ -140,7 +141,7 @@ def posts_offers_merged(spark, sf):
 
 def posts_lead_metrics(spark, sf):
     """Lead metrics of the offers the posts created (joined by the hashed ids)."""
-    rows = _rows(spark, sf)
+    rows = checkpointed(_rows(spark, sf).drop("raw_text", "match"))
     leads = I.merge_lead_metrics(schemas.empty(spark, "lead_metrics"), rows)
     offers = I.merge_offers(schemas.empty(spark, "offers"), rows, _instant()).select(
         F.col("id").alias("offer_id"), "canonical_domain", "type"
@@ -430,7 +431,7 @@ WHERE route IN ('offer', 'candidate') AND host <> service_key GROUP BY 1, 2""",
     "posts_offers": f"{_ROUTED}, {_offers_sql(_OBS)}",
     "posts_offers_merged": f"{_ROUTED}, {_KNOWN}, {_offers_sql(_OBS + ' UNION ALL BY NAME ' + _OBS_KNOWN)}",
     "posts_lead_metrics": f"""{_ROUTED}
-SELECT canonical_domain, type, round({K.hours('agg', 'us')}, 2) AS lead_hours FROM (
+SELECT canonical_domain, type, {K.steady(K.hours('agg', 'us'), 2)} AS lead_hours FROM (
   SELECT service_key AS canonical_domain, offer_type AS type, min(observed_at) FILTER (WHERE source <> 'telegram') AS us,
          min(observed_at) FILTER (WHERE source = 'telegram') AS agg FROM stored WHERE route = 'offer' GROUP BY 1, 2)""",
     "posts_harvest": f"{_HARVEST} SELECT domain, first_source, mentions, priority FROM harvest",

@@ -15,7 +15,7 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 
 def round_steady(value: Column, digits: int) -> Column:
-    """Half-up rounding of the value taken to 12 decimals, so that last-bit noise of ``pow`` cannot flip a digit."""
+    """Half-up rounding of the value taken to 12 decimals, so that last-bit noise of sums and ``pow`` cannot flip a digit."""
     return F.round(value.cast("decimal(22,12)"), digits).cast("double")
 
 
@@ -83,7 +83,7 @@ def reliability(alive: Column, has_pricing: Column, engine_known: Column, age_da
 
 def lead_hours(first_us: Column, first_aggregator: Column) -> Column:
     """Hours the aggregators came after us; positive means we were earlier, NULL when a side is missing."""
-    return F.round(hours_between(first_aggregator, first_us), 2)
+    return round_steady(hours_between(first_aggregator, first_us), 2)
 
 
 def domain_age_lead(domain_first_seen: Column, first_seen_at: Column) -> Column:

@@ -18,6 +18,7 @@ from leadlens.functions import text as X
 from leadlens.functions.score import lead_hours
 from leadlens.functions.words import truthy_array, truthy_number, truthy_text
 from leadlens.schemas import new_rows, with_schema
+from leadlens.session import checkpointed
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -224,9 +225,18 @@ def outcome_counts(routed: DataFrame, stored: DataFrame | None = None) -> DataFr
 def pipeline_counters(
     signals: DataFrame, lex: lx.Lexicon = lx.Lexicon(), stored: DataFrame | None = None, offers: DataFrame | None = None
 ) -> DataFrame:
-    """The run's counters in one row."""
+    """The run's counters in one row.
+
+    The labelled rows are reduced to their key columns and checkpointed, so the texts are labelled once.
+    """
     normalized = normalize(signals)
-    routed = route(rule_classifier(keep_matched(normalized, lex), lex))
+    labelled = route(rule_classifier(keep_matched(normalized, lex), lex))
+    routed = checkpointed(
+        labelled.select(
+            "source", "source_url", "url", "ingest_seq", "blocked", "implausible", "route", "service_key", "offer_type",
+            F.struct(F.col("label.is_offer").alias("is_offer")).alias("label"),
+        )
+    )
     rows = storable(routed, stored)
     keys = offer_keys(rows)
     new_keys = keys if offers is None else keys.join(offers.select(F.col("id").alias("offer_id")), "offer_id", "left_anti")

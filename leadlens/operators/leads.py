@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
-from leadlens.functions.score import lead_hours
+from leadlens.functions.score import lead_hours, round_steady
 
 
 def lead_metrics(signals: DataFrame, aggregators=lx.AGGREGATOR_SOURCES, key: str = "offer_id") -> DataFrame:
@@ -79,11 +79,11 @@ def lead_summary(metrics: DataFrame, variant: str = "api") -> DataFrame:
     ahead = F.col("lead_hours") > 0
     over = F.col("lead_hours") if variant == "api" else F.when(ahead, F.col("lead_hours"))
     scalars = leads.agg(
-        F.round(F.avg(over), 2).alias("avg_hours"),
+        round_steady(F.avg(over), 2).alias("avg_hours"),
         F.count_if(ahead).alias("count_ahead"),
         F.count("*").alias("count_total"),
     )
-    median = F.round("median", 2) if variant == "api" else F.col("median")
+    median = round_steady(F.col("median"), 2) if variant == "api" else F.col("median")
     return one_row(scalars, exact_median(leads, "lead_hours").select(median.alias("median_hours")))
 
 
@@ -100,13 +100,13 @@ def lead_scoreboard(metrics: DataFrame, offers: DataFrame, services: DataFrame)
         F.count_if(h > 0).alias("ahead"),
         F.count_if(h < 0).alias("behind"),
         F.count_if(h == 0).alias("tied"),
-        F.round(F.avg(h), 1).alias("avg_lead"),
+        round_steady(F.avg(h), 1).alias("avg_lead"),
         F.max(F.when(h > 0, h)).alias("best_lead"),
         F.max_by(
             "canonical_domain", F.when(h > 0, F.struct(h.alias("h"), (-F.col("offer_id")).alias("o")))
         ).alias("best_domain"),
     )
-    both = one_row(counted, exact_median(leads, "lead_hours").select(F.round("median", 1).alias("median_lead")))
+    both = one_row(counted, exact_median(leads, "lead_hours").select(round_steady(F.col("median"), 1).alias("median_lead")))
     return both.withColumns(
         {
             "ahead_pct": _floor_percent(F.col("ahead"), F.col("tracked")),
@@ -141,7 +141,7 @@ def source_leaderboard(metrics: DataFrame, signals: DataFrame) -> DataFrame:
         .where(F.col("source").isNotNull())
         .groupBy("source")
         .agg(
-            F.round(F.avg("lead_hours"), 2).alias("avg_lead_hours"),
+            round_steady(F.avg("lead_hours"), 2).alias("avg_lead_hours"),
             F.count("*").alias("count_total"),
             F.count_if(F.col("lead_hours") > 0).alias("count_ahead"),
         )
@@ -163,7 +163,7 @@ def source_leaderboard_single_pass(signals: DataFrame, aggregators=lx.AGGREGATOR
         .where(F.col("lead_hours").isNotNull() & F.col("source").isNotNull())
         .groupBy("source")
         .agg(
-            F.round(F.avg("lead_hours"), 2).alias("avg_lead_hours"),
+            round_steady(F.avg("lead_hours"), 2).alias("avg_lead_hours"),
             F.count("*").alias("count_total"),
             F.count_if(F.col("lead_hours") > 0).alias("count_ahead"),
         )
