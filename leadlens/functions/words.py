@@ -8,18 +8,25 @@ variable first; left inside the loop, an expression such as ``lower(text)`` woul
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def literals(words: Sequence[str]) -> Column:
+@lru_cache(maxsize=512)
+def _array(words: tuple[str, ...], _jvm: int) -> Column:
     if not words:
         return F.array().cast("array<string>")
     return F.array(*[F.lit(w) for w in words])
 
 
+def literals(words: Sequence[str]) -> Column:
+    """Array literal of the words.  Columns are immutable, so one is built per list and JVM and then reused."""
+    return _array(tuple(words), id(SparkContext._jvm))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.transform(F.array(value), body)[0]
@@ -32,8 +39,8 @@ def hits(text: Column, words: Sequence[str]) -> Column:
 
 def has_any(text: Column, words: Sequence[str]) -> Column:
     """True when ``text`` contains one of the words; NULL text gives false.  Stops at the first hit."""
-    tests = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
-    return F.coalesce(bind(text, tests), F.lit(False))
+    found = bind(text, lambda t: F.exists(literals(words), lambda w: F.contains(t, w)))
+    return F.coalesce(found, F.lit(False))
 
 
 def first_label(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
