@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
 from leadlens.functions.score import lead_hours, round_steady
+from leadlens.session import checkpointed
 
 
 def lead_metrics(signals: DataFrame, aggregators=lx.AGGREGATOR_SOURCES, key: str = "offer_id") -> DataFrame:
@@ -25,19 +26,23 @@ def first_source(signals: DataFrame, key: str = "offer_id") -> DataFrame:
     return signals.groupBy(key).agg(earliest.alias("first")).select(key, "first.source", "first.source_url")
 
 
-def exact_median(values: DataFrame, column: str, width: float = 1.0) -> DataFrame:
-    """Exact median of a numeric column as a one-row frame (column ``median``).
+def value_counts(values: DataFrame, column: str) -> DataFrame:
+    """Rows per distinct value (columns v, n), NULL left out.
 
-    Values are counted per distinct value, the counts summed per bucket of ``width``, and only the bucket (or
-    the two buckets) with the middle ranks is looked at in detail.  No task sees more than the bucket totals
-    or the distinct values of one bucket, however many rows there are.
+    The counts have several readers; they are checkpointed, so the data behind them is read once.
     """
-    counts = (
-        values.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("v") / width))
-    )
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
+    return checkpointed(counted.agg(F.count("*").alias("n")))
+
+
+def exact_median(counts: DataFrame, width: float = 1.0) -> DataFrame:
+    """Exact median of counted values (v, n) as a one-row frame (column ``median``).
+
+    The counts are summed per bucket of ``width``, and only the bucket (or the two buckets) with the middle
+    ranks is looked at in detail.  No task sees more than the bucket totals or the distinct values of one
+    bucket, however many rows there are.
+    """
+    counts = counts.withColumn("bucket", F.floor(F.col("v") / width))
     # Rows here are buckets, not data: their number is bounded by the value range over the width.
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy()
@@ -75,16 +80,17 @@ def lead_summary(metrics: DataFrame, variant: str = "api") -> DataFrame:
     ``api`` averages all leads and rounds both figures; ``edge`` averages only the positive ones and leaves
     the median as it is.
     """
-    leads = metrics.where(F.col("lead_hours").isNotNull()).select("lead_hours")
-    ahead = F.col("lead_hours") > 0
-    over = F.col("lead_hours") if variant == "api" else F.when(ahead, F.col("lead_hours"))
-    scalars = leads.agg(
-        round_steady(F.avg(over), 2).alias("avg_hours"),
-        F.count_if(ahead).alias("count_ahead"),
-        F.count("*").alias("count_total"),
+    counts = value_counts(metrics, "lead_hours")
+    ahead = F.col("v") > 0
+    in_average = F.lit(True) if variant == "api" else ahead
+    weight = F.sum(F.when(in_average, F.col("n")))
+    scalars = counts.agg(
+        round_steady(F.sum(F.when(in_average, F.col("v") * F.col("n"))) / weight, 2).alias("avg_hours"),
+        F.coalesce(F.sum(F.when(ahead, F.col("n"))), F.lit(0)).alias("count_ahead"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("count_total"),
     )
     median = round_steady(F.col("median"), 2) if variant == "api" else F.col("median")
-    return one_row(scalars, exact_median(leads, "lead_hours").select(median.alias("median_hours")))
+    return one_row(scalars, exact_median(counts).select(median.alias("median_hours")))
 
 
 def _floor_percent(part: Column, total: Column) -> Column:
@@ -106,7 +112,7 @@ def lead_scoreboard(metrics: DataFrame, offers: DataFrame, services: DataFrame)
             "canonical_domain", F.when(h > 0, F.struct(h.alias("h"), (-F.col("offer_id")).alias("o")))
         ).alias("best_domain"),
     )
-    both = one_row(counted, exact_median(leads, "lead_hours").select(round_steady(F.col("median"), 1).alias("median_lead")))
+    both = one_row(counted, exact_median(value_counts(leads, "lead_hours")).select(round_steady(F.col("median"), 1).alias("median_lead")))
     return both.withColumns(
         {
             "ahead_pct": _floor_percent(F.col("ahead"), F.col("tracked")),
