@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -21,19 +22,23 @@ def netloc(url: Column) -> Column:
 def canonical_domain(value: Column) -> Column:
     """Host of a URL or bare domain: lower case, port and one leading ``www.`` dropped; NULL when empty."""
     whole = F.regexp_replace(F.btrim(value, F.lit(_SPACE)), r"^(?!.*://)", "http://")
-    host = F.lower(F.substring_index(netloc(whole), ":", 1))
-    return truthy_text(F.regexp_replace(host, r"^www\.", ""))
+    return _without_www(F.lower(F.substring_index(netloc(whole), ":", 1)))
+
+
+def _without_www(host: Column) -> Column:
+    """One leading ``www.`` dropped; NULL when nothing is left."""
+    return bind(F.regexp_replace(host, r"^www\.", ""), lambda h: F.when(h != "", h))
 
 
 def registrable_of_host(host: Column, suffixes: Sequence[str] = lx.MULTI_SUFFIXES) -> Column:
-    """Last two labels of a host, three under a two-part public suffix."""
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(last_two)
+    """Last two labels of a host, three under a two-part public suffix, in one pattern match."""
+    two_part = "|".join(re.escape(s) for s in suffixes)
+    return F.regexp_extract(host, rf"(?:^|\.)((?:[^.]*\.)?(?:{two_part})|[^.]*\.[^.]*|[^.]*)$", 1)
 
 
 def registrable_of_canonical(host: Column) -> Column:
     """Registrable domain of an already canonical host (a further leading ``www.`` is dropped, as above)."""
-    return registrable_of_host(truthy_text(F.regexp_replace(host, r"^www\.", "")))
+    return registrable_of_host(_without_www(host))
 
 
 def registrable_domain(value: Column) -> Column:

@@ -217,9 +217,12 @@ def write_sql_dump(dump: DataFrame, path: str) -> None:
 
 
 def append_signals(signals: DataFrame, path: str) -> None:
-    """Append to the signals table, partitioned by observation day."""
+    """Append to the signals table, partitioned by observation day.
+
+    The rebalance hint gathers a day into few files and splits a day that holds much more than the others.
+    """
     out = with_schema(signals, "signals").withColumn("dt", F.to_date("observed_at"))
-    out.write.mode("append").partitionBy("dt").parquet(path)
+    out.hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(path)
 
 
 def read_signals(spark, path: str) -> DataFrame:

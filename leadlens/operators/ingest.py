@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,31 +67,35 @@ def prefiltered(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFr
     )
 
 
+@lru_cache(maxsize=64)
+def _passes(lex: lx.Lexicon, _jvm: int) -> Column:
+    return X.passes_prefilter(F.col("raw_text"), lex)
+
+
 def keep_matched(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
     """Rows that pass the pre-filter or are forced, with ``matched``.
 
     A row that was not forced is here because it matched, so the text is tested twice only for forced rows.
     """
     force = meta_flag("force_classify")
-    passes = X.passes_prefilter(F.col("raw_text"), lex)
+    passes = _passes(lex, id(SparkContext._jvm))
     return normalized.where(force | passes).withColumn("matched", F.when(force, passes).otherwise(True))
 
 
-def rule_classifier(frame: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
-    """Adds ``label`` from the word rules.  Needs raw_text, url, lang, domains and matched.
-
-    Shared pieces are staged as columns so that each pattern runs once per row.
-    """
+@lru_cache(maxsize=64)
+def _rule_columns(lex: lx.Lexicon, _jvm: int) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """Columns of the rule classifier in three stages; shared pieces are staged so that each pattern runs once
+    per row.  Columns are immutable and depend on the word lists only, so every micro-batch reuses them."""
     body = F.coalesce(F.col("raw_text"), F.lit(""))
-    staged = frame.withColumns({"_text": body, "_low": F.lower(body)}).withColumns(
-        {
-            "_money": X.parse_amount(F.col("_text")),
-            "_models": X.find_models(F.col("_text"), lex.models),
-            "_referral": X.is_referral(F.col("_text"), F.col("url")),
-            "_type": X.guess_type(F.col("_text"), F.col("_low"), F.col("lang")),
-        }
-    )
-    low, amount, currency = F.col("_low"), F.col("_money.amount"), F.col("_money.currency")
+    first = {"_text": body, "_low": F.lower(body)}
+    text, low, lang, url = F.col("_text"), F.col("_low"), F.col("lang"), F.col("url")
+    second = {
+        "_money": X.parse_amount(text),
+        "_models": X.find_models(text, lex.models),
+        "_referral": X.is_referral(text, url),
+        "_type": X.guess_type(text, low, lang),
+    }
+    amount, currency, referral, kind = F.col("_money.amount"), F.col("_money.currency"), F.col("_referral"), F.col("_type")
     none = F.lit(None).cast("string")
     confidence = (
         F.lit(0.45)
@@ -99,21 +105,27 @@ def rule_classifier(frame: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFra
     label = F.struct(
         F.lit(True).alias("is_offer"),
         F.get("domains", F.lit(0)).alias("service_name"),
-        F.col("_type").alias("offer_type"),
+        kind.alias("offer_type"),
         amount.alias("amount"),
         currency.alias("currency"),
         F.col("_models").alias("models"),
         none.alias("claim_steps"),
         none.alias("requirements"),
-        F.col("_referral").alias("referral_required"),
-        X.detect_effort(low, F.col("_referral")).alias("effort"),
+        referral.alias("referral_required"),
+        X.detect_effort(low, referral).alias("effort"),
         X.detect_unit(low, amount, currency).alias("unit"),
-        X.guess_topic(low, F.col("_type")).alias("topic"),
-        X.detect_conditions(low, F.col("url"), F.col("_referral")).alias("conditions"),
+        X.guess_topic(low, kind).alias("topic"),
+        X.detect_conditions(low, url, referral).alias("conditions"),
         F.least(confidence, F.lit(0.95)).alias("confidence"),
     ).cast(X.LABEL_TYPE)
-    out = staged.withColumn("label", F.when(F.col("matched"), label).otherwise(X.not_offer()))
-    return out.drop("_text", "_low", "_money", "_models", "_referral", "_type")
+    return first, second, F.when(F.col("matched"), label).otherwise(X.not_offer())
+
+
+def rule_classifier(frame: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
+    """Adds ``label`` from the word rules.  Needs raw_text, url, lang, domains and matched."""
+    first, second, label = _rule_columns(lex, id(SparkContext._jvm))
+    out = frame.withColumns(first).withColumns(second).withColumn("label", label)
+    return out.drop(*first, *second)
 
 
 def route(classified: DataFrame, min_confidence: float = lx.MIN_CONFIDENCE) -> DataFrame:

@@ -18,6 +18,7 @@ from leadlens.operators import candidates as C
 from leadlens.operators import enrich as E
 from leadlens.operators import ingest as I
 from leadlens.operators import notify as N
+from leadlens.operators.leads import one_row
 from leadlens.operators.scoring import rescore
 
 STATE_TABLES = ("services", "service_aliases", "offers", "lead_metrics", "candidates")
@@ -92,8 +93,14 @@ def discovery_step(
     services = C.promote(tables["services"], outcomes, as_of)
     closed = C.apply_outcomes(tables["candidates"], outcomes, as_of)
     novel = C.linkgraph_candidates(link_pages, services, tables["candidates"])
-    queue = C.retire_exhausted(C.merge_candidates(closed, novel, as_of), max_attempts)
-    return {"services": services, "candidates": queue, "counters": C.discovery_counters(outcomes)}
+    queue = C.merge_candidates(closed, novel, as_of)
+    spent = (F.col("status") == "pending") & (F.col("attempts") >= max_attempts)
+    counters = one_row(
+        C.discovery_counters(outcomes),
+        novel.agg(F.count("*").alias("linkgraph_added")),
+        queue.agg(F.count_if(spent).alias("retired")),
+    )
+    return {"services": services, "candidates": C.retire_exhausted(queue, max_attempts), "counters": counters}
 
 
 def watchdog_step(

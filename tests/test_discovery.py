@@ -93,7 +93,9 @@ def test_discovery_run(spark, signals):
     assert {(r["canonical_domain"], r["name"], r["status"]) for r in out["services"].collect()} == {("zenmux.ai", "ZenMux", "new"), ("getmerlin.in", "Merlin", "new")}
     status = {r["domain"]: (r["status"], r["attempts"]) for r in out["candidates"].collect()}
     assert status == {"zenmux.ai": ("promoted", 1), "getmerlin.in": ("promoted", 1), "band.ai": ("rejected", 1), "next-ai.dev": ("pending", 0)}
-    assert out["counters"].first().asDict() == {"probed": 3, "promoted": 2, "rejected": 1, "skipped": 0}
+    assert out["counters"].first().asDict() == {
+        "probed": 3, "promoted": 2, "rejected": 1, "skipped": 0, "linkgraph_added": 1, "retired": 0,
+    }
 
 
 def test_retire(spark):

@@ -199,3 +199,28 @@ def test_feed_fixture(spark):
     for request in ({"min_amount": 100.0}, {"type": "relay"}, {"status": "dead"}, {"model": "CLAUDE"}, {"q": "FreeModel"}):
         assert FD.feed(offers, services, signals, FD.FeedFilter(**request)).count() == 1, request
     assert [r["domain"] for r in FD.feed(offers, services, signals).collect()] == ["freemodel.dev", "tiny.ai"]
+
+
+def test_external_classifier_runs_in_batches(spark, signals):
+    """A model takes the place of the rules through mapInPandas; what it returns is coerced to the label type."""
+    from leadlens.operators.relabel import coerce_label
+
+    def model(frames):
+        for frame in frames:
+            labels = [{"is_offer": True, "offer_type": "gift", "amount": float(len(t)), "confidence": 0.9} for t in frame["raw_text"]]
+            yield frame[["ingest_seq"]].assign(is_offer=True, offer_type=[v["offer_type"] for v in labels], amount=[v["amount"] for v in labels])
+
+    def classifier(df):
+        out = df.select("ingest_seq", "raw_text").mapInPandas(model, "ingest_seq bigint, is_offer boolean, offer_type string, amount double")
+        names = "service_name currency claim_steps requirements effort unit topic".split()
+        blank = [F.lit(None).cast("string").alias(n) for n in names]
+        raw = F.struct(
+            "is_offer", "offer_type", "amount", *blank, F.lit(None).cast("array<string>").alias("models"),
+            F.lit(None).cast("boolean").alias("referral_required"), F.lit(None).cast(I.X.CONDITIONS_TYPE).alias("conditions"),
+            F.lit(0.9).alias("confidence"),
+        )
+        return df.join(out.select("ingest_seq", coerce_label(raw).alias("label")), "ingest_seq")
+
+    df = signals([{"source": "a", "raw_text": "free credits https://a.ai", "source_url": "1"}])
+    row = I.label_signals(df, classifier=classifier).first()
+    assert (row["label"]["offer_type"], row["label"]["amount"], row["route"]) == ("other", 25.0, "offer")

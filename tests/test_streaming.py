@@ -55,3 +55,17 @@ def test_micro_batches_equal_one_batch(spark, signals, tmp_path):
         assert a == b, name
     ids = lambda path: sorted(r["id"] for r in spark.read.parquet(path).collect())
     assert ids(*[f"{root}/batch=[0-2]/signals"]) == ids(str(tmp_path / "batch/signals"))
+
+
+def test_channel_stream_with_topics(spark, tmp_path):
+    from leadlens.sources import channel as CH
+
+    rows = [{"channel": c, "msg_id": i, "date": "2026-05-01 00:00:00", "text": "t", "reply_to": {"top_id": i}} for i, c in enumerate(["a", "a", "b"], 5)]
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.from_json("j", CH.MESSAGE_TYPE).alias("m")).select("m.*")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.write.parquet(source)
+    config = spark.createDataFrame([("a", 6)], "channel string, topic_id bigint")
+    stream = ST.channel_signals(spark.readStream.schema(df.schema).parquet(source), config)
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["source_url"] for r in spark.read.parquet(out).collect()) == ["https://t.me/a/6", "https://t.me/b/7"]
