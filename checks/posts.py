@@ -41,7 +41,7 @@ def posts_labels(spark, sf):
     """Rule labels of the posts that pass the pre-filter or are forced."""
     c = F.col("label.conditions")
     label = F.col("label")
-    kept = I.prefiltered(I.normalize(V.posts(spark, sf))).where("kept")
+    kept = I.prefiltered(I.keep_matched(I.normalize(V.posts(spark, sf))))
     return I.rule_classifier(kept).select(
         "ingest_seq", F.array_join("match.hits", ",").alias("hits"), label["is_offer"].alias("is_offer"),
         label["service_name"].alias("service_name"), label["offer_type"].alias("offer_type"),
