@@ -115,7 +115,6 @@ def _claim(claims, left, gaps, length, gap, capacity, updated) -> None:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Encodes every whole text, adds the end id, and cuts documents of more than ``capacity`` ids into pieces: doc_id,
     text_hash, piece, start (ids of the document before it), length, ids_crc32 and, if wanted, ids."""
-    tail = int(end).to_bytes(4, "little")
 
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -127,10 +126,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in schema.names}
             for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = ids_of(text) + tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    values = (doc, mark, k, at // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<i4"))
+                ids = np.append(ids_of(text), end).astype("<u4")
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    values = (doc, mark, k, at, len(own), zlib.crc32(own), own)
                     for name, value in zip(schema.names, values, strict=False):
                         rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema)

@@ -1,8 +1,8 @@
 """Token ids in length-delimited binary record files, with an offset index beside each.
 
 A record is: length of the payload (8 bytes), masked CRC-32C of these 8 bytes, payload, masked CRC-32C of the payload.
-The payload is 1 for a doc_id or 0 for a null one (4 bytes), the doc_id (8 bytes), and the ids (4 bytes each); all little
-endian, unsigned but for the doc_id.  The index has ``INDEX`` for each record, so that a shuffled reader can fetch any.
+The payload is the width of an id (2 bytes), 1 for a doc_id or 0 for a null one (2 bytes), the doc_id (8 bytes), and the
+ids (2 bytes each where the vocabulary allows it, else 4); all little endian, unsigned but for the doc_id.  The index has ``INDEX`` for each record, so that a shuffled reader can fetch any.
 
 Documents are range-sorted by doc_id; every partition streams its shard to the shared folder under a name of its own
 attempt.  A shard counts only if its task ended: its name comes back as a row of the manifest, which is checkpointed.
@@ -30,7 +30,7 @@ from leadlens.llm.encode import encoder
 from leadlens.llm.kit import cut, run_folder, text_hash
 
 END = 2
-HEAD = "<Iq"  # has a doc_id, doc_id
+HEAD = "<HHq"  # bytes of an id, has a doc_id, doc_id
 INDEX = "<Iqqqq"  # has a doc_id, doc_id, place of the record in bytes, bytes of the record, ids
 HEAD_SIZE = struct.calcsize(HEAD)
 BATCH = 8 << 20  # bytes framed or read at a time
@@ -56,6 +56,12 @@ def unframe(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
+def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids (unsigned, 32 bits) of a payload."""
+    width, known, doc = struct.unpack(HEAD, payload[:HEAD_SIZE])
+    return (doc if known else None), np.frombuffer(payload[HEAD_SIZE:], f"<u{width}").astype("<u4")
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -65,21 +71,18 @@ def _open(path: str):
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = END) -> DataFrame:
     """Writes the shards and returns the manifest."""
     folder = folder or run_folder(docs.sparkSession, "token-files")
-    tail = int(end).to_bytes(4, "little")
-
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open(folder)
         ids_of, own = encoder(tokenizer).ids, None
         records = tokens = place = 0
 
-        def put(waiting: list[tuple[bytes, bytes]]) -> None:
+        def put(waiting: list[tuple[bool, int, int, bytes]]) -> None:
             nonlocal place, records, tokens
             entries = []
-            for (head, ids), record in zip(waiting, frame([h + i for h, i in waiting]), strict=True):
-                known, doc = struct.unpack(HEAD, head)
-                entries.append(struct.pack(INDEX, known, doc, place, len(record), len(ids) // 4))
+            for (known, doc, n, _), record in zip(waiting, frame([w[3] for w in waiting]), strict=True):
+                entries.append(struct.pack(INDEX, known, doc, place, len(record), n))
                 data.write(record)
-                place, records, tokens = place + len(record), records + 1, tokens + len(ids) // 4
+                place, records, tokens = place + len(record), records + 1, tokens + n
             index.write(b"".join(entries))
 
         for batch in batches:
@@ -90,8 +93,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
             waiting, held = [], 0
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 known = not pd.isna(doc)
-                waiting.append((struct.pack(HEAD, known, int(doc) if known else 0), ids_of(text) + tail))
-                held += len(waiting[-1][1])
+                doc, ids = int(doc) if known else 0, ids_of(text)
+                ids = np.append(ids, ids.dtype.type(end))
+                width = ids.dtype.itemsize
+                waiting.append((known, doc, len(ids), struct.pack(HEAD, width, known, doc) + ids.astype(f"<u{width}").tobytes()))
+                held += len(waiting[-1][3])
                 if held > BATCH:
                     put(waiting)
                     waiting, held = [], 0
@@ -146,7 +152,7 @@ def read(manifest: DataFrame) -> DataFrame:
                             "doc_id": pd.array([doc for doc, *_ in now], "Int64"),
                             "start": start + np.cumsum(tokens) - tokens,
                             "n_tokens": tokens,
-                            "ids_crc32": [zlib.crc32(memoryview(p)[HEAD_SIZE :]) for p in payloads],
+                            "ids_crc32": [zlib.crc32(unpack(p)[1]) for p in payloads],
                             "path": path, "place": [place for _, place, *_ in now], "size": [size for _, _, size, _ in now],
                         })
                         start += int(tokens.sum())
@@ -163,5 +169,4 @@ def fetch(path: str, place: int, size: int) -> tuple[int | None, np.ndarray]:
     with system.open_input_file(at) as file:
         file.seek(place)
         payload = unframe([bytes(file.read(size))])[0]
-    known, doc = struct.unpack(HEAD, payload[:HEAD_SIZE])
-    return (doc if known else None), np.frombuffer(payload[HEAD_SIZE :], "<u4")
+    return unpack(payload)
