@@ -69,7 +69,8 @@ def mix_copies(
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, text_hash, size, source_size, target, copies, taken."""
     rows = docs.select("doc_id", "source", text_hash().alias("text_hash"), word_count().alias("size"))
-    rows = ranked(rows, ["source"], ["size", "doc_id", "text_hash"], "place")
+    # cut first, else the range sort's sampling would read and count all words again
+    rows = ranked(cut(rows), ["source"], ["size", "doc_id", "text_hash"], "place")
     rows = cut(rows)
     targets = source_targets(rows, weights, share, ceiling).withColumnRenamed("source", "target_source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
