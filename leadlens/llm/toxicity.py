@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier trained here, in NumPy.
 
-A word is the sum of two embeddings under two independent hashes, so that one collision does not turn a word into
-another.  Filters of several widths run over the whole text and are max-pooled; a logistic unit reads the pooled values.
+A word is the sum of three embeddings: under two independent hashes, so that one collision does not turn a word into
+another, and under a hash of its first letters, so that forms of a stem share what is learned.  Filters of several widths run over the whole text and are max-pooled; a logistic unit reads the pooled values.
 
 Training takes at most ``FIT_ROWS`` labelled rows, half of each class as far as there are, in hash order; it is the only
 bounded part.  A fifth of them is held back: on it each language gets a threshold, and scores are moved (as log-odds) so
@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ ACCEPT = 0.7
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 SIZE = 8  # of an embedding
-BUCKETS = 1 << 16  # for each of the two hashes
+BUCKETS = 1 << 16  # for each hash
+HASHES = 3
+STEM = 5  # bytes of the third
 EPOCHS = 6
 BATCH = 32
 RATE = 0.05
@@ -42,22 +45,32 @@ _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """Two rows of bucket numbers, one column for each word of the whole text."""
+    """``HASHES`` rows of bucket numbers, one column for each word of the whole text."""
     words = _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
     hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
     mixed = (hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return np.stack([(hashes % BUCKETS).astype(np.int32), (mixed % BUCKETS).astype(np.int32)])
+    stems = np.fromiter((zlib.crc32(w[:STEM]) for w in words), np.uint32, len(words))
+    return np.stack([(h % BUCKETS).astype(np.int32) for h in (hashes, mixed, stems)])
 
 
 @dataclass
 class Model:
-    tables: list[np.ndarray]  # for each width: (2, width, BUCKETS, FILTERS)
+    embed: np.ndarray  # (HASHES, BUCKETS, SIZE)
+    filters: list[np.ndarray]  # for each width: (width, SIZE, FILTERS)
     bias: np.ndarray  # for each pooled value
     weights: np.ndarray
     constant: float
     languages: np.ndarray  # (BUCKETS, languages): log-likelihood ratios by first hash; all zero elsewhere
     thresholds: np.ndarray  # for each language, then for texts of none
 
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        """What each bucket adds to each filter, for each width: (HASHES, width, BUCKETS, FILTERS)."""
+        return [np.einsum("sbd,jdf->sjbf", self.embed, w).astype(np.float32) for w in self.filters]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # a worker makes its own
+
     def pooled(self, ids: np.ndarray) -> np.ndarray:
         """Maximum of every filter over the text; 0 where none fires."""
         best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
@@ -68,10 +81,10 @@ class Model:
                 if n < 1:
                     continue
                 table = self.tables[k]
-                total = table[0, 0][part[0, :n]] + table[1, 0][part[1, :n]]
-                for j in range(1, width):
-                    total += table[0, j][part[0, j : j + n]]
-                    total += table[1, j][part[1, j : j + n]]
+                total = table[0, 0][part[0, :n]]
+                for j in range(width):
+                    for h in range(j == 0, HASHES):
+                        total += table[h, j][part[h, j : j + n]]
                 own = slice(k * FILTERS, (k + 1) * FILTERS)
                 np.maximum(best[own], total.max(axis=0) + self.bias[own], out=best[own])
         return best
@@ -122,7 +135,7 @@ def train(texts: list[str | None], toxic: list[int], langs: list[str | None]) ->
     if not y[used].any() or y[used].all():
         held, used = order[:0], order
     pools = len(WIDTHS) * FILTERS
-    embed = np.zeros((2, BUCKETS, SIZE), np.float32)
+    embed = np.zeros((HASHES, BUCKETS, SIZE), np.float32)
     filters = [rng.normal(0, 0.5, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias, weights, constant = np.full(pools, 0.01, np.float32), rng.normal(0, 0.5, pools).astype(np.float32), np.float32(0)
     sums = [np.full_like(x, 1e-4) for x in (embed, *filters, bias, weights)]  # squared gradients, for the rates
@@ -141,7 +154,7 @@ def train(texts: list[str | None], toxic: list[int], langs: list[str | None]) ->
                 own = ids[doc]
                 if not own.shape[1]:
                     continue
-                vectors = embed[0][own[0]] + embed[1][own[1]]
+                vectors = sum(embed[h][own[h]] for h in range(HASHES))
                 for k, width in enumerate(WIDTHS):
                     n = len(vectors) - width + 1
                     if n < 1:
@@ -168,7 +181,7 @@ def train(texts: list[str | None], toxic: list[int], langs: list[str | None]) ->
                 grad = np.zeros_like(filters[k])
                 for j in range(width):
                     found = np.stack([ids[batch[a]][:, b + j] for a, b in zip(r, at_word, strict=True)])
-                    vectors = embed[0][found[:, 0]] + embed[1][found[:, 1]]
+                    vectors = sum(embed[h][found[:, h]] for h in range(HASHES))
                     by_filter = np.zeros((FILTERS, SIZE), np.float32)
                     np.add.at(by_filter, f, g[:, None] * vectors)
                     grad[j] = by_filter.T
@@ -178,13 +191,12 @@ def train(texts: list[str | None], toxic: list[int], langs: list[str | None]) ->
             if moved:
                 found = np.concatenate([m[0] for m in moved])
                 grads = np.concatenate([m[1] for m in moved])
-                for side in range(2):
+                for side in range(HASHES):
                     rows, place = np.unique(found[:, side], return_inverse=True)
                     grad = np.zeros((len(rows), SIZE), np.float32)
                     np.add.at(grad, place, grads)
                     step(embed[side], sums[0][side], grad, rows)
-    tables = [np.einsum("sbd,jdf->sjbf", embed, w).astype(np.float32) for w in filters]
-    model = Model(tables, bias, weights, float(constant), *_languages([ids[i] for i in used], [langs[i] for i in used]))
+    model = Model(embed, filters, bias, weights, float(constant), *_languages([ids[i] for i in used], [langs[i] for i in used]))
     judged = held if len(held) and y[held].any() and not y[held].all() else used
     odds = np.array([model.raw(ids[i]) for i in judged])
     named = np.array([model.language(ids[i]) for i in judged])
