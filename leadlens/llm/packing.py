@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row for each piece: its columns from ``pieces``, sequence_id, and offset, its place in the sequence."""
-    rows = pieces(docs, tokenizer, capacity, end, with_ids)
+    rows = cut(pieces(docs, tokenizer, capacity, end, with_ids))  # else the range sort's sampling would encode again
     return place(ranked(rows, ["length"], ["doc_id", "piece", "text_hash"], "place"), capacity)
 
 
