@@ -2,7 +2,7 @@
 exactly with vantage-point trees.
 
 A fingerprint is computed inside a task from the whole text.  Equal fingerprints are one point.  A top tree over a
-sample of at most ``SAMPLE`` points deals all points to shards: at a node with vantage v and bound m, points at distance
+sample of about ``SAMPLE`` points, at most twice as many, deals all points to shards: at a node with vantage v and bound m, points at distance
 <= m from v go left, others right.  By the triangle inequality a point to the right can have a partner on the left only if
 its own distance is <= m + radius; it then visits the left side too, and inside a subtree a visitor follows each branch
 that its bounds leave open.  So every linked pair meets in the shard where one of both is at home.  Inside a shard the
@@ -176,7 +176,8 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between points ``points(fp)``, all different, that connect what is linked."""
     spark = points.sparkSession
     total = points.count()
-    sample = [r[0] for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
+    share = min(2**31, -(-SAMPLE * 2**31 // max(1, total)))  # of the hashes: about SAMPLE points, whatever the partitions
+    sample = [r[0] for r in points.where(F.pmod(F.xxhash64("fp"), F.lit(2**31)) < share).sort("fp").limit(2 * SAMPLE).collect()]
     shards = min(SHARDS[1], max(SHARDS[0], -(-total // SHARD)))
     nodes = spark.sparkContext.broadcast(top_tree(np.array(sample, np.int64).view(np.uint64), shards, radius))
 
