@@ -220,7 +220,7 @@ done AS (
 )
 SELECT id, CASE WHEN status = 'pending' AND attempts >= 3 THEN 'rejected' ELSE status END AS status, attempts, probe_alive FROM done""",
     "discovery_counters": f"""{_OUT}
-SELECT count(*) FILTER (WHERE outcome IN ('promoted', 'rejected')) AS probed, count(*) FILTER (WHERE outcome = 'promoted') AS promoted,
+SELECT count(*) FILTER (WHERE outcome IN ('promoted', 'rejected')) AS probed, count(DISTINCT reg) FILTER (WHERE outcome = 'promoted') AS promoted,
   count(*) FILTER (WHERE outcome = 'rejected') AS rejected,
   count(*) FILTER (WHERE outcome IN ('waiting', 'unsafe', 'known')) AS skipped FROM outc""",
     "promoted_services": f"""{_OUT}

@@ -223,7 +223,7 @@ def certificate_hits(spark, sf):
     e = V.text_table(spark, sf, "orders").select(
         path.alias("path"), (F.floor(n / 3) % 2).cast("int").alias("pattern_no"), n.alias("entry_no"), name.alias("name_value")
     )
-    rows = CT.parse_certificate_hits(e, per_pattern=1000)
+    rows = CT.parse_certificate_hits(e)
     return _out(rows, F.coalesce("meta.force_classify", lit(False)).alias("forced"))
 
 
@@ -290,7 +290,7 @@ def provider_docs(spark, sf):
 
 
 def repo_set(spark, sf):
-    """Supplier repositories as seeds, order rows as search results; eight new ones at most."""
+    """Supplier repositories as seeds, order rows as search results."""
     seeds = V.table(spark, sf, "supplier").select(F.concat(lit("seed"), _s("s_suppkey")).alias("source"), F.concat(lit("o/R-"), _s("s_suppkey")).alias("repo"))
     found = V.table(spark, sf, "orders").select(
         F.when(c("o_orderstatus") == "F", F.concat(lit("o/R-"), _s("o_custkey"))).otherwise(c("o_orderstatus")).alias("repo"), c("o_orderkey").alias("found_no")
@@ -381,10 +381,10 @@ _CERT = """cert0 AS (
 ),
 cert1 AS (SELECT *, row_number() OVER (PARTITION BY p, pat ORDER BY n) AS rn FROM cert0),
 cert2 AS (
-  SELECT p, pat, n, 0 AS nn, 'llm' || CAST(u AS VARCHAR) || '.com' AS host FROM cert1 WHERE rn <= 1000
+  SELECT p, pat, n, 0 AS nn, 'llm' || CAST(u AS VARCHAR) || '.com' AS host FROM cert1
   UNION ALL
   SELECT p, pat, n, 1, CASE WHEN u % 2 = 0 THEN 'api.shop' || CAST(u AS VARCHAR) || '.net' ELSE 'brand' || CAST(u AS VARCHAR) || '.ai' END
-  FROM cert1 WHERE rn <= 1000
+  FROM cert1
 ),
 cert3 AS (
   SELECT *, CASE WHEN p = 2 THEN 'candidate' WHEN starts_with(host, 'llm') THEN 'force' WHEN p = 1 AND ends_with(host, '.ai') THEN 'candidate' END AS kind,
@@ -392,9 +392,9 @@ cert3 AS (
 )"""
 
 ORACLE = {
-    "feed_items": f"SELECT source, md5(({_FEED_BODY})[1:8000]) AS digest, {N} AS url, {_LINK} AS source_url FROM documents",
-    "feed_items_community": f"SELECT 'reddit' AS source, md5(({_FEED_BODY})[1:6000]) AS digest, lang AS url, {_LINK} AS source_url FROM documents",
-    "feed_items_mirror": f"""SELECT 'twitter' AS source, md5(({_MIRROR})[1:4000]) AS digest, {N} AS url,
+    "feed_items": f"SELECT source, md5(({_FEED_BODY})) AS digest, {N} AS url, {_LINK} AS source_url FROM documents",
+    "feed_items_community": f"SELECT 'reddit' AS source, md5(({_FEED_BODY})) AS digest, lang AS url, {_LINK} AS source_url FROM documents",
+    "feed_items_mirror": f"""SELECT 'twitter' AS source, md5(({_MIRROR})) AS digest, {N} AS url,
   'https://twitter.com/' || CAST(doc_id AS VARCHAR) || '?a=1&b=2' AS source_url FROM documents""",
     "feed_formats": "SELECT doc_id AS payload_id, true AS is_feed, false AS late FROM documents",
     "package_feed": """SELECT 'pypi' AS source, 'llm ' || p_name || '.' AS raw_text, 'https://pypi.example/' || CAST(p_partkey AS VARCHAR) AS url,
@@ -469,7 +469,7 @@ WITH s AS (SELECT 'seed' || CAST(s_suppkey AS VARCHAR) AS source, 'o/R-' || CAST
 f AS (SELECT 'o/R-' || CAST(o_custkey AS VARCHAR) AS repo, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT * FROM s UNION ALL
 SELECT 'ghlist_' || replace(replace(lower(repo), '/', '_'), '-', '_'), repo FROM (
-  SELECT * FROM f WHERE repo NOT IN (SELECT repo FROM s) ORDER BY k LIMIT 8)""",
+  SELECT * FROM f WHERE repo NOT IN (SELECT repo FROM s))""",
     "snippet_hosts": _rows(
         *[("'pastebin'", f"'Paste config: ' || {h}", f"'https://' || {h}", N, "orders") for h in (f"'relay' || {U_} || '.example.net'", f"'x' || {U_} || '.io'")]
     ),
@@ -478,7 +478,7 @@ SELECT 'ghlist_' || replace(replace(lower(repo), '/', '_'), '-', '_'), repo FROM
     "channel_messages": """
 WITH m AS (SELECT *, CASE WHEN conv_id % 5 <> 0 THEN 'chan' || CAST(conv_id AS VARCHAR) END AS chan, conv_id % 3 AS topic,
                   coalesce(nullif(CASE WHEN turn % 2 = 0 THEN turn END, 0), turn + 1) AS tid FROM conversations)
-SELECT 'telegram' AS source, md5(text[1:8000]) AS digest,
+SELECT 'telegram' AS source, md5(text) AS digest,
   'https://t.me/' || coalesce(chan, CAST(conv_id AS VARCHAR)) || '/' || CAST(turn AS VARCHAR) AS source_url,
   CASE conv_id % 4 WHEN 0 THEN 'up' || CAST(conv_id % 10 AS VARCHAR) WHEN 1 THEN 'Title ' || CAST(conv_id % 6 AS VARCHAR) WHEN 2 THEN 'someone' END AS forward_from,
   (conv_id * 1000 + turn) * 1000000 AS ingest_seq

@@ -216,7 +216,6 @@ AGGREGATOR_SOURCES = ("telegram", "telegram_ingest")
 RETRY_HOURS = (1.0, 6.0, 24.0)
 UNSAFE_SUFFIXES = (".local", ".internal", ".lan", ".localdomain")
 LINKGRAPH_PATHS = ("/", "/models", "/providers", "/docs")
-LINKGRAPH_SEEDS = 10
 
 # ---------------------------------------------------------------- fixed values: feed views
 TAB_FILTERS = {

@@ -36,11 +36,12 @@ def merge_candidates(existing: DataFrame, harvested: DataFrame, as_of: Column) -
     return raised.unionByName(new_rows(added, "candidates"))
 
 
-def dequeue(candidates: DataFrame, limit: int = 40, max_attempts: int = 3, max_probes: int | None = None) -> DataFrame:
-    """Next batch: pending with attempts left, high priority first, then oldest."""
-    size = limit if max_probes is None else min(limit, max_probes)
+def dequeue(candidates: DataFrame, limit: int | None = None, max_attempts: int = 3, max_probes: int | None = None) -> DataFrame:
+    """Next batch: all pending with attempts left, or under a limit those of high priority first, then the oldest."""
+    size = min((n for n in (limit, max_probes) if n is not None), default=None)
     order = [F.when(F.col("priority") == "high", 0).otherwise(1), F.col("first_seen"), F.col("id")]
-    return candidates.where((F.col("status") == "pending") & (F.col("attempts") < max_attempts)).orderBy(*order).limit(size)
+    due = candidates.where((F.col("status") == "pending") & (F.col("attempts") < max_attempts))
+    return due if size is None else due.orderBy(*order).limit(size)
 
 
 def waits_for_retry(attempts: Column, probed_at: Column, as_of: Column) -> Column:
@@ -126,7 +127,7 @@ def discovery_counters(outcomes: DataFrame) -> DataFrame:
     o = F.col("outcome")
     return outcomes.agg(
         F.count_if(o.isin("promoted", "rejected")).alias("probed"),
-        F.count_if(o == "promoted").alias("promoted"),
+        F.count_distinct(F.when(o == "promoted", F.col("reg"))).alias("promoted"),  # services, not hosts
         F.count_if(o == "rejected").alias("rejected"),
         F.count_if(o.isin("waiting", "unsafe", "known")).alias("skipped"),
     )
@@ -151,9 +152,8 @@ def promote(services: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFram
 
 
 def link_seeds(promoted: DataFrame, max_probes: int | None = None) -> DataFrame:
-    """The promoted domains whose pages are expanded: the first ten, fewer under a smaller budget."""
-    cap = lx.LINKGRAPH_SEEDS if max_probes is None else min(lx.LINKGRAPH_SEEDS, max_probes)
-    return promoted.orderBy("first_seen", "id").limit(cap)
+    """The promoted domains whose pages are expanded: all, or the first ``max_probes``."""
+    return promoted if max_probes is None else promoted.orderBy("first_seen", "id").limit(max_probes)
 
 
 def outbound_domains(pages: DataFrame) -> DataFrame:

@@ -180,9 +180,17 @@ def label_signals(
 
 
 # ------------------------------------------------------------------ duplicates
+def _content() -> Column:
+    """What tells rows of one arrival number apart."""
+    return F.to_json(F.struct("url", "raw_text"))
+
+
 def _locator_key() -> Column:
-    """Stored key of a row; rows without a source_url get a key of their own and are never duplicates."""
-    own = F.concat(F.lit("#"), F.col("ingest_seq").cast("string"))
+    """Stored key of a row; rows without a source_url get a key of their own and are never duplicates.
+
+    The arrival number alone would not do: rows of two nested lists may share one.
+    """
+    own = F.concat(F.lit("#"), F.col("ingest_seq").cast("string"), F.lit("#"), F.sha2(_content(), 256))
     return F.coalesce(F.concat(F.lit("="), truthy_text(F.col("source_url"))), own)
 
 
@@ -247,6 +255,7 @@ def pipeline_counters(
         labelled.select(
             "source", "source_url", "url", "ingest_seq", "blocked", "implausible", "route", "service_key", "offer_type",
             F.struct(F.col("label.is_offer").alias("is_offer")).alias("label"),
+            F.sha2(F.coalesce("raw_text", F.lit("")), 256).alias("raw_text"),  # stands for the text in keys
         )
     )
     rows = storable(routed, stored)
@@ -290,7 +299,7 @@ def row_offer_id() -> Column:
 
 
 def stored_signals(rows: DataFrame) -> DataFrame:
-    """Rows in the shape of the signals table (text capped at 8000 characters, as stored)."""
+    """Rows in the shape of the signals table (whole texts)."""
     return with_schema(
         rows.select(
             F.xxhash64(F.lit("signal"), "source", _locator_key(), "ingest_seq").alias("id"),
@@ -299,7 +308,7 @@ def stored_signals(rows: DataFrame) -> DataFrame:
             "source",
             "source_url",
             "url",
-            F.substring(F.coalesce("raw_text", F.lit("")), 1, 8000).alias("raw_text"),
+            F.coalesce("raw_text", F.lit("")).alias("raw_text"),
             "lang",
             F.col("label").alias("classification"),
             F.col("label.confidence").alias("confidence"),

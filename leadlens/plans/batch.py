@@ -80,10 +80,10 @@ class IngestJob:
 
 
 def discovery_step(
-    tables: dict[str, DataFrame], page_bodies: DataFrame, as_of: Column, limit: int = 40, max_attempts: int = 3
+    tables: dict[str, DataFrame], page_bodies: DataFrame, as_of: Column, limit: int | None = None, max_attempts: int = 3
 ) -> dict[str, DataFrame]:
     """Dequeue, decide on landed pages, promote, expand links, retire.  Returns the changed tables and counters."""
-    batch = C.dequeue(tables["candidates"], limit, max_attempts).persist()  # at most ``limit`` rows
+    batch = C.dequeue(tables["candidates"], limit, max_attempts).persist()
     mine = page_bodies.join(batch.select("domain"), "domain", "left_semi")
     outcomes = C.probe_outcomes(batch, tables["services"], E.page_facts(mine), as_of).persist()
     seeds = C.link_seeds(outcomes.where("outcome = 'promoted'")).select("domain")
@@ -108,7 +108,7 @@ def watchdog_step(
     page_bodies: DataFrame,
     signals: DataFrame,
     as_of: Column,
-    limit: int | None = 50,
+    limit: int | None = None,
     certificates: DataFrame | None = None,
     weights: lx.ScoreWeights = lx.ScoreWeights(),
 ) -> dict[str, DataFrame]:
@@ -129,13 +129,16 @@ def maintenance(
     signals: DataFrame,
     as_of: Column,
     outbox: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = N.group_batch,
+    recheck_limit: int | None = None,
+    decide_limit: int | None = None,
 ) -> None:
-    """Watchdog, discovery and notification over a snapshot, in that order; the outbox is written with it."""
+    """Watchdog, discovery and notification over a snapshot, in that order; the outbox is written with it.  All stale
+    services and pending candidates are treated unless a limit is given."""
     tables = read_snapshot(spark, previous)
-    checked = watchdog_step(tables, page_bodies, signals, as_of)
+    checked = watchdog_step(tables, page_bodies, signals, as_of, recheck_limit)
     services = staged(checked["services"], f"{target}/_checked_services")
     offers = staged(checked["offers"], f"{target}/_checked_offers")
-    found = discovery_step({**tables, "services": services}, page_bodies, as_of)
+    found = discovery_step({**tables, "services": services}, page_bodies, as_of, decide_limit)
     numbered = signals.withColumn("signal_id", F.col("id"))
     box = staged(outbox(offers, services, numbered), f"{target}/outbox")
     write_snapshot(

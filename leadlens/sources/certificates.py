@@ -22,15 +22,17 @@ def path_order(path: Column) -> Column:
     return out
 
 
-def parse_certificate_hits(entries: DataFrame, per_pattern: int = 500, source: str = "crtsh") -> DataFrame:
+def parse_certificate_hits(entries: DataFrame, per_pattern: int | None = None, source: str = "crtsh") -> DataFrame:
     """Search entries (path, pattern_no, entry_no, name_value) to distinct hosts.
 
     The three paths differ in what they accept: keyword hosts are labelled at once; hosts of the harvest zones
-    and hosts behind an API-like first label become candidates.  A host counts where it is first met.
+    and hosts behind an API-like first label become candidates.  A host counts where it is first met.  All entries
+    count, unless the caller asks for the first ``per_pattern`` of each pattern.
     """
-    numbered = Window.partitionBy("path", "pattern_no").orderBy("entry_no")
-    capped = entries.withColumn("_n", F.row_number().over(numbered)).where(F.col("_n") <= per_pattern)
-    names = capped.select("path", "pattern_no", "entry_no", F.posexplode(F.split("name_value", "\n")).alias("name_no", "name"))
+    if per_pattern is not None:
+        numbered = Window.partitionBy("path", "pattern_no").orderBy("entry_no")
+        entries = entries.withColumn("_n", F.row_number().over(numbered)).where(F.col("_n") <= per_pattern)
+    names = entries.select("path", "pattern_no", "entry_no", F.posexplode(F.split("name_value", "\n")).alias("name_no", "name"))
     host = F.ltrim(F.btrim("name", F.lit(" \t\r")), F.lit("*."))
     keyword = D.ct_keyword_match(F.col("host"))
     kind = (
@@ -47,11 +49,11 @@ def parse_certificate_hits(entries: DataFrame, per_pattern: int = 500, source: s
         .select("target", "kind", "order", "pattern_no", "entry_no", "name_no")
     )
     kept = first_per(found, ["target"], ["order", "pattern_no", "entry_no", "name_no"])
-    # positions: path, pattern, entry and name numbers packed into one order
+    # one order of path, pattern (8 bits), entry (37 bits) and name (16 bits) without overlap
     rows = kept.withColumns(
         {
-            "payload_id": F.col("order") * 4096 + F.col("pattern_no"),
-            "pos": F.col("entry_no") * 4096 + F.col("name_no"),
+            "payload_id": (F.col("order") * 256 + F.col("pattern_no")).cast("bigint") * (1 << 29) + F.shiftright(F.col("entry_no").cast("bigint"), 8),
+            "pos": F.pmod(F.col("entry_no"), F.lit(256)).cast("bigint") * 65536 + F.col("name_no"),
         }
     )
     return host_signals(rows, source, "https://crt.sh/?q=")

@@ -40,7 +40,7 @@ def message_signals(messages: DataFrame) -> DataFrame:
     link = F.concat(F.lit("https://t.me/"), channel, F.lit("/"), F.col("msg_id").cast("string"))
     rows = messages.select(
         F.lit("telegram").alias("source"),
-        F.substring(empty_if_null(F.col("text")), 1, 8000).alias("raw_text"),
+        empty_if_null(F.col("text")).alias("raw_text"),
         link.alias("source_url"),
         F.col("date").alias("observed_at"),
         F.unix_micros(F.col("date").cast("timestamp")).alias("ingest_seq"),

@@ -78,5 +78,11 @@ def empty_if_null(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def first_chars(value: Column | str, cap: int | None) -> Column:
+    """The whole text, or its first ``cap`` characters where a caller asks for a cap."""
+    value = F.col(value) if isinstance(value, str) else value
+    return value if cap is None else F.substring(value, 1, cap)
+
+
 def trim_chars(value: Column, chars: str) -> Column:
     return F.btrim(value, F.lit(chars))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.html import clean_markup
 from leadlens.functions.words import truthy_text
-from leadlens.sources.common import empty_if_null, exploded, meta, signals, text, trim_chars
+from leadlens.sources.common import empty_if_null, exploded, first_chars, meta, signals, text, trim_chars
 
 _LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
 _ITEM = (
@@ -29,15 +29,15 @@ class FeedForm:
     """How a feed becomes signals: fixed source (or the payload's), text cap, meta key for the feed name."""
 
     source: str | None = None
-    cap: int = 8000
+    cap: int | None = None
     feed_key: str | None = None
 
 
 # The published feed forms.
 FORUM = FeedForm()
-LAUNCHES = FeedForm(source="producthunt", cap=4000)
-COMMUNITY = FeedForm(source="reddit", cap=6000, feed_key="subreddit")
-CHANGELOG = FeedForm(source="changelog", cap=8000, feed_key="feed")
+LAUNCHES = FeedForm(source="producthunt")
+COMMUNITY = FeedForm(source="reddit", feed_key="subreddit")
+CHANGELOG = FeedForm(source="changelog", feed_key="feed")
 
 
 def is_feed(body: Column) -> Column:
@@ -90,10 +90,10 @@ def parse_feed(payloads: DataFrame, form: FeedForm = FORUM) -> DataFrame:
     rows = rows.where((F.col("text") != "") | truthy_text(F.col("link")).isNotNull())
     extra = {form.feed_key: F.col("feed")} if form.feed_key else {"feed_title": F.col("title")}
     source = F.col("source") if form.source is None else text(form.source)
-    return signals(rows, source, F.substring("text", 1, form.cap), source_url=F.col("link"), meta_value=meta(extra))
+    return signals(rows, source, first_chars("text", form.cap), source_url=F.col("link"), meta_value=meta(extra))
 
 
-def parse_mirror_feed(payloads: DataFrame, cap: int = 4000, canonical: str = "https://twitter.com") -> DataFrame:
+def parse_mirror_feed(payloads: DataFrame, cap: int | None = None, canonical: str = "https://twitter.com") -> DataFrame:
     """Timeline feed of a mirror (column ``instance``): links are rewritten to the canonical host."""
     rows = _joined_text(entries(payloads))
     rows = rows.withColumn("text", trim_chars(trim_chars(F.col("text"), ". "), " \t\n\r"))
@@ -104,15 +104,15 @@ def parse_mirror_feed(payloads: DataFrame, cap: int = 4000, canonical: str = "ht
     ).otherwise(link)
     rows = rows.where((F.col("text") != "") | (link != ""))
     return signals(
-        rows, "twitter", F.substring("text", 1, cap), source_url=truthy_text(moved),
+        rows, "twitter", first_chars("text", cap), source_url=truthy_text(moved),
         meta_value=meta({"via": F.lit("nitter"), "instance": F.col("instance")}),
     )
 
 
-def parse_package_feed(payloads: DataFrame, source: str = "pypi", cap: int = 2000) -> DataFrame:
+def parse_package_feed(payloads: DataFrame, source: str = "pypi", cap: int | None = None) -> DataFrame:
     """Package index entries about AI; text is kept as written, the link falls back to the first href."""
     rows = entries(payloads).withColumns({"title": empty_if_null(F.col("title")), "summary": empty_if_null(F.col("summary"))})
     rows = rows.where(F.concat("title", F.lit(" "), "summary").rlike(PACKAGE_PATTERN))
     link = F.coalesce(truthy_text(F.col("link")), F.col("any_link"))
     body = trim_chars(F.concat("title", F.lit(". "), "summary"), " \t\n\r")
-    return signals(rows, source, F.substring(body, 1, cap), url=link, source_url=link, meta_value=meta({"registry": F.lit("pypi")}))
+    return signals(rows, source, first_chars(body, cap), url=link, source_url=link, meta_value=meta({"registry": F.lit("pypi")}))

@@ -40,7 +40,7 @@ def parse_listing(
     raw = trim_chars(F.concat("item.text", F.lit(" "), "item.title"), " \t\n\r")
     rows = rows.withColumn("_raw", raw).where(F.col("_raw") != "")
     flags = meta(service_candidate=True) if candidate else meta()
-    return signals(rows, source, F.substring("_raw", 1, 2000), F.col("_href"), F.col("page_url"), meta_value=flags)
+    return signals(rows, source, F.col("_raw"), F.col("_href"), F.col("page_url"), meta_value=flags)
 
 
 def parse_job_listing(pages: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def parse_brand_page(pages: DataFrame, source: str = "coupon") -> DataFrame:
     whole = H.squeeze(F.concat_ws(" ", "_title", "_desc", snippet))
     rows = rows.withColumns({"_text": whole, "pos": F.lit(0)}).where(F.col("_text").rlike(DEAL_PATTERN))
     return signals(
-        rows, source, F.substring("_text", 1, 2000), F.concat(F.lit("https://"), "brand"), F.col("page_url"),
+        rows, source, F.col("_text"), F.concat(F.lit("https://"), "brand"), F.col("page_url"),
         meta_value=meta({"brand": F.col("brand")}),
     )
 
@@ -106,4 +106,4 @@ def parse_server_cards(pages: DataFrame, source: str = "discord_dir") -> DataFra
     rows = rows.where((F.col("_text") != "") | F.col("_site").isNotNull())
     rows = rows.withColumn("_key", F.coalesce(truthy_text(F.col("_site")), F.substring("_text", 1, 120)))
     rows = first_per(rows, ["payload_id", "_key"], ["pos"])
-    return signals(rows, text(source), F.substring("_text", 1, 4000), F.col("_site"), F.col("page_url"))
+    return signals(rows, text(source), F.col("_text"), F.col("_site"), F.col("page_url"))

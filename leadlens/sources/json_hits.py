@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions.words import has_any, literals, truthy_text
-from leadlens.sources.common import empty_if_null, exploded, first_per, meta, signals, trim_chars
+from leadlens.sources.common import empty_if_null, exploded, first_chars, first_per, meta, signals, trim_chars
 
 _SPACE = " \t\n\r"
 
@@ -34,7 +34,7 @@ def _per_url(rows: DataFrame, urls: Column) -> DataFrame:
     return out.withColumn("pos", F.col("pos") * 1024 + F.coalesce("_u", F.lit(0))).drop("_u")
 
 
-def parse_news_hits(payloads: DataFrame, source: str = "hackernews", cap: int = 4000) -> DataFrame:
+def parse_news_hits(payloads: DataFrame, source: str = "hackernews", cap: int | None = None) -> DataFrame:
     rows = _items(
         payloads,
         "hits array<struct<title:string,story_title:string,url:string,story_url:string,story_text:string,"
@@ -48,7 +48,7 @@ def parse_news_hits(payloads: DataFrame, source: str = "hackernews", cap: int =
     rows = rows.where((F.col("text") != "") | F.col("link").isNotNull())
     permalink = F.concat(F.lit("https://news.ycombinator.com/item?id="), truthy_text(i["objectID"]))
     return signals(
-        rows, source, F.substring("text", 1, cap), F.col("link"), F.coalesce(permalink, F.col("link")),
+        rows, source, first_chars("text", cap), F.col("link"), F.coalesce(permalink, F.col("link")),
         meta_value=meta({"points": i["points"]}),
     )
 
@@ -64,7 +64,7 @@ def parse_repo_hits(payloads: DataFrame, source: str = "github") -> DataFrame:
     rows = rows.where(_either(i["description"], i["homepage"]).isNotNull())
     body = trim_chars(_dotted(_either(i["full_name"], i["name"]), i["description"]), _SPACE)
     return signals(
-        rows, source, F.substring(body, 1, 2000), truthy_text(i["homepage"]), i["html_url"],
+        rows, source, body, truthy_text(i["homepage"]), i["html_url"],
         meta_value=meta({"stars": i["stargazers_count"]}),
     )
 
@@ -84,22 +84,21 @@ def parse_code_hits(payloads: DataFrame, source: str = "github_code") -> DataFra
     fragment = F.col("match.fragment")
     rows = rows.where(truthy_text(fragment).isNotNull())
     rows = _per_url(rows, F.regexp_extract_all(fragment, F.lit(CODE_URL_PATTERN), F.lit(0)))
-    return signals(rows, source, F.substring(fragment, 1, 2000), F.col("found_url"), F.col("item.html_url"))
+    return signals(rows, source, fragment, F.col("found_url"), F.col("item.html_url"))
 
 
 def parse_issue_hits(payloads: DataFrame, source: str = "github_issues") -> DataFrame:
-    """One row per URL in the first 2000 characters of an issue, else one row if it has an offer word."""
+    """One row per URL in an issue, else one row if it has an offer word."""
     rows = _items(payloads, "items array<struct<title:string,body:string,html_url:string>>", "items")
     rows = rows.withColumns(
-        {"title": empty_if_null(F.col("item.title")), "text": F.substring(empty_if_null(F.col("item.body")), 1, 2000)}
+        {"title": empty_if_null(F.col("item.title")), "text": empty_if_null(F.col("item.body"))}
     )
     urls = F.regexp_extract_all("text", F.lit(CODE_URL_PATTERN), F.lit(0))
     rows = _per_url(rows, urls)
     offered = has_any(F.concat("title", F.lit(" "), "text"), ISSUE_WORDS)
     rows = rows.where(F.col("found_url").isNotNull() | offered)
-    shown = F.when(F.col("found_url").isNotNull(), F.substring("text", 1, 500)).otherwise(F.col("text"))
     return signals(
-        rows, source, F.substring(F.concat("title", F.lit(". "), shown), 1, 2000), F.col("found_url"),
+        rows, source, F.concat("title", F.lit(". "), "text"), F.col("found_url"),
         F.col("item.html_url"),
     )
 
@@ -108,7 +107,7 @@ def parse_web_hits(payloads: DataFrame, source: str = "searchdorks") -> DataFram
     rows = _items(payloads, "items array<struct<title:string,snippet:string,link:string>>", "items")
     link = truthy_text(F.col("item.link"))
     body = trim_chars(_dotted(F.col("item.title"), F.col("item.snippet")), _SPACE)
-    return signals(rows.where(link.isNotNull()), source, F.substring(body, 1, 2000), link, link)
+    return signals(rows.where(link.isNotNull()), source, body, link, link)
 
 
 def parse_video_hits(payloads: DataFrame, source: str = "youtube") -> DataFrame:
@@ -122,7 +121,7 @@ def parse_video_hits(payloads: DataFrame, source: str = "youtube") -> DataFrame:
     urls = F.regexp_extract_all(empty_if_null(i["snippet"]["description"]), F.lit(r"(?U)https?://\S+"), F.lit(0))
     body = F.when(F.size(urls) > 0, F.concat(body, F.lit("\n"), F.array_join(urls, " "))).otherwise(body)
     link = F.concat(F.lit("https://youtu.be/"), i["id"]["videoId"])
-    return signals(rows, source, F.substring(body, 1, 2000), link, link)
+    return signals(rows, source, body, link, link)
 
 
 def parse_model_catalogue(payloads: DataFrame, source: str = "openrouter") -> DataFrame:
@@ -212,7 +211,7 @@ def parse_package_hits(payloads: DataFrame, source: str = "npm") -> DataFrame:
     rows = _per_url(rows, urls)
     body = trim_chars(_dotted(p["name"], p["description"]), _SPACE)
     return signals(
-        rows, source, F.substring(body, 1, 2000), F.col("found_url"),
+        rows, source, body, F.col("found_url"),
         meta_value=meta({"package": p["name"], "registry": F.lit("npm")}),
     )
 
@@ -246,7 +245,7 @@ def parse_company_hits(payloads: DataFrame, source: str = "yc") -> DataFrame:
     )
 
 
-def parse_launch_graph(payloads: DataFrame, source: str = "ph_upcoming", cap: int = 4000) -> DataFrame:
+def parse_launch_graph(payloads: DataFrame, source: str = "ph_upcoming", cap: int | None = None) -> DataFrame:
     """GraphQL posts with their nested topics."""
     node = (
         "struct<name:string,tagline:string,website:string,url:string,"
@@ -261,7 +260,7 @@ def parse_launch_graph(payloads: DataFrame, source: str = "ph_upcoming", cap: in
     rows = rows.withColumn("text", trim_chars(trim_chars(body, ". "), _SPACE))
     rows = rows.where((F.col("text") != "") | F.coalesce(website, url).isNotNull())
     return signals(
-        rows, source, F.substring("text", 1, cap), F.coalesce(website, url), url,
+        rows, source, first_chars("text", cap), F.coalesce(website, url), url,
         meta_value=meta({"topics": F.array_join(topics, ",")}, service_candidate=True),
     )
 
@@ -278,12 +277,12 @@ def parse_host_rows(payloads: DataFrame, source: str = "fofa") -> DataFrame:
     )
 
 
-def parse_post_hits(payloads: DataFrame, source: str = "twitter", cap: int = 4000) -> DataFrame:
+def parse_post_hits(payloads: DataFrame, source: str = "twitter", cap: int | None = None) -> DataFrame:
     rows = _items(payloads, "data array<struct<id:string,text:string>>", "data")
     i = F.col("item")
     link = F.concat(F.lit("https://twitter.com/i/web/status/"), truthy_text(i["id"]))
     return signals(
-        rows, source, F.substring(empty_if_null(i["text"]), 1, cap), source_url=link,
+        rows, source, first_chars(empty_if_null(i["text"]), cap), source_url=link,
         meta_value=meta({"via": F.lit("v2api"), "tweet_id": i["id"]}),
     )
 

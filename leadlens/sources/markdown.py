@@ -20,7 +20,6 @@ LIST_SKIP_HOSTS = (
 PROVIDER_URL_PATTERN = r"(?iU)https?://[^\s)\]\"'>]+"
 PROVIDER_NAME_PATTERN = r"^[|\-*]\s*\[?([A-Za-z][A-Za-z0-9 ._/+-]{1,40})\]?"
 PROVIDER_NOISE = ("provider", "providers", "model", "models")
-MAX_DISCOVERED = 8
 
 
 def lines(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -39,13 +38,15 @@ def parse_list(documents: DataFrame) -> DataFrame:
     context = squeeze(F.regexp_replace("line", r"[|#*`>\[\]]", " "))
     repo = truthy_text(F.col("repo")) if "repo" in documents.columns else F.lit(None).cast("string")
     origin = F.concat(F.lit("https://github.com/"), F.coalesce(repo, F.col("source")))
-    return signals(rows, F.col("source"), F.substring(context, 1, 1000), F.rtrim("_url", F.lit(".,);")), origin)
+    return signals(rows, F.col("source"), context, F.rtrim("_url", F.lit(".,);")), origin)
 
 
-def repo_set(seeds: DataFrame, discovered: DataFrame, limit: int = MAX_DISCOVERED) -> DataFrame:
-    """Seeds and the first few newly found repositories (columns source, repo, found_no)."""
+def repo_set(seeds: DataFrame, discovered: DataFrame, limit: int | None = None) -> DataFrame:
+    """Seeds and the newly found repositories (columns source, repo, found_no), all or the first ``limit``."""
     new = discovered.where(F.contains("repo", F.lit("/"))).join(seeds.select("repo"), "repo", "left_anti")
-    new = first_per(new.select("repo", "found_no"), ["repo"], ["found_no"]).orderBy("found_no").limit(limit)
+    new = first_per(new.select("repo", "found_no"), ["repo"], ["found_no"])
+    if limit is not None:
+        new = new.orderBy("found_no").limit(limit)
     key = F.regexp_replace(F.lower("repo"), "[/-]", "_")
     return seeds.select("source", "repo").unionByName(new.select(F.concat(F.lit("ghlist_"), key).alias("source"), "repo"))
 
