@@ -85,12 +85,12 @@ def sitemap_lines(robots: Column) -> Column:
     return F.filter(targets, lambda s: s != "")
 
 
-def offer_urls(sitemap: Column, limit: int = 5) -> Column:
-    """First distinct sitemap locations whose path names an offer page."""
+def offer_urls(sitemap: Column, limit: int | None = None) -> Column:
+    """Distinct sitemap locations whose path names an offer page, all or the first ``limit``."""
     locs = F.regexp_extract_all(sitemap, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
     path = lambda u: F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"[?#].*$", "")
     kept = F.filter(locs, lambda u: (u != "") & path(u).rlike(lx.OFFER_URL_PATTERN))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return F.array_distinct(kept) if limit is None else F.slice(F.array_distinct(kept), 1, limit)
 
 
 def model_ids(body: Column) -> Column:

@@ -16,11 +16,10 @@ _FIXED_PATHS = (
     "/", *lx.OFFER_PATHS_PRIMARY, *lx.OFFER_PATHS_SECONDARY, lx.RELAY_STATUS_PATH, lx.RELAY_MODELS_PATH,
     lx.RELAY_NOTICE_PATH,
 )
-_SITEMAP_BUDGET = 4  # fetches left for robots, sitemaps and their pages once two offer pages were read
 
 
 def read_pages(page_bodies: DataFrame) -> DataFrame:
-    """Per-page facts, so that the Python step runs once per page and later steps move small columns."""
+    """Per-page facts, so that the Python step runs once per page; of the landings of a page the newest counts."""
     ok = F.col("status") == 200
     js = ok & F.contains(F.coalesce("content_type", F.lit("")), F.lit("json"))
     body = F.when(F.col("status") < 400, F.coalesce("body", F.lit(""))).otherwise("")
@@ -33,19 +32,35 @@ def read_pages(page_bodies: DataFrame) -> DataFrame:
             H.title(F.col("_body")).alias("title"),
             P.detect_engine(F.col("_body"), F.col("headers")).alias("engine"),
             H.description(F.col("_body")).alias("description"),
-            H.visible_text(F.col("_body")).alias("text"),
+            H.visible_text(F.col("_body"), None).alias("text"),
             (ok & P.has_pricing_trigger(F.col("_body"))).alias("trigger"),
             (ok & (F.btrim(F.col("_body"), F.lit(" \t\r\n")) != "")).alias("content"),
             (js & P.is_relay_status(F.col("_body"))).alias("relay_status"),
             F.when(js, P.model_ids(F.col("_body"))).alias("model_ids"),
         ).alias("page"),
+        _age(page_bodies).alias("age"),
     )
-    return facts
+    return facts.groupBy("domain", "path").agg(F.min(F.struct("age", "page")).alias("_newest")).select(
+        "domain", "path", "_newest.page"
+    )
+
+
+def _age(page_bodies: DataFrame) -> Column:
+    """Smaller for a later landing; equal without landing times."""
+    if "landed_at" not in page_bodies.columns:
+        return F.lit(0).cast("bigint")
+    return -F.coalesce(F.unix_micros(F.col("landed_at").cast("timestamp")), F.lit(0))
+
+
+def _newest_bodies(page_bodies: DataFrame, *keys: str) -> DataFrame:
+    """The newest landing for each key; only pages that list others come here."""
+    return page_bodies.groupBy(*keys).agg(F.min_by("body", F.struct(_age(page_bodies), "body")).alias("body"))
 
 
 def _sitemap_pages(page_bodies: DataFrame, pages: DataFrame) -> DataFrame:
-    """Up to the first few offer pages that the robots file and the sitemaps of a domain point to, in order."""
-    robots = page_bodies.where("path = '/robots.txt' AND status = 200").select(
+    """The landed offer pages that the robots file and the sitemaps of a domain point to, in order."""
+    good = page_bodies.where("status = 200")
+    robots = _newest_bodies(good.where("path = '/robots.txt'"), "domain").select(
         "domain", P.sitemap_lines(F.col("body")).alias("listed")
     )
     local_path = lambda u: F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
@@ -62,20 +77,18 @@ def _sitemap_pages(page_bodies: DataFrame, pages: DataFrame) -> DataFrame:
                 )
             ).alias("maps"),
         )
-        .withColumn("room", F.greatest(F.lit(_SITEMAP_BUDGET - 1) - F.size("maps"), F.lit(0)))
-        .select("domain", "room", F.posexplode(F.slice("maps", 1, _SITEMAP_BUDGET - 1)).alias("map_no", "path"))
+        .select("domain", F.posexplode("maps").alias("map_no", "path"))
     )
     urls = (
-        page_bodies.where("status = 200")
-        .join(maps, ["domain", "path"])
-        .select("domain", "room", "map_no", F.posexplode(P.offer_urls(F.col("body"))).alias("url_no", "url"))
-        .select("domain", "room", F.struct("map_no", "url_no").alias("at"), local_path(F.col("url")).alias("path"))
+        _newest_bodies(good.join(maps, ["domain", "path"]), "domain", "path", "map_no")
+        .select("domain", "map_no", F.posexplode(P.offer_urls(F.col("body"), None)).alias("url_no", "url"))
+        .select("domain", F.struct("map_no", "url_no").alias("at"), local_path(F.col("url")).alias("path"))
+        .groupBy("domain", "path").agg(F.min("at").alias("at"))
     )
     found = urls.join(pages, ["domain", "path"])
     return (
-        found.groupBy("domain", "room")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "page"))).alias("seq"))  # at most five rows per sitemap
-        .select("domain", F.slice("seq", F.lit(1), F.least("room", F.lit(3))).alias("seq"))
+        found.groupBy("domain")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "page"))).alias("seq"))  # one row for each landed page listed
         .select("domain", F.transform("seq", lambda s: s["page"]).alias("extra"))
     )
 
@@ -121,7 +134,7 @@ def page_facts(page_bodies: DataFrame) -> DataFrame:
         }
     )
     notice_page, models_page = p[lx.RELAY_NOTICE_PATH], p[lx.RELAY_MODELS_PATH]
-    notice = F.when(F.coalesce(notice_page["ok"], no), F.substring(notice_page["text"], 1, 2000))
+    notice = F.when(F.coalesce(notice_page["ok"], no), notice_page["text"])
     ids = F.coalesce(truthy_array(models_page["model_ids"]), F.array().cast("array<string>"))
     out = out.withColumn("_ask", ~(F.col("_pricing") & F.col("_trigger") & F.col("_engine").isNotNull()))
     out = out.withColumns(
@@ -153,7 +166,7 @@ def page_facts(page_bodies: DataFrame) -> DataFrame:
     join = lambda *cols: F.concat_ws(" ", *cols)
     blob = join(
         *[F.coalesce(s["text"], F.lit("")) for s in scanned],
-        F.substring("_ids", 1, 2000),
+        F.col("_ids"),
         F.coalesce("_notice", F.lit("")),
         F.array_join(F.transform("_more", lambda e: e["text"]), " "),
     )

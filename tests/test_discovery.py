@@ -130,3 +130,22 @@ def test_single_mode_threshold(spark):
     box = N.single_batch(offers, services)
     assert [r["offer_id"] for r in box.collect()] == [1]
     assert N.single_batch(N.mark_notified(offers, box, now()), services).count() == 0
+
+
+def test_newest_landing_counts_and_all_listed_pages_are_read(spark):
+    from leadlens.operators import enrich
+
+    robots = "\n".join(f"Sitemap: https://a.example/map{n}.txt" for n in range(6))
+    listed = "".join(f"<loc>https://a.example/x{n}/pricing</loc>" for n in range(9))
+    rows = [
+        ("a.example", "/", 500, "text/html", None, "<title>old</title>", "2024-01-01"),
+        ("a.example", "/", 200, "text/html", None, "<title>new</title>", "2024-02-01"),
+        ("a.example", "/pricing", 200, "text/html", None, "<p>our plans</p>", "2024-01-01"),
+        ("a.example", "/robots.txt", 200, "text/plain", None, robots, "2024-01-01"),
+        ("a.example", "/map5.txt", 200, "text/xml", None, listed, "2024-01-01"),
+        ("a.example", "/x8/pricing", 200, "text/html", None, "<p>" + "word " * 2000 + "gpt-4o free trial</p>", "2024-01-01"),
+    ]
+    ddl = "domain string, path string, status int, content_type string, headers map<string,string>, body string, landed_at string"
+    facts = enrich.page_facts(spark.createDataFrame(rows, ddl)).collect()
+    assert [(f.title, f.alive, f.status) for f in facts] == [("new", True, 200)]
+    assert facts[0].pricing_triggers and "gpt" in facts[0].models
