@@ -85,6 +85,10 @@ def model_ranking(spark, sf):
     return stats.model_ranking(V.offers(spark, sf), V.services(spark, sf))
 
 
+def top_models(spark, sf):
+    return stats.top_models(V.offers(spark, sf), V.services(spark, sf))
+
+
 def model_ranking_all(spark, sf):
     return stats.model_ranking(V.offers(spark, sf), V.services(spark, sf), include_dead=True)
 
@@ -117,7 +121,7 @@ QUERIES = {
     for f in (
         source_leaderboard, source_leaderboard_joined, lead_metrics, lead_summary_api, lead_summary_edge,
         lead_scoreboard, lead_top10, first_source_per_offer, signals_by_source, top_sources, stats_totals,
-        offers_by_type, offers_by_effort, description_coverage, model_ranking, model_ranking_all, vote_totals,
+        offers_by_type, offers_by_effort, description_coverage, model_ranking, model_ranking_all, top_models, vote_totals,
         my_vote, offer_score, service_evidence,
     )
 }
@@ -226,6 +230,10 @@ UNION ALL SELECT 'edge', count(description), count(*) FROM offers""",
 SELECT lower(model) AS model, count(*) AS count
 FROM (SELECT unnest(o.models) AS model FROM offers o JOIN services s ON s.id = o.service_id WHERE s.status <> 'dead')
 GROUP BY 1""",
+    "top_models": f"""WITH {V.OFFERS_SQL}, {V.SERVICES_SQL}
+SELECT lower(model) AS model, count(*) AS count
+FROM (SELECT unnest(o.models) AS model FROM offers o JOIN services s ON s.id = o.service_id WHERE s.status <> 'dead')
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""",
     "model_ranking_all": f"""WITH {V.OFFERS_SQL}, {V.SERVICES_SQL}
 SELECT lower(model) AS model, count(*) AS count
 FROM (SELECT unnest(o.models) AS model FROM offers o JOIN services s ON s.id = o.service_id) GROUP BY 1""",

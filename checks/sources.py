@@ -83,6 +83,15 @@ def feed_items_community(spark, sf):
     return _digest(rows.withColumn("url", c("meta.extra")["subreddit"]))
 
 
+def feed_items_launches(spark, sf):
+    return _digest(FE.parse_feed(_feed_payloads(spark, sf), FE.LAUNCHES))
+
+
+def feed_items_changelog(spark, sf):
+    rows = FE.parse_feed(_feed_payloads(spark, sf), FE.CHANGELOG)
+    return _digest(rows.withColumn("url", c("meta.extra")["feed"]))
+
+
 def feed_items_mirror(spark, sf):
     return _digest(FE.parse_mirror_feed(_feed_payloads(spark, sf)))
 
@@ -350,7 +359,7 @@ def upstream_channels(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_items, feed_items_community, feed_items_mirror, feed_formats, package_feed, news_hits, repo_hits, code_hits,
+        feed_items, feed_items_community, feed_items_launches, feed_items_changelog, feed_items_mirror, feed_formats, package_feed, news_hits, repo_hits, code_hits,
         issue_hits, web_and_video_hits, model_catalogue, hub_models, package_hits, app_charts, companies_and_launches,
         hosts_and_posts, price_catalogue, certificate_hits, listing_links, job_listing, deal_links, brand_pages,
         server_cards, markdown_lists, provider_docs, repo_set, snippet_hosts, snippet_filters, channel_messages,
@@ -394,6 +403,8 @@ cert3 AS (
 ORACLE = {
     "feed_items": f"SELECT source, md5(({_FEED_BODY})) AS digest, {N} AS url, {_LINK} AS source_url FROM documents",
     "feed_items_community": f"SELECT 'reddit' AS source, md5(({_FEED_BODY})) AS digest, lang AS url, {_LINK} AS source_url FROM documents",
+    "feed_items_launches": f"SELECT 'producthunt' AS source, md5(({_FEED_BODY})) AS digest, {N} AS url, {_LINK} AS source_url FROM documents",
+    "feed_items_changelog": f"SELECT 'changelog' AS source, md5(({_FEED_BODY})) AS digest, lang AS url, {_LINK} AS source_url FROM documents",
     "feed_items_mirror": f"""SELECT 'twitter' AS source, md5(({_MIRROR})) AS digest, {N} AS url,
   'https://twitter.com/' || CAST(doc_id AS VARCHAR) || '?a=1&b=2' AS source_url FROM documents""",
     "feed_formats": "SELECT doc_id AS payload_id, true AS is_feed, false AS late FROM documents",
