@@ -141,7 +141,7 @@ def posts_offers_merged(spark, sf):
 
 def posts_lead_metrics(spark, sf):
     """Lead metrics of the offers the posts created (joined by the hashed ids)."""
-    rows = checkpointed(_rows(spark, sf).drop("raw_text", "match"))
+    rows = checkpointed(_rows(spark, sf).drop("match"))
     leads = I.merge_lead_metrics(schemas.empty(spark, "lead_metrics"), rows)
     offers = I.merge_offers(schemas.empty(spark, "offers"), rows, _instant()).select(
         F.col("id").alias("offer_id"), "canonical_domain", "type"

@@ -25,6 +25,10 @@ def _s(name):
     return F.col(name).cast("string")
 
 
+def _place():
+    return F.array_join(F.col("place").cast("array<string>"), ",").alias("place")
+
+
 def _out(df, *extra):
     return df.select("source", "raw_text", "url", "source_url", *extra)
 
@@ -140,7 +144,7 @@ def code_hits(spark, sf):
     frag = F.concat(lit("base_url='https://a"), u, lit(".ai/v1' or https://b"), k, lit(".dev)"))
     match = F.array(F.struct(frag.alias("fragment")), F.struct(c("o_orderpriority").alias("fragment")), F.struct(lit("").alias("fragment")))
     body = _json(items=_items({"html_url": F.concat(lit("https://g/"), k), "text_matches": match}))
-    return _out(J.parse_code_hits(_orders(spark, sf, body)))
+    return _out(J.parse_code_hits(_orders(spark, sf, body)), _place())
 
 
 def issue_hits(spark, sf):
@@ -182,7 +186,7 @@ def package_hits(spark, sf):
     links = F.struct(F.concat(lit("https://h"), u, lit(".dev")).alias("homepage"), F.when(c("o_orderkey") % 2 == 0, F.concat(lit("git+https://h"), u, lit(".dev."))).alias("repository"))
     one = F.struct(F.struct(F.concat(lit("p"), k).alias("name"), F.concat(lit("about (http://d"), u, lit(".io), ok")).alias("description"), links.alias("links")).alias("package"))
     two = F.struct(F.struct(F.concat(lit("q"), k).alias("name"), lit("bare").alias("description"), F.struct(lit(None).cast("string").alias("homepage"), lit(None).cast("string").alias("repository")).alias("links")).alias("package"))
-    return _out(J.parse_package_hits(_orders(spark, sf, F.to_json(F.struct(F.array(one, two).alias("objects"))))))
+    return _out(J.parse_package_hits(_orders(spark, sf, F.to_json(F.struct(F.array(one, two).alias("objects"))))), _place())
 
 
 def app_charts(spark, sf):
@@ -233,7 +237,7 @@ def certificate_hits(spark, sf):
         path.alias("path"), (F.floor(n / 3) % 2).cast("int").alias("pattern_no"), n.alias("entry_no"), name.alias("name_value")
     )
     rows = CT.parse_certificate_hits(e)
-    return _out(rows, F.coalesce("meta.force_classify", lit(False)).alias("forced"))
+    return _out(rows, F.coalesce("meta.force_classify", lit(False)).alias("forced"), _place())
 
 
 # ------------------------------------------------------------------ pages
@@ -416,11 +420,11 @@ ORACLE = {
          "CASE WHEN o_orderkey % 5 = 0 THEN 'https://s.io' END", "orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0"),
     ),
     "repo_hits": _rows(("'github'", f"'o/r' || {K_} || '. ' || o_orderpriority", f"'https://h' || {U_}", f"'https://github.com/o/r' || {K_}", "orders")),
-    "code_hits": _rows(
-        ("'github_code'", f"'base_url=''https://a' || {U_} || '.ai/v1'' or https://b' || {K_} || '.dev)'", f"'https://a' || {U_} || '.ai/v1'", f"'https://g/' || {K_}", "orders"),
-        ("'github_code'", f"'base_url=''https://a' || {U_} || '.ai/v1'' or https://b' || {K_} || '.dev)'", f"'https://b' || {K_} || '.dev'", f"'https://g/' || {K_}", "orders"),
-        ("'github_code'", "o_orderpriority", N, f"'https://g/' || {K_}", "orders"),
-    ),
+    "code_hits": f"""
+WITH r AS (SELECT *, 'base_url=''https://a' || {U_} || '.ai/v1'' or https://b' || {K_} || '.dev)' AS t FROM orders)
+SELECT 'github_code' AS source, t AS raw_text, 'https://a' || {U_} || '.ai/v1' AS url, 'https://g/' || {K_} AS source_url, {K_} || ',0,0,0' AS place FROM r
+UNION ALL SELECT 'github_code', t, 'https://b' || {K_} || '.dev', 'https://g/' || {K_}, {K_} || ',0,0,1' FROM r
+UNION ALL SELECT 'github_code', o_orderpriority, {N}, 'https://g/' || {K_}, {K_} || ',0,1,0' FROM r""",
     "issue_hits": _rows(
         *[("'github_issues'", f"'Issue ' || {K_} || '. my url https://a' || {U_} || '.ai and https://b' || {U_} || '.ai'", f"'https://{h}' || {U_} || '.ai'", f"'https://g/' || {K_}", "orders WHERE o_orderkey % 3 = 0") for h in "ab"],
         ("'github_issues'", f"'Issue ' || {K_} || '. a free trial here'", N, f"'https://g/' || {K_}", "orders WHERE o_orderkey % 3 = 1"),
@@ -439,10 +443,11 @@ n AS (SELECT *, o || '/m' || {K_} AS mid FROM m WHERE o <> 'someone')
 SELECT 'huggingface' AS source, 'New model release: ' || mid || ' (' || o_orderstatus || ')' || CASE WHEN o_orderstatus = 'F' THEN
   '. Available on HuggingFace Inference API (status=warm) — free access with HF token via OpenAI-compatible endpoint. No registration on third-party services required.' ELSE '' END AS raw_text,
   'https://huggingface.co/' || mid AS url, 'https://huggingface.co/' || mid AS source_url, o_orderstatus = 'F' AS forced, lower(o) AS org FROM n""",
-    "package_hits": _rows(
-        *[("'npm'", f"'p' || {K_} || '. about (http://d' || {U_} || '.io), ok'", u, N, "orders") for u in (f"'https://h' || {U_} || '.dev'", f"'http://d' || {U_} || '.io'")],
-        ("'npm'", f"'q' || {K_} || '. bare'", N, N, "orders"),
-    ),
+    "package_hits": f"""
+WITH r AS (SELECT *, 'p' || {K_} || '. about (http://d' || {U_} || '.io), ok' AS t FROM orders)
+SELECT 'npm' AS source, t AS raw_text, 'https://h' || {U_} || '.dev' AS url, {N} AS source_url, {K_} || ',0,0' AS place FROM r
+UNION ALL SELECT 'npm', t, 'http://d' || {U_} || '.io', {N}, {K_} || ',0,1' FROM r
+UNION ALL SELECT 'npm', 'q' || {K_} || '. bare', {N}, {N}, {K_} || ',1,0' FROM r""",
     "app_charts": f"""SELECT DISTINCT 'appstore' AS source, 'Chatty ' || {U_} || ' — X' AS raw_text,
   CASE WHEN o_custkey % 2 = 0 THEN 'https://apps/' || {U_} END AS url, {N} AS source_url FROM orders WHERE o_custkey % 3 = 0""",
     "companies_and_launches": f"""SELECT 'yc' AS source, 'Co' || {K_} || ' (' || o_orderstatus || '). ' || o_orderpriority AS raw_text, 'https://c' || {U_} AS url,
@@ -458,7 +463,8 @@ UNION ALL SELECT 'twitter', o_orderpriority, {N}, 'https://twitter.com/i/web/sta
     ),
     "certificate_hits": f"""WITH {_CERT},
 cert4 AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY p, pat, n, nn) AS k FROM cert3 WHERE kind IS NOT NULL)
-SELECT 'crtsh' AS source, target AS raw_text, 'https://' || target AS url, 'https://crt.sh/?q=' || target AS source_url, kind = 'force' AS forced
+SELECT 'crtsh' AS source, target AS raw_text, 'https://' || target AS url, 'https://crt.sh/?q=' || target AS source_url, kind = 'force' AS forced,
+  concat_ws(',', 0, p, pat, n, nn) AS place
 FROM cert4 WHERE k = 1""",
     "deal_links": f"""SELECT c_mktsegment AS source, ('Thetool' || c_mktsegment || ' Deal: 20% off The tool ' || c_mktsegment) AS raw_text,
   'https://tool' || {C_} || '.ai' AS url, 'https://www.list' || {C_} || '.com/new' AS source_url FROM customer

@@ -213,7 +213,7 @@ SELECT d.source, min(d.doc_id) AS doc_id FROM docs d
 WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source = d.source AND s.source_url = d.source_url)
 GROUP BY d.source, d.source_url""",
     "early_keys": f"""WITH {_DOC_KEYS}
-SELECT doc_id, source || '|' || coalesce(CASE WHEN doc_id % 3 = 0 THEN source_url END, substring(text, 1, 120)) AS early_key FROM docs""",
+SELECT doc_id, source || '|' || coalesce(CASE WHEN doc_id % 3 = 0 THEN source_url END, sha256(text)) AS early_key FROM docs""",
     "redacted_documents": _redacted(TEST_KEY_LINES),
     "redacted_documents_default": _redacted(lx.KEY_LINE_PATTERN.replace("(?iU)", "(?i)")),
     "bare_domains": f"""WITH {_TEXTS}, src AS (SELECT key, text FROM texts UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), html FROM pages),

@@ -1,7 +1,8 @@
 """Signals to services, offers and stored signals: normalise, label, route, deduplicate, merge.
 
-Arrival order decides every first-wins merge and is carried in ``ingest_seq``.  Ids are hashes of natural
-keys, so rows refer to each other without a join and two runs over the same input give the same tables.
+Arrival order decides every first-wins merge: ``ingest_seq``, then ``place``, then source and content (``arrival``), so
+that it is total and independent of the partitions.  Ids are hashes of natural keys, so rows refer to each other without
+a join and two runs over the same input give the same tables; merges group by the natural keys themselves.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def offer_id(domain: Column, offer_type: Column, url: Column | None = None) -> C
 
 
 def early_key(source: Column, source_url: Column, url: Column, raw_text: Column) -> Column:
-    """Key of an observation before it is stored: source, then the best locator it has."""
-    locator = F.coalesce(truthy_text(source_url), truthy_text(url), F.substring(raw_text, 1, 120), F.lit(""))
+    """Key of an observation before it is stored: source, then the best locator it has, else a digest of the whole text."""
+    locator = F.coalesce(truthy_text(source_url), truthy_text(url), F.sha2(truthy_text(raw_text), 256), F.lit(""))
     return F.concat(source, F.lit("|"), locator)
 
 
@@ -180,24 +181,34 @@ def label_signals(
 
 
 # ------------------------------------------------------------------ duplicates
-def _content() -> Column:
-    """What tells rows of one arrival number apart."""
-    return F.to_json(F.struct("url", "raw_text"))
+def arrival() -> Column:
+    """Total order of rows; the last field only settles rows that arrive at one place with one source."""
+    return F.struct("ingest_seq", "place", "source", F.xxhash64("source_url", "url", "raw_text").alias("tie"))
+
+
+def _locator() -> Column:
+    """What a row with a ``source_url`` is stored under; rows of a listing add their own key.  NULL without one."""
+    of_list = F.coalesce(F.concat(F.lit("\n"), truthy_text(F.col("row_key"))), F.lit(""))
+    return F.concat(F.lit("="), truthy_text(F.col("source_url")), of_list)
 
 
 def _locator_key() -> Column:
-    """Stored key of a row; rows without a source_url get a key of their own and are never duplicates.
+    """Stored key of a row; rows without a source_url get a key of their own and are never duplicates."""
+    own = F.to_json(F.struct("ingest_seq", "place", F.sha2(F.to_json(F.struct("url", "raw_text")), 256).alias("content")))
+    return F.coalesce(_locator(), F.concat(F.lit("#"), own))
 
-    The arrival number alone would not do: rows of two nested lists may share one.
-    """
-    own = F.concat(F.lit("#"), F.col("ingest_seq").cast("string"), F.lit("#"), F.sha2(_content(), 256))
-    return F.coalesce(F.concat(F.lit("="), truthy_text(F.col("source_url"))), own)
+
+def stored_keys(stored: DataFrame) -> DataFrame:
+    """Source and key of the stored rows that have a ``source_url``."""
+    if "row_key" not in stored.columns:
+        stored = stored.withColumn("row_key", F.lit(None).cast("string"))
+    return stored.select("source", _locator().alias("_key")).where(F.col("_key").isNotNull())
 
 
 def first_per_key(rows: DataFrame) -> DataFrame:
-    """First row per (source, source_url).  The ``row_number <= 1`` filter is also applied before the shuffle,
+    """First row per (source, source_url, row_key).  The ``row_number <= 1`` filter is also applied before the shuffle,
     so a key that holds most rows sends one row per map task."""
-    order = Window.partitionBy("source", "_key").orderBy("ingest_seq")
+    order = Window.partitionBy("source", "_key").orderBy(arrival())
     return rows.withColumn("_key", _locator_key()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop(
         "_key", "_n"
     )
@@ -208,37 +219,61 @@ def storable(routed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     fresh = first_per_key(routed.where(~F.col("blocked")))
     if stored is None:
         return fresh
-    known = stored.where(truthy_text(F.col("source_url")).isNotNull()).select("source", "source_url").distinct()
-    return fresh.join(known, ["source", "source_url"], "left_anti")
+    keyed = fresh.withColumn("_key", _locator_key())
+    return keyed.join(stored_keys(stored), ["source", "_key"], "left_anti").drop("_key").select(*fresh.columns)
 
 
 def outcome_counts(routed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Per-row outcome (dup, blocked or stored) reduced to counts, on key columns only.
 
     A row is a duplicate when a row of its key was stored earlier; blocked rows are not stored and so do not
-    make later rows duplicates.
+    make later rows duplicates.  Rows without a ``source_url`` are counted where they are.  Others are aggregated per
+    key, with partial results before the shuffle; only blocked rows of keys that also have a stored row are looked at
+    again, those before it being blocked and those after it duplicates.
     """
+    flags = F.struct("route", "implausible")
     narrow = routed.select(
-        "source", _locator_key().alias("_key"), "ingest_seq", "blocked", "route", "implausible",
+        "source", _locator().alias("_key"), arrival().alias("_at"), "blocked", flags.alias("flags"),
         F.col("label.is_offer").alias("is_offer"),
     )
-    first = narrow.where(~F.col("blocked")).groupBy("source", "_key").agg(F.min("ingest_seq").alias("first_seq"))
+    alone, keyed = narrow.where(F.col("_key").isNull()), narrow.where(F.col("_key").isNotNull())
+    free = F.when(~F.col("blocked"), F.col("_at"))
+    keys = keyed.groupBy("source", "_key").agg(
+        F.count("*").alias("rows"), F.count_if("blocked").alias("blocked_rows"), F.count_if("is_offer").alias("offers"),
+        F.min(free).alias("first"), F.min_by("flags", free).alias("flags"),
+    )
+    keys = keys.withColumn("known", F.lit(False))
     if stored is not None:
-        old = stored.where(truthy_text(F.col("source_url")).isNotNull()).select(
-            "source", F.concat(F.lit("="), F.col("source_url")).alias("_key"), F.lit(-1).cast("bigint").alias("first_seq")
-        )
-        first = first.unionByName(old).groupBy("source", "_key").agg(F.min("first_seq").alias("first_seq"))
-    dup = F.coalesce(F.col("first_seq") < F.col("ingest_seq"), F.lit(False))
-    kept = ~dup & ~F.col("blocked")
-    return narrow.join(first, ["source", "_key"], "left").agg(
-        F.count("*").alias("classified"),
-        F.count_if("is_offer").alias("offers"),
-        F.count_if(dup).alias("dup"),
-        F.count_if(~dup & F.col("blocked")).alias("blocked"),
-        F.count_if(kept).alias("signals"),
-        F.count_if(kept & F.col("implausible")).alias("implausible"),
-        F.count_if(kept & (F.col("route") == "offer")).alias("offer_observations"),
-        F.count_if(kept & (F.col("route") == "candidate")).alias("candidates"),
+        known = stored_keys(stored).distinct().withColumn("_known", F.lit(True))
+        keys = keys.join(known, ["source", "_key"], "left").withColumn("known", F.coalesce("_known", F.lit(False)))
+    new, none_free = ~F.col("known") & F.col("first").isNotNull(), ~F.col("known") & F.col("first").isNull()
+    mixed = keys.where(new & (F.col("blocked_rows") > 0)).select("source", "_key", "first")
+    before = keyed.where("blocked").join(mixed, ["source", "_key"]).agg(F.count_if(F.col("_at") < F.col("first")).alias("blocked"))
+
+    def kept(condition: Column) -> list[Column]:
+        offer, candidate = (F.col("flags.route") == kind for kind in ("offer", "candidate"))
+        tests = {"signals": F.lit(True), "implausible": F.col("flags.implausible"), "offer_observations": offer, "candidates": candidate}
+        return [F.count_if(condition & test).alias(name) for name, test in tests.items()]
+
+    parts = [
+        alone.agg(
+            F.count("*").alias("classified"), F.count_if("is_offer").alias("offers"), F.count_if("blocked").alias("blocked"),
+            *kept(~F.col("blocked")),
+        ),
+        keys.agg(
+            F.sum("rows").alias("classified"), F.sum("offers").alias("offers"),
+            F.sum(F.when(none_free, F.col("blocked_rows"))).alias("blocked"), *kept(new),
+        ),
+        before,
+    ]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part, allowMissingColumns=True)
+    names = ("classified", "offers", "blocked", "signals", "implausible", "offer_observations", "candidates")
+    summed = total.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    dup = F.col("classified") - F.col("blocked") - F.col("signals")
+    return summed.withColumn("dup", dup).select(
+        "classified", "offers", "dup", "blocked", "signals", "implausible", "offer_observations", "candidates"
     )
 
 
@@ -253,7 +288,7 @@ def pipeline_counters(
     labelled = route(rule_classifier(keep_matched(normalized, lex), lex))
     routed = checkpointed(
         labelled.select(
-            "source", "source_url", "url", "ingest_seq", "blocked", "implausible", "route", "service_key", "offer_type",
+            "source", "source_url", "row_key", "url", "ingest_seq", "place", "blocked", "implausible", "route", "service_key", "offer_type",
             F.struct(F.col("label.is_offer").alias("is_offer")).alias("label"),
             F.sha2(F.coalesce("raw_text", F.lit("")), 256).alias("raw_text"),  # stands for the text in keys
         )
@@ -302,11 +337,12 @@ def stored_signals(rows: DataFrame) -> DataFrame:
     """Rows in the shape of the signals table (whole texts)."""
     return with_schema(
         rows.select(
-            F.xxhash64(F.lit("signal"), "source", _locator_key(), "ingest_seq").alias("id"),
+            F.xxhash64(F.lit("signal"), "source", _locator_key(), "ingest_seq", "place").alias("id"),
             row_offer_id().alias("offer_id"),
             F.when(F.col("service_key").isNotNull(), service_id(F.col("service_key"))).alias("service_id"),
             "source",
             "source_url",
+            "row_key",
             "url",
             F.coalesce("raw_text", F.lit("")).alias("raw_text"),
             "lang",
@@ -329,7 +365,7 @@ def merge_services(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataF
     release = F.col("route") == "model_release"
     seen = rows.where(F.col("service_key").isNotNull()).select(
         F.col("service_key").alias("canonical_domain"),
-        "ingest_seq",
+        arrival().alias("_at"),
         F.struct(
             F.when(release, F.substring(F.col("service_key"), 4, 1 << 20)).otherwise(F.col("service_key")).alias("name"),
             F.when(release, "model_release").otherwise(F.col("label.offer_type")).alias("type"),
@@ -337,7 +373,7 @@ def merge_services(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataF
             F.when(release, "active").otherwise("new").alias("status"),
         ).alias("first"),
     )
-    fresh = seen.groupBy("canonical_domain").agg(F.min_by("first", "ingest_seq").alias("first")).select(
+    fresh = seen.groupBy("canonical_domain").agg(F.min_by("first", "_at").alias("first")).select(
         service_id(F.col("canonical_domain")).alias("id"),
         "canonical_domain",
         F.coalesce(sanitized_name(F.col("first.name")), F.col("first.name")).alias("name"),
@@ -376,6 +412,14 @@ def _first(column: str, usable: Column) -> Column:
     return F.min_by(column, F.when(usable, F.col("_seq"))).alias(column)
 
 
+def _observed_at_place(observed: bool) -> Column:
+    """Order of observations, the stored offer first."""
+    if observed:
+        return F.struct(F.lit(True).alias("observed"), arrival().alias("at"))
+    none = F.lit(None).cast("struct<ingest_seq:bigint,place:array<bigint>,source:string,tie:bigint>")
+    return F.struct(F.lit(False).alias("observed"), none.alias("at"))
+
+
 def merge_offers(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
     """Offers after the rows: one per (service, type), one per (service, url) for model releases.
 
@@ -387,7 +431,8 @@ def merge_offers(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataFra
     fields = ("claim_steps", "requirements", "currency", "amount", "models", "effort", "unit", "topic")
     observed = rows.where(F.col("route").isin("offer", "model_release")).select(
         row_offer_id().alias("id"),
-        F.col("ingest_seq").alias("_seq"),
+        F.when(release, F.col("url")).alias("_release_url"),
+        _observed_at_place(True).alias("_seq"),
         release.alias("_release"),
         F.struct(
             service_id(F.col("service_key")).alias("service_id"),
@@ -412,7 +457,8 @@ def merge_offers(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataFra
     row_fields = observed.schema["_row"].dataType.names
     old = known.select(
         "id",
-        F.lit(-1).cast("bigint").alias("_seq"),
+        F.when(F.col("id") != offer_id(F.col("canonical_domain"), F.col("type")), F.col("url")).alias("_release_url"),
+        _observed_at_place(False).alias("_seq"),
         F.lit(False).alias("_release"),
         F.struct(*row_fields).alias("_row"),
         "url",
@@ -420,10 +466,10 @@ def merge_offers(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataFra
     )
     merged = (
         old.unionByName(observed)
-        .groupBy("id")
+        .groupBy("id", "_row.canonical_domain", "_row.type", "_release_url")  # the id alone is a 64-bit hash
         .agg(
             F.min_by("_row", "_seq").alias("_row"),
-            F.count_if((F.col("_seq") >= 0) & ~F.col("_release")).alias("_seen"),
+            F.count_if(F.col("_seq.observed") & ~F.col("_release")).alias("_seen"),
             F.min("_seq").alias("_first_seq"),
             _first("amount", truthy_number(F.col("amount")).isNotNull()),
             _first("models", truthy_array(F.col("models")).isNotNull()),
@@ -431,7 +477,7 @@ def merge_offers(existing: DataFrame, rows: DataFrame, as_of: Column) -> DataFra
             *[_first(c, F.col(c).isNotNull()) for c in ("effort", "unit", "topic")],
         )
     )
-    again = F.col("_seen") > F.when(F.col("_first_seq") < 0, 0).otherwise(1)
+    again = F.col("_seen") > F.when(F.col("_first_seq.observed"), 1).otherwise(0)
     out = merged.select(
         "id",
         *[F.col(f"_row.{c}").alias(c) for c in row_fields if c != "last_verified_at"],
@@ -466,6 +512,7 @@ def harvest_mentions(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> D
         .select(
             "source",
             "ingest_seq",
+            "place",
             text.alias("_text"),
             F.posexplode(D.mentioned_domains(F.col("domains"), text)).alias("pos", "host"),
         )
@@ -473,7 +520,7 @@ def harvest_mentions(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> D
         .where(F.col("domain").isNotNull() & ~F.coalesce(F.col("domain").isin(*lx.BLOCKED_DOMAINS), F.lit(False)))
     )
     return mentions.select(
-        "domain", "source", "ingest_seq", "pos", D.offer_word_near(F.col("_text"), F.col("host")).alias("is_high")
+        "domain", "source", "ingest_seq", "place", "pos", D.offer_word_near(F.col("_text"), F.col("host")).alias("is_high")
     )
 
 
@@ -483,7 +530,7 @@ def harvest_candidates(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) ->
         harvest_mentions(normalized, lex)
         .groupBy("domain")
         .agg(
-            F.min_by("source", F.struct("ingest_seq", "pos")).alias("first_source"),
+            F.min_by("source", F.struct("ingest_seq", "place", "pos", "source")).alias("first_source"),
             F.max("is_high").alias("is_high"),
             F.count("*").alias("mentions"),
         )

@@ -16,7 +16,7 @@ META_TYPE = (
 TABLES: dict[str, str] = {
     "signals_in": (
         "source string, raw_text string, url string, source_url string, lang string, observed_at timestamp, "
-        f"ingest_seq bigint, meta {META_TYPE}"
+        f"ingest_seq bigint, place array<bigint>, row_key string, meta {META_TYPE}"
     ),
     "services": (
         "id bigint, canonical_domain string, name string, type string, engine string, models array<string>, "
@@ -31,7 +31,7 @@ TABLES: dict[str, str] = {
         "status string, score double, notified_at timestamp, first_seen_at timestamp, last_verified_at timestamp"
     ),
     "signals": (
-        "id bigint, offer_id bigint, service_id bigint, source string, source_url string, url string, "
+        "id bigint, offer_id bigint, service_id bigint, source string, source_url string, row_key string, url string, "
         f"raw_text string, lang string, classification {LABEL_TYPE}, confidence double, observed_at timestamp"
     ),
     "sources": "id bigint, name string, type string, enabled boolean, last_run timestamp, config string",

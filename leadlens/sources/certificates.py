@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import domains as D
 from leadlens.functions.words import truthy_text
-from leadlens.sources.common import first_per, meta, signals
+from leadlens.sources.common import first_per, meta, positions, signals
 
 # Search patterns, in the order they are asked.
 KEYWORD_PATTERNS = ("%-api.%", "%router%", "%relay%", "%llm%", "%aiproxy%", "%oneapi%", "%freemodel%", "%chatapi%")
@@ -49,13 +49,8 @@ def parse_certificate_hits(entries: DataFrame, per_pattern: int | None = None, s
         .select("target", "kind", "order", "pattern_no", "entry_no", "name_no")
     )
     kept = first_per(found, ["target"], ["order", "pattern_no", "entry_no", "name_no"])
-    # one order of path, pattern (8 bits), entry (37 bits) and name (16 bits) without overlap
-    rows = kept.withColumns(
-        {
-            "payload_id": (F.col("order") * 256 + F.col("pattern_no")).cast("bigint") * (1 << 29) + F.shiftright(F.col("entry_no").cast("bigint"), 8),
-            "pos": F.pmod(F.col("entry_no"), F.lit(256)).cast("bigint") * 65536 + F.col("name_no"),
-        }
-    )
+    place = positions(*[F.col(c) for c in ("order", "pattern_no", "entry_no", "name_no")])
+    rows = kept.withColumns({"payload_id": F.lit(0), "pos": place})
     return host_signals(rows, source, "https://crt.sh/?q=")
 
 
@@ -86,5 +81,11 @@ def message_hosts(messages: DataFrame, body: str = "body") -> DataFrame:
         hosts.withColumn("kind", F.when(keyword, "force").when(harvest, "candidate"))
         .where(F.col("kind").isNotNull() & truthy_text(name).isNotNull())
         .withColumn("target", F.when(F.col("kind") == "force", D.clean_host(name)).otherwise(D.strip_subdomain_signal(name)))
+        .withColumn("pos", positions(F.col("pos")))
         .drop("name")
     )
+
+
+def parse_messages(payloads: DataFrame, source: str = "certstream") -> DataFrame:
+    """Landed certificate messages (payload_id, body) as signals, one per host and message."""
+    return host_signals(message_hosts(payloads), source, "certstream://")

@@ -32,9 +32,9 @@ def on_topic(messages: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def message_signals(messages: DataFrame) -> DataFrame:
-    """Messages as signals: text up to 8000 characters and the permalink of the message.
+    """Messages as signals: whole text and the permalink of the message.
 
-    Arrival order within a run is the message time; works on batches and streams.
+    Arrival order is the message time, then chat and message number; works on batches and streams.
     """
     channel = F.coalesce(truthy_text(F.col("channel")), F.col("chat_id").cast("string"))
     link = F.concat(F.lit("https://t.me/"), channel, F.lit("/"), F.col("msg_id").cast("string"))
@@ -44,6 +44,7 @@ def message_signals(messages: DataFrame) -> DataFrame:
         link.alias("source_url"),
         F.col("date").alias("observed_at"),
         F.unix_micros(F.col("date").cast("timestamp")).alias("ingest_seq"),
+        F.array(F.col("chat_id").cast("bigint"), F.col("msg_id").cast("bigint")).alias("place"),
         meta(channel=channel, forward_from=forward_origin(F.col("forward"), F.col("fwd_from"))).alias("meta"),
     )
     return with_schema(rows, "signals_in")

@@ -1,7 +1,9 @@
 """Shared shape of the payload parsers.
 
 A parser maps landed payloads (``payload_id bigint, body string`` and, where it matters, a source or page URL
-column) to rows of the signals input.  ``payload_id`` and ``pos`` give the arrival order.
+column) to rows of the signals input.  Arrival order is ``ingest_seq`` (landing time in microseconds where known, else
+the payload id) and then ``place``, the array of payload id and positions from the outermost list inwards.  Nothing is
+packed into one number, so any number of payloads, entries and nested entries keep their order.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from pyspark.sql import functions as F
 
 from leadlens.schemas import META_TYPE, with_schema
 
-_ITEMS_PER_PAYLOAD = 1 << 24
 _FLAGS = ("force_classify", "service_candidate", "model_release")
 _NAMES = ("org", "model_id", "channel", "forward_from")
 
@@ -45,8 +46,12 @@ def signals(
     source_url: Column | None = None,
     observed_at: Column | None = None,
     meta_value: Column | None = None,
+    row_key: Column | None = None,
 ) -> DataFrame:
-    """Rows of the signals input from items that carry ``payload_id`` and ``pos``."""
+    """Rows of the signals input from items that carry ``payload_id`` and ``pos`` (array of positions).
+
+    ``row_key`` tells rows apart that share a ``source_url``, as the links of one listing page do.
+    """
     none = F.lit(None).cast("string")
     landed = F.col("landed_at") if "landed_at" in items.columns else F.lit(None).cast("timestamp")
     rows = items.select(
@@ -55,16 +60,29 @@ def signals(
         (none if url is None else url).alias("url"),
         (none if source_url is None else source_url).alias("source_url"),
         (landed if observed_at is None else observed_at).alias("observed_at"),
-        (F.col("payload_id") * _ITEMS_PER_PAYLOAD + F.col("pos")).alias("ingest_seq"),
+        F.coalesce(F.unix_micros(landed.cast("timestamp")), F.col("payload_id").cast("bigint")).alias("ingest_seq"),
+        F.concat(F.array(F.col("payload_id").cast("bigint")), F.col("pos").cast("array<bigint>")).alias("place"),
+        (none if row_key is None else row_key).alias("row_key"),
         (no_meta() if meta_value is None else meta_value).alias("meta"),
     )
     return with_schema(rows, "signals_in")
 
 
 def exploded(payloads: DataFrame, array: Column, keep: list[str] | None = None) -> DataFrame:
-    """One row per array element: ``payload_id, pos, item`` plus the kept payload columns."""
+    """One row per array element: ``payload_id, pos, item`` plus the kept payload columns; ``pos`` is an array, which
+    :func:`deeper` extends."""
     kept = [c for c in (keep or []) + ["landed_at"] if c in payloads.columns and c not in ("payload_id",)]
-    return payloads.select("payload_id", *kept, F.posexplode(array).alias("pos", "item"))
+    rows = payloads.select("payload_id", *kept, F.posexplode(array).alias("pos", "item"))
+    return rows.withColumn("pos", positions(F.col("pos")))
+
+
+def positions(*parts: Column) -> Column:
+    return F.array(*[p.cast("bigint") for p in parts])
+
+
+def deeper(part: Column) -> Column:
+    """Position of a nested entry: that of its list, then its own."""
+    return F.concat("pos", positions(part))
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def parse_listing(
     raw = trim_chars(F.concat("item.text", F.lit(" "), "item.title"), " \t\n\r")
     rows = rows.withColumn("_raw", raw).where(F.col("_raw") != "")
     flags = meta(service_candidate=True) if candidate else meta()
-    return signals(rows, source, F.col("_raw"), F.col("_href"), F.col("page_url"), meta_value=flags)
+    return signals(rows, source, F.col("_raw"), F.col("_href"), F.col("page_url"), meta_value=flags, row_key=F.col("_href"))
 
 
 def parse_job_listing(pages: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def parse_deal_page(pages: DataFrame) -> DataFrame:
     raw = trim_chars(F.substring("_context", 1, 200), " \t\n\r")
     return signals(
         rows, F.col("aggregator"), raw, F.concat(F.lit("https://"), "_host"), F.col("page_url"),
-        meta_value=meta({"aggregator": F.col("aggregator")}),
+        meta_value=meta({"aggregator": F.col("aggregator")}), row_key=F.col("_host"),
     )
 
 
@@ -86,7 +86,7 @@ def parse_brand_page(pages: DataFrame, source: str = "coupon") -> DataFrame:
     end = at - 1 + F.length(hit) + 60
     snippet = F.when(hit != "", F.substring("_body", start + 1, end - start)).otherwise("")
     whole = H.squeeze(F.concat_ws(" ", "_title", "_desc", snippet))
-    rows = rows.withColumns({"_text": whole, "pos": F.lit(0)}).where(F.col("_text").rlike(DEAL_PATTERN))
+    rows = rows.withColumns({"_text": whole, "pos": F.array(F.lit(0))}).where(F.col("_text").rlike(DEAL_PATTERN))
     return signals(
         rows, source, F.col("_text"), F.concat(F.lit("https://"), "brand"), F.col("page_url"),
         meta_value=meta({"brand": F.col("brand")}),
@@ -94,7 +94,7 @@ def parse_brand_page(pages: DataFrame, source: str = "coupon") -> DataFrame:
 
 
 def parse_server_cards(pages: DataFrame, source: str = "discord_dir") -> DataFrame:
-    """Cards with name, description and first external link; one per link, or per text start without one."""
+    """Cards with name, description and first external link; one per link, or per text without one."""
     parsed = pages.withColumn("_cards", H.cards(F.col("body"), F.col("page_url")))
     rows = exploded(parsed, F.col("_cards"), ["page_url"])
     external = F.filter(
@@ -104,6 +104,6 @@ def parse_server_cards(pages: DataFrame, source: str = "discord_dir") -> DataFra
     body = F.concat("item.name", F.lit(". "), "item.description")
     rows = rows.withColumns({"_site": F.get(external, F.lit(0)), "_text": trim_chars(trim_chars(body, ". "), " \t\n\r")})
     rows = rows.where((F.col("_text") != "") | F.col("_site").isNotNull())
-    rows = rows.withColumn("_key", F.coalesce(truthy_text(F.col("_site")), F.substring("_text", 1, 120)))
+    rows = rows.withColumn("_key", F.coalesce(truthy_text(F.col("_site")), F.col("_text")))
     rows = first_per(rows, ["payload_id", "_key"], ["pos"])
-    return signals(rows, text(source), F.col("_text"), F.col("_site"), F.col("page_url"))
+    return signals(rows, text(source), F.col("_text"), F.col("_site"), F.col("page_url"), row_key=F.col("_key"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions.words import has_any, literals, truthy_text
-from leadlens.sources.common import empty_if_null, exploded, first_chars, first_per, meta, signals, trim_chars
+from leadlens.sources.common import deeper, empty_if_null, exploded, first_chars, first_per, meta, positions, signals, trim_chars
 
 _SPACE = " \t\n\r"
 
@@ -31,7 +31,7 @@ def _either(*values: Column) -> Column:
 def _per_url(rows: DataFrame, urls: Column) -> DataFrame:
     """One row per URL, or one with a NULL ``found_url``; ``pos`` keeps the order."""
     out = rows.select("*", F.posexplode_outer(urls).alias("_u", "found_url"))
-    return out.withColumn("pos", F.col("pos") * 1024 + F.coalesce("_u", F.lit(0))).drop("_u")
+    return out.withColumn("pos", deeper(F.coalesce("_u", F.lit(0)))).drop("_u")
 
 
 def parse_news_hits(payloads: DataFrame, source: str = "hackernews", cap: int | None = None) -> DataFrame:
@@ -79,12 +79,12 @@ def parse_code_hits(payloads: DataFrame, source: str = "github_code") -> DataFra
         payloads, "items array<struct<html_url:string,text_matches:array<struct<fragment:string>>>>", "items"
     )
     rows = rows.select("*", F.posexplode("item.text_matches").alias("_m", "match")).withColumn(
-        "pos", F.col("pos") * 64 + F.col("_m")
+        "pos", deeper(F.col("_m"))
     )
     fragment = F.col("match.fragment")
     rows = rows.where(truthy_text(fragment).isNotNull())
     rows = _per_url(rows, F.regexp_extract_all(fragment, F.lit(CODE_URL_PATTERN), F.lit(0)))
-    return signals(rows, source, fragment, F.col("found_url"), F.col("item.html_url"))
+    return signals(rows, source, fragment, F.col("found_url"), F.col("item.html_url"), row_key=F.col("found_url"))
 
 
 def parse_issue_hits(payloads: DataFrame, source: str = "github_issues") -> DataFrame:
@@ -99,7 +99,7 @@ def parse_issue_hits(payloads: DataFrame, source: str = "github_issues") -> Data
     rows = rows.where(F.col("found_url").isNotNull() | offered)
     return signals(
         rows, source, F.concat("title", F.lit(". "), "text"), F.col("found_url"),
-        F.col("item.html_url"),
+        F.col("item.html_url"), row_key=F.col("found_url"),
     )
 
 
@@ -232,7 +232,7 @@ def parse_app_chart(payloads: DataFrame, source: str = "appstore") -> DataFrame:
 def distinct_apps(apps: DataFrame) -> DataFrame:
     """First row per URL (or text) over all charts."""
     keyed = apps.withColumn("_key", _either(F.col("url"), F.col("raw_text")))
-    return first_per(keyed, ["_key"], ["ingest_seq"]).drop("_key")
+    return first_per(keyed, ["_key"], ["ingest_seq", "place", "raw_text"]).drop("_key")
 
 
 def parse_company_hits(payloads: DataFrame, source: str = "yc") -> DataFrame:
@@ -296,8 +296,8 @@ def parse_price_catalogue(payloads: DataFrame, source: str = "provider_lists") -
     prefix = F.when(F.contains(key, F.lit("/")), F.substring_index(key, "/", 1))
     names = F.array(prefix, F.col("item.value.litellm_provider"))
     kept = [c for c in rows.columns if c not in ("item", "pos")]
-    rows = rows.select(*kept, (F.col("pos") * 2).alias("_p"), F.posexplode(names).alias("_i", "name"))
-    rows = rows.withColumns({"name": trim_chars(F.col("name"), _SPACE), "pos": F.col("_p") + F.col("_i")}).drop("_p", "_i")
+    rows = rows.select(*kept, F.col("pos").alias("_p"), F.posexplode(names).alias("_i", "name"))
+    rows = rows.withColumns({"name": trim_chars(F.col("name"), _SPACE), "pos": F.concat("_p", positions(F.col("_i")))}).drop("_p", "_i")
     rows = rows.where(truthy_text(F.col("name")).isNotNull()).withColumn("_low", F.lower("name"))
     rows = first_per(rows, ["payload_id", "_low"], ["pos"])
     return signals(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadlens.functions.domains import host_without_www
 from leadlens.functions.html import squeeze
 from leadlens.functions.words import truthy_text
-from leadlens.sources.common import empty_if_null, exploded, first_per, meta, signals, trim_chars
+from leadlens.sources.common import empty_if_null, exploded, first_per, meta, positions, signals, trim_chars
 
 # Link patterns and names that are not services.
 LIST_URL_PATTERN = r"(?U)https?://[^\s)\]>\"']+"
@@ -38,7 +38,7 @@ def parse_list(documents: DataFrame) -> DataFrame:
     context = squeeze(F.regexp_replace("line", r"[|#*`>\[\]]", " "))
     repo = truthy_text(F.col("repo")) if "repo" in documents.columns else F.lit(None).cast("string")
     origin = F.concat(F.lit("https://github.com/"), F.coalesce(repo, F.col("source")))
-    return signals(rows, F.col("source"), context, F.rtrim("_url", F.lit(".,);")), origin)
+    return signals(rows, F.col("source"), context, F.rtrim("_url", F.lit(".,);")), origin, row_key=F.col("_host"))
 
 
 def repo_set(seeds: DataFrame, discovered: DataFrame, limit: int | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def parse_provider_doc(documents: DataFrame, source: str = "provider_lists") ->
     noise = low.isin(*PROVIDER_NOISE) | low.rlike("^(http|---|===)")
     both = hosts.unionByName(names.where(~noise)).where(empty_if_null(F.col("label")) != "").withColumn("_key", low)
     kept = first_per(both, ["payload_id", "_key"], ["part", "pos"])
-    kept = kept.withColumn("pos", F.col("part") * (1 << 23) + F.col("pos"))
+    kept = kept.withColumn("pos", F.concat(positions(F.col("part")), "pos"))
     link = F.when(F.col("part") == 0, F.concat(F.lit("https://"), "label"))
     return signals(
         kept, source, F.concat(F.lit("LLM provider listed: "), "label"), link, meta_value=meta(service_candidate=True)

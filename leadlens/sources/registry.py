@@ -78,7 +78,7 @@ for _source in (
     Source("discord_dir", html_links.parse_server_cards, "scraper", 43200),
     Source("leaks", redact.host_candidates, "api", 900),
     Source("telegram", channel.message_signals, "ingest", 120, "stream"),
-    Source("certstream", certificates.message_hosts, "ct-stream", 60, "stream"),
+    Source("certstream", certificates.parse_messages, "ct-stream", 60, "stream"),
 ):
     register(_source)
 
@@ -93,10 +93,13 @@ def union_signals(*frames: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ landed files and stored tables
 def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as payloads, ids from the file name so that a reread gives the same ids."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
-    # 38 bits: leaves room for positions below it in a bigint
-    return files.select(F.shiftrightunsigned(F.xxhash64("file"), 26).alias("payload_id"), F.col("value").alias("body"), "file")
+    """Whole files as payloads, ids from the file name so that a reread gives the same ids; ``landed_at`` is the time of
+    the file, which orders payloads before their ids do."""
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(
+        F.xxhash64("_metadata.file_path").alias("payload_id"), F.col("value").alias("body"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed_at"),
+    )
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:

@@ -36,6 +36,7 @@ def certificate_signals(messages: DataFrame, horizon: str | None = "1 day") -> D
         F.concat(F.lit("certstream://"), target).alias("source_url"),
         F.col("received_at").cast("timestamp").alias("observed_at"),
         F.unix_micros(F.col("received_at").cast("timestamp")).alias("ingest_seq"),
+        F.col("pos").alias("place"),
         meta(service_candidate=True, force_classify=F.when(F.col("kind") == "force", True)).alias("meta"),
     )
     return with_schema(rows, "signals_in")

@@ -1,6 +1,7 @@
 """Ingest fixtures and properties."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from leadlens.operators import feed as FD
 from leadlens.operators import ingest as I
 from leadlens.operators import scoring
 from leadlens.plans.batch import IngestJob, read_snapshot
+from leadlens.sources import html_links, json_hits
+from leadlens.sources.common import meta
 
 
 
@@ -224,3 +227,69 @@ def test_external_classifier_runs_in_batches(spark, signals):
     df = signals([{"source": "a", "raw_text": "free credits https://a.ai", "source_url": "1"}])
     row = I.label_signals(df, classifier=classifier).first()
     assert (row["label"]["offer_type"], row["label"]["amount"], row["route"]) == ("other", 25.0, "offer")
+
+
+# ------------------------------------------------------------------ arrival order
+def _code_payloads(spark):
+    """Two payloads of one item with 90 fragments, the first with 1,500 URLs: beyond any packed position."""
+    def body(p):
+        many = " ".join(f"https://u{p}x{n}.ai" for n in range(1_500))
+        fragments = [{"fragment": many}] + [{"fragment": f"words {p} {n}"} for n in range(90)]
+        return json.dumps({"items": [{"html_url": None, "text_matches": fragments}]})
+
+    return spark.createDataFrame([(p, body(p)) for p in (1, 2)], "payload_id bigint, body string")
+
+
+def test_rows_beyond_any_packed_position_are_kept(spark):
+    rows = json_hits.parse_code_hits(_code_payloads(spark))
+    assert rows.count() == 2 * 1_590 == rows.select("ingest_seq", "place").distinct().count()
+    assert I.first_per_key(rows).count() == 2 * 1_590
+
+
+def test_merges_do_not_depend_on_partitions_or_row_order(spark, signals):
+    texts = [f"free trial {n} days, no credit card required, sign up" for n in range(40)]
+    rows = signals([
+        {"source": f"s{n % 3}", "raw_text": t, "url": f"https://a{n % 4}.example.org/p{n}", "source_url": f"https://x/{n % 25}"}
+        for n, t in enumerate(texts)
+    ]).withColumn("ingest_seq", F.lit(7).cast("bigint")).withColumn("place", F.array(F.lit(1).cast("bigint")))  # ties everywhere
+    now = F.lit("2026-01-01").cast("timestamp")
+    results = []
+    for frame in (rows.coalesce(1), rows.orderBy(F.desc("url")).repartition(5), rows.repartition(3, "raw_text")):
+        stored = I.storable(I.label_signals(frame))
+        offers = I.merge_offers(schemas.empty(spark, "offers"), stored, now)
+        services = I.merge_services(schemas.empty(spark, "services"), stored, now)
+        results.append([sorted(map(str, df.collect())) for df in (offers, services, I.stored_signals(stored))])
+    assert results[0] == results[1] == results[2] and results[0][0]
+
+
+def test_every_link_of_a_listing_is_stored(spark):
+    page = "<a href='https://one.ai'>One</a><a href='https://two.ai'>Two</a><a href='https://one.ai'>One again</a>"
+    pages = spark.createDataFrame([(1, page, "https://list.example/x")], "payload_id bigint, body string, page_url string")
+    rows = html_links.parse_listing(pages)
+    assert {r["url"] for r in I.first_per_key(rows).collect()} == {"https://one.ai", "https://two.ai"}
+    stored = I.stored_signals(I.storable(I.label_signals(rows.withColumn("meta", meta(force_classify=True)))))
+    assert stored.count() == 2
+    again = I.storable(I.label_signals(rows.withColumn("meta", meta(force_classify=True))), stored)
+    assert again.count() == 0
+
+
+def test_outcomes_of_keys_with_blocked_and_stored_rows(spark):
+    def row(seq, key, blocked, route="offer"):
+        return ("s", key, f"https://u/{seq}", "t", seq, [seq], None, blocked, route, False, (True,))
+
+    rows = [
+        row(1, "k", True), row(2, "k", False), row(3, "k", True), row(4, "k", False),  # blocked, stored, dup, dup
+        row(5, "b", True), row(6, "b", True),  # both blocked
+        row(7, None, False, "candidate"), row(8, None, True), row(9, "old", False),
+    ]
+    ddl = (
+        "source string, source_url string, url string, raw_text string, ingest_seq bigint, place array<bigint>, "
+        "row_key string, blocked boolean, route string, implausible boolean, label struct<is_offer:boolean>"
+    )
+    routed = spark.createDataFrame(rows, ddl)
+    old = spark.createDataFrame([("s", "old")], "source string, source_url string")
+    got = I.outcome_counts(routed, old).first().asDict()
+    assert got == {
+        "classified": 9, "offers": 9, "dup": 3, "blocked": 4, "signals": 2, "implausible": 0, "offer_observations": 1,
+        "candidates": 1,
+    }
