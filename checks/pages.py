@@ -51,7 +51,7 @@ def page_descriptions(spark, sf):
 def page_links(spark, sf):
     """Every link of every page, resolved against the page URL."""
     rows = HL.page_links(V.page_payloads(spark, sf))
-    return rows.select(F.col("payload_id").alias("page_id"), "pos", F.col("item.href").alias("href"), F.col("item.text").alias("text"))
+    return rows.select(F.col("payload_id").alias("page_id"), F.col("pos")[0].alias("pos"), F.col("item.href").alias("href"), F.col("item.text").alias("text"))
 
 
 def page_fact_columns(spark, sf):

@@ -8,6 +8,7 @@ from checks import kit as K
 from checks import views as V
 from leadlens import lexicon as lx
 from leadlens.functions import domains as D
+from leadlens.plans import landed as landed_plan
 from leadlens.sources import certificates as CT
 from leadlens.sources import channel as CH
 from leadlens.sources import feeds as FE
@@ -139,19 +140,37 @@ def repo_hits(spark, sf):
     return _out(J.parse_repo_hits(_orders(spark, sf, body)))
 
 
-def code_hits(spark, sf):
+def _code_body():
     k, u = _s("o_orderkey"), _s("o_custkey")
     frag = F.concat(lit("base_url='https://a"), u, lit(".ai/v1' or https://b"), k, lit(".dev)"))
     match = F.array(F.struct(frag.alias("fragment")), F.struct(c("o_orderpriority").alias("fragment")), F.struct(lit("").alias("fragment")))
-    body = _json(items=_items({"html_url": F.concat(lit("https://g/"), k), "text_matches": match}))
-    return _out(J.parse_code_hits(_orders(spark, sf, body)), _place())
+    return _json(items=_items({"html_url": F.concat(lit("https://g/"), k), "text_matches": match}))
 
 
-def issue_hits(spark, sf):
+def code_hits(spark, sf):
+    return _out(J.parse_code_hits(_orders(spark, sf, _code_body())), _place())
+
+
+def _issue_body():
     k, u = _s("o_orderkey"), _s("o_custkey")
     text = F.when(c("o_orderkey") % 3 == 0, F.concat(lit("my url https://a"), u, lit(".ai and https://b"), u, lit(".ai"))).when(c("o_orderkey") % 3 == 1, "a free trial here").otherwise("nothing")
-    body = _json(items=_items({"title": F.concat(lit("Issue "), k), "body": text, "html_url": F.concat(lit("https://g/"), k)}))
-    return _out(J.parse_issue_hits(_orders(spark, sf, body)))
+    return _json(items=_items({"title": F.concat(lit("Issue "), k), "body": text, "html_url": F.concat(lit("https://g/"), k)}))
+
+
+def issue_hits(spark, sf):
+    return _out(J.parse_issue_hits(_orders(spark, sf, _issue_body())))
+
+
+def landed_signals(spark, sf):
+    """orders landed by four collectors; one is switched off, the others go through their registered parsers."""
+    bodies = {"npm": _package_body(), "github_code": _code_body(), "github_issues": _issue_body(), "twitter": _issue_body()}
+    landed = [_orders(spark, sf, body).withColumn("collector", lit(name)) for name, body in bodies.items()]
+    payloads = landed[0]
+    for more in landed[1:]:
+        payloads = payloads.unionByName(more)
+    off = V.table(spark, sf, "region").select(lit("twitter").alias("name"), (c("r_regionkey") > 0).alias("enabled"))
+    names = [n for n in landed_plan.enabled_names(payloads, off) if n in bodies]
+    return _out(landed_plan.landed_signals(payloads, names=names))
 
 
 def web_and_video_hits(spark, sf):
@@ -181,12 +200,16 @@ def hub_models(spark, sf):
     return _out(rows, F.coalesce("meta.force_classify", lit(False)).alias("forced"), c("meta.org").alias("org"))
 
 
-def package_hits(spark, sf):
+def _package_body():
     k, u = _s("o_orderkey"), _s("o_custkey")
     links = F.struct(F.concat(lit("https://h"), u, lit(".dev")).alias("homepage"), F.when(c("o_orderkey") % 2 == 0, F.concat(lit("git+https://h"), u, lit(".dev."))).alias("repository"))
     one = F.struct(F.struct(F.concat(lit("p"), k).alias("name"), F.concat(lit("about (http://d"), u, lit(".io), ok")).alias("description"), links.alias("links")).alias("package"))
     two = F.struct(F.struct(F.concat(lit("q"), k).alias("name"), lit("bare").alias("description"), F.struct(lit(None).cast("string").alias("homepage"), lit(None).cast("string").alias("repository")).alias("links")).alias("package"))
-    return _out(J.parse_package_hits(_orders(spark, sf, F.to_json(F.struct(F.array(one, two).alias("objects"))))), _place())
+    return F.to_json(F.struct(F.array(one, two).alias("objects")))
+
+
+def package_hits(spark, sf):
+    return _out(J.parse_package_hits(_orders(spark, sf, _package_body())), _place())
 
 
 def app_charts(spark, sf):
@@ -364,7 +387,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_items, feed_items_community, feed_items_launches, feed_items_changelog, feed_items_mirror, feed_formats, package_feed, news_hits, repo_hits, code_hits,
-        issue_hits, web_and_video_hits, model_catalogue, hub_models, package_hits, app_charts, companies_and_launches,
+        issue_hits, landed_signals, web_and_video_hits, model_catalogue, hub_models, package_hits, app_charts, companies_and_launches,
         hosts_and_posts, price_catalogue, certificate_hits, listing_links, job_listing, deal_links, brand_pages,
         server_cards, markdown_lists, provider_docs, repo_set, snippet_hosts, snippet_filters, channel_messages,
         upstream_channels,
@@ -512,3 +535,6 @@ ORACLE["job_listing"] = _LISTING.format(s="wellfound", x=", true AS candidate")
 ORACLE["brand_pages"] = f"""
 WITH b AS (SELECT *, 'About T Deal: 20% off The tool ' || c_mktsegment || ' again' AS body FROM customer)
 SELECT 'coupon' AS source, body AS raw_text, 'https://brand' || {C_} || '.ai' AS url, 'https://www.list' || {C_} || '.com/new' AS source_url FROM b"""
+ORACLE["landed_signals"] = " UNION ALL ".join(
+    f"SELECT source, raw_text, url, source_url FROM ({ORACLE[name]})" for name in ("package_hits", "code_hits", "issue_hits")
+)

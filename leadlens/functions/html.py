@@ -7,6 +7,7 @@ elements on a stack and the text pieces of the page in one list; an element's te
 from __future__ import annotations
 
 import html as _html
+import re as _re
 import sys
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -25,8 +26,12 @@ _VOID = frozenset(
 )
 _TEXT = T.StringType()
 LINK_TYPE = T.ArrayType(
-    T.StructType([T.StructField(n, _TEXT) for n in ("href", "raw_href", "text", "tight_text", "title", "parent_text")])
+    T.StructType([T.StructField(n, _TEXT) for n in ("href", "raw_href", "text", "title")])
 )
+CONTEXT_TYPE = T.ArrayType(
+    T.StructType([T.StructField("href", _TEXT), T.StructField("context", _TEXT), T.StructField("matched", T.BooleanType())])
+)
+_CONTEXT = 400  # characters quoted with a link; the wording is looked for in the whole text
 CARD_TYPE = T.ArrayType(
     T.StructType(
         [T.StructField("name", _TEXT), T.StructField("description", _TEXT), T.StructField("hrefs", T.ArrayType(_TEXT))]
@@ -35,25 +40,29 @@ CARD_TYPE = T.ArrayType(
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parent", "start", "end")
+    __slots__ = ("tag", "attrs", "parent", "start", "end", "index", "until")
 
-    def __init__(self, tag, attrs, parent, start):
-        self.tag, self.attrs, self.parent, self.start, self.end = tag, attrs, parent, start, None
+    def __init__(self, tag, attrs, parent, start, index):
+        self.tag, self.attrs, self.parent, self.start, self.index = tag, attrs, parent, start, index
+        self.end = self.until = None
 
 
 class _Page(HTMLParser):
-    """Elements in document order, with the range of text pieces each one covers."""
+    """Elements in document order, with the range of text pieces, and of later elements, that each one covers."""
 
     def __init__(self, text):
         super().__init__(convert_charrefs=True)
         self.pieces, self.elements = [], []
-        self.stack = [_Element("", {}, None, 0)]
+        self.stack = [_Element("", {}, None, 0, -1)]
         self.buffer = []
         self.feed(text)
         self.close()
         self._flush()
         for element in self.stack:
-            element.end = len(self.pieces)
+            self._end(element)
+
+    def _end(self, element):
+        element.end, element.until = len(self.pieces), len(self.elements)
 
     def _flush(self):
         piece = "".join(self.buffer).strip()
@@ -66,10 +75,10 @@ class _Page(HTMLParser):
         values = {}
         for name, value in attrs:
             values[name] = value or ""
-        element = _Element(tag, values, self.stack[-1], len(self.pieces))
+        element = _Element(tag, values, self.stack[-1], len(self.pieces), len(self.elements))
         self.elements.append(element)
         if tag in _VOID:
-            element.end = len(self.pieces)
+            self._end(element)
         else:
             self.stack.append(element)
 
@@ -77,7 +86,7 @@ class _Page(HTMLParser):
         self._flush()
         depth = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag), 0)
         while depth and len(self.stack) > depth:
-            self.stack.pop().end = len(self.pieces)
+            self._end(self.stack.pop())
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -115,9 +124,32 @@ def _links_of(page_html, base):
                     "href": _resolve(base, element.attrs["href"]),
                     "raw_href": element.attrs["href"],
                     "text": _squeeze(page.text(element)),
-                    "tight_text": page.text(element, ""),
                     "title": element.attrs.get("title", ""),
-                    "parent_text": page.text(element.parent),
+                }
+            )
+    return out
+
+
+def _contexts_of(page_html, wording):
+    """Links with the start of their own and their parent's text, and whether ``wording`` is in either.
+
+    A parent is searched once for all its links, so a page costs its size times the depth of its elements.
+    """
+    page = _Page(page_html or "")
+    around = {}
+    out = []
+    for element in page.elements:
+        if element.tag == "a" and "href" in element.attrs:
+            if id(element.parent) not in around:
+                text = page.text(element.parent)
+                around[id(element.parent)] = (text[:_CONTEXT], wording.search(text) is not None)
+            start, matched = around[id(element.parent)]
+            own = page.text(element, "") + " " + start
+            out.append(
+                {
+                    "href": element.attrs["href"],
+                    "context": own[:_CONTEXT],
+                    "matched": matched or wording.search(own) is not None,
                 }
             )
     return out
@@ -129,10 +161,9 @@ def _cards_of(page_html, base):
     cards = [e for e in page.elements if "server-card" in classes(e)]
     if not cards:
         cards = [e for e in page.elements if e.tag == "div" and any("server" in c for c in classes(e))]
-    inside = lambda e, card: any(p is card for p in _ancestors(e))
     out = []
     for card in cards:
-        members = [e for e in page.elements if inside(e, card)]
+        members = page.elements[card.index + 1:card.until]
         named = lambda mark: next((e for e in members if any(mark in c for c in classes(e))), None)
         name, description = named("server-name"), named("server-description")
         out.append(
@@ -145,12 +176,6 @@ def _cards_of(page_html, base):
     return out
 
 
-def _ancestors(element):
-    while element.parent is not None:
-        element = element.parent
-        yield element
-
-
 @F.pandas_udf(_TEXT)
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else _html.unescape(v))
@@ -176,6 +201,17 @@ def links(page_html: Column, base_url: Column) -> Column:
     return _links(page_html, base_url)
 
 
+def links_in_context(page_html: Column, wording: str) -> Column:
+    """Every ``<a href>`` as written, with the text around it and whether that text has the wording (a pattern)."""
+    pattern = _re.compile(wording)
+
+    @F.pandas_udf(CONTEXT_TYPE)
+    def found(pages: pd.Series) -> pd.Series:
+        return pd.Series([_contexts_of(p, pattern) for p in pages])
+
+    return found(page_html)
+
+
 def cards(page_html: Column, base_url: Column) -> Column:
     """Server cards of a directory page (Python, Arrow batches)."""
     return _cards(page_html, base_url)

@@ -12,6 +12,7 @@ from leadlens.functions.display import channel_label
 from leadlens.functions.words import truthy_text
 from leadlens.operators.leads import first_source
 from leadlens.operators.votes import vote_totals
+from leadlens.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,8 @@ def feed(
     if f.offset:
         rows = rows.offset(f.offset)
     if f.limit is not None:
-        rows = rows.limit(f.limit).persist()  # at most ``limit`` rows, read by three branches below
+        rows = rows.limit(f.limit)
+    rows = checkpointed(rows)  # read by three branches below
     if f.model and f.variant == "edge":
         rows = rows.where(has_model(F.col("models"), f.model))
     paged = rows.select(F.col("id").alias("offer_id"))

@@ -9,6 +9,7 @@ from leadlens import lexicon as lx
 from leadlens.functions.display import channel_raw
 from leadlens.functions.words import has_any, truthy_array, truthy_number, truthy_text
 from leadlens.schemas import with_schema
+from leadlens.session import checkpointed
 
 # Message pieces.
 _HEAD, _MONEY, _MODELS, _REFERRAL = "\U0001F7E2 ", "\U0001F4B0 ", "\U0001F916 ", "⚠ referral required"
@@ -116,7 +117,7 @@ def group_batch(
 
     Offers seen in a channel pass the gate; others need score and confidence.
     """
-    window = _unsent(offers, services).orderBy(F.desc("score"), "id").limit(max(limit * 5, 25)).persist()
+    window = checkpointed(_unsent(offers, services).orderBy(F.desc("score"), "id").limit(max(limit * 5, 25)))
     mine = signals.join(window.select(F.col("id").alias("offer_id")), "offer_id", "left_semi")
     facts = signal_facts(mine).withColumnRenamed("offer_id", "id")
     rows = window.join(facts, "id", "left")

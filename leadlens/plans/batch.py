@@ -20,6 +20,7 @@ from leadlens.operators import ingest as I
 from leadlens.operators import notify as N
 from leadlens.operators.leads import one_row
 from leadlens.operators.scoring import rescore
+from leadlens.session import checkpointed
 
 STATE_TABLES = ("services", "service_aliases", "offers", "lead_metrics", "candidates")
 
@@ -83,9 +84,9 @@ def discovery_step(
     tables: dict[str, DataFrame], page_bodies: DataFrame, as_of: Column, limit: int | None = None, max_attempts: int = 3
 ) -> dict[str, DataFrame]:
     """Dequeue, decide on landed pages, promote, expand links, retire.  Returns the changed tables and counters."""
-    batch = C.dequeue(tables["candidates"], limit, max_attempts).persist()
+    batch = checkpointed(C.dequeue(tables["candidates"], limit, max_attempts))
     mine = page_bodies.join(batch.select("domain"), "domain", "left_semi")
-    outcomes = C.probe_outcomes(batch, tables["services"], E.page_facts(mine), as_of).persist()
+    outcomes = checkpointed(C.probe_outcomes(batch, tables["services"], E.page_facts(mine), as_of))
     seeds = C.link_seeds(outcomes.where("outcome = 'promoted'")).select("domain")
     link_pages = page_bodies.where(F.col("path").isin(*lx.LINKGRAPH_PATHS) & (F.col("status") == 200)).join(
         seeds, "domain", "left_semi"

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,13 +46,3 @@ def checkpointed(df, spark: SparkSession | None = None):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
     return df.checkpoint(eager=True)
-
-
-def spread(df):
-    """Give CPU-heavy narrow steps all cores: an input with fewer splits than cores (say one large row group) is
-    redistributed once; an input with enough splits is returned as it is.
-
-    The always-true random test keeps Spark from pushing costly filters below the exchange again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores).where(F.rand() >= 0)

@@ -23,7 +23,7 @@ def path_order(path: Column) -> Column:
 
 
 def parse_certificate_hits(entries: DataFrame, per_pattern: int | None = None, source: str = "crtsh") -> DataFrame:
-    """Search entries (path, pattern_no, entry_no, name_value) to distinct hosts.
+    """Search entries (path, pattern_no, entry_no, name_value) to distinct hosts; entry_no is a number, or an array of numbers.
 
     The three paths differ in what they accept: keyword hosts are labelled at once; hosts of the harvest zones
     and hosts behind an API-like first label become candidates.  A host counts where it is first met.  All entries
@@ -48,12 +48,22 @@ def parse_certificate_hits(entries: DataFrame, per_pattern: int | None = None, s
         .where(F.col("kind").isNotNull())
         .select("target", "kind", "order", "pattern_no", "entry_no", "name_no")
     )
+    entry = F.col("entry_no") if found.schema["entry_no"].dataType.typeName() == "array" else positions(F.col("entry_no"))
     kept = first_per(found, ["target"], ["order", "pattern_no", "entry_no", "name_no"])
-    place = positions(*[F.col(c) for c in ("order", "pattern_no", "entry_no", "name_no")])
+    place = F.concat(positions(F.col("order"), F.col("pattern_no")), entry, positions(F.col("name_no")))
     rows = kept.withColumns({"payload_id": F.lit(0), "pos": place})
     return host_signals(rows, source, "https://crt.sh/?q=")
 
 
+def parse_search_answers(payloads: DataFrame) -> DataFrame:
+    """Landed search answers (path, pattern_no, body: a JSON list of entries) through :func:`parse_certificate_hits`."""
+    found = payloads.withColumn("_j", F.from_json("body", "array<struct<name_value:string>>"))
+    entries = found.select(
+        "path", "pattern_no", F.col("payload_id").cast("bigint").alias("_answer"), F.posexplode("_j.name_value").alias("_n", "name_value")
+    )
+    return parse_certificate_hits(entries.withColumn("entry_no", F.array("_answer", F.col("_n").cast("bigint"))))
+
+
 def host_signals(rows: DataFrame, source: str, locator: str) -> DataFrame:
     """Signals of hosts with their ``kind``: ``force`` also asks for a label."""
     target = F.col("target")

@@ -50,6 +50,11 @@ def message_signals(messages: DataFrame) -> DataFrame:
     return with_schema(rows, "signals_in")
 
 
+def parse_messages(payloads: DataFrame) -> DataFrame:
+    """Landed messages (one JSON message per body) as signals."""
+    return message_signals(payloads.select(F.from_json("body", MESSAGE_TYPE).alias("_m")).where("_m is not null").select("_m.*"))
+
+
 def upstream_channels(signals: DataFrame) -> DataFrame:
     """Distinct origins seen in forwards, for review."""
     origin = truthy_text(F.col("meta.forward_from"))

@@ -8,9 +8,12 @@ packed into one number, so any number of payloads, entries and nested entries ke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlens.functions.words import bind
 from leadlens.schemas import META_TYPE, with_schema
 
 _FLAGS = ("force_classify", "service_candidate", "model_release")
@@ -76,6 +79,20 @@ def exploded(payloads: DataFrame, array: Column, keep: list[str] | None = None)
     return rows.withColumn("pos", positions(F.col("pos")))
 
 
+def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Entries (key, n, entry) of an array whose key was not met before in it: duplicates within a payload go before
+    the array is exploded, without a shuffle.  Sorted by key; ``n`` is the place of the entry."""
+    keyed = F.transform(items, lambda x, n: F.struct(key(x).alias("key"), n.alias("n"), x.alias("entry")))
+    fresh = lambda s: F.filter(s, lambda x, n: (n == 0) | ~x["key"].eqNullSafe(F.get(s, n - 1)["key"]))
+    return bind(F.array_sort(keyed), fresh)
+
+
+def exploded_first(payloads: DataFrame, array: Column, key: Callable[[Column], Column], keep: list[str] | None = None) -> DataFrame:
+    """Like :func:`exploded`, with the first entry of each ``key`` in a payload only, and its ``key``."""
+    rows = exploded(payloads, first_of_each(array, key), keep)
+    return rows.withColumns({"pos": positions(F.col("item.n")), "key": F.col("item.key"), "item": F.col("item.entry")})
+
+
 def positions(*parts: Column) -> Column:
     return F.array(*[p.cast("bigint") for p in parts])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadlens.functions import html as H
 from leadlens.functions.domains import host_without_www, netloc
 from leadlens.functions.words import truthy_text
-from leadlens.sources.common import exploded, first_per, meta, signals, text, trim_chars
+from leadlens.sources.common import exploded, exploded_first, meta, signals, text, trim_chars
 
 # Hosts that are never the listed service, and the offer wording of deal pages.
 SOCIAL_HOSTS = ("twitter.com", "x.com", "facebook.com", "linkedin.com", "youtube.com")
@@ -22,7 +22,7 @@ DEAL_PATTERN = (
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Every link of every page: payload_id, pos, page_url, item(href, raw_href, text, tight_text, title, parent_text)."""
+    """Every link of every page: payload_id, pos, page_url, item(href, raw_href, text, title)."""
     parsed = pages.withColumn("_links", H.links(F.col("body"), F.col("page_url")))
     return exploded(parsed, F.col("_links"), [c for c in pages.columns if c not in ("body", "payload_id")])
 
@@ -31,12 +31,12 @@ def parse_listing(
     pages: DataFrame, source: str | Column = "directories", own_hosts=LISTING_HOSTS, candidate: bool = False
 ) -> DataFrame:
     """One signal per distinct outbound link with text; links to the page's own host and social hosts are left out."""
-    rows = page_links(pages)
-    host = host_without_www(F.col("item.href"))
-    outbound = F.startswith("item.href", F.lit("http")) & (host != "") & ~host.isin(*own_hosts)
+    parsed = pages.withColumn("_links", H.links(F.col("body"), F.col("page_url")))
+    kept = [c for c in pages.columns if c not in ("body", "payload_id")]
+    rows = exploded_first(parsed, F.col("_links"), lambda x: x["href"], kept).withColumnRenamed("key", "_href")
+    host = host_without_www(F.col("_href"))
+    outbound = F.startswith("_href", F.lit("http")) & (host != "") & ~host.isin(*own_hosts)
     rows = rows.where(outbound & (host != host_without_www(F.col("page_url"))))
-    rows = rows.withColumn("_href", F.col("item.href"))
-    rows = first_per(rows, ["payload_id", "_href"], ["pos"])
     raw = trim_chars(F.concat("item.text", F.lit(" "), "item.title"), " \t\n\r")
     rows = rows.withColumn("_raw", raw).where(F.col("_raw") != "")
     flags = meta(service_candidate=True) if candidate else meta()
@@ -50,19 +50,19 @@ def parse_job_listing(pages: DataFrame) -> DataFrame:
 def parse_deal_page(pages: DataFrame) -> DataFrame:
     """Outbound links whose anchor or surrounding text speaks of an offer; one per (aggregator, host).
 
-    The link text and the text of the enclosing element count, 400 characters together.
+    The whole text of the link and of the enclosing element is searched; its first 200 characters are quoted, as all links
+    of an element would repeat the rest.
     """
-    rows = page_links(pages.withColumn("_own", F.lower(netloc(F.col("page_url")))))
-    href = trim_chars(F.col("item.raw_href"), " \t\n\r")
-    host = F.lower(netloc(href))
-    context = F.substring(F.concat("item.tight_text", F.lit(" "), "item.parent_text"), 1, 400)
-    rows = rows.withColumns({"_host": host, "_context": context})
-    rows = rows.where(
-        F.startswith(href, F.lit("http")) & (F.col("_host") != "") & (F.col("_host") != F.col("_own"))
-        & F.col("_context").rlike(DEAL_PATTERN)
+    wording = DEAL_PATTERN.replace("(?iU)", "(?i)")
+    parsed = pages.withColumns({"_links": H.links_in_context(F.col("body"), wording), "_own": F.lower(netloc(F.col("page_url")))})
+    target = lambda x: trim_chars(x["href"], " \t\n\r")
+    host = lambda x: F.lower(netloc(target(x)))
+    offers = F.filter(
+        "_links",
+        lambda x: x["matched"] & F.startswith(target(x), F.lit("http")) & (host(x) != "") & (host(x) != F.col("_own")),
     )
-    rows = first_per(rows, ["payload_id", "aggregator", "_host"], ["pos"])
-    raw = trim_chars(F.substring("_context", 1, 200), " \t\n\r")
+    rows = exploded_first(parsed, offers, host, ["aggregator", "page_url"]).withColumnRenamed("key", "_host")
+    raw = trim_chars(F.substring("item.context", 1, 200), " \t\n\r")
     return signals(
         rows, F.col("aggregator"), raw, F.concat(F.lit("https://"), "_host"), F.col("page_url"),
         meta_value=meta({"aggregator": F.col("aggregator")}), row_key=F.col("_host"),
@@ -96,14 +96,15 @@ def parse_brand_page(pages: DataFrame, source: str = "coupon") -> DataFrame:
 def parse_server_cards(pages: DataFrame, source: str = "discord_dir") -> DataFrame:
     """Cards with name, description and first external link; one per link, or per text without one."""
     parsed = pages.withColumn("_cards", H.cards(F.col("body"), F.col("page_url")))
-    rows = exploded(parsed, F.col("_cards"), ["page_url"])
-    external = F.filter(
-        "item.hrefs",
-        lambda u: F.startswith(u, F.lit("http")) & (host_without_www(u) != "") & ~host_without_www(u).isin(*CARD_HOSTS),
-    )
-    body = F.concat("item.name", F.lit(". "), "item.description")
-    rows = rows.withColumns({"_site": F.get(external, F.lit(0)), "_text": trim_chars(trim_chars(body, ". "), " \t\n\r")})
-    rows = rows.where((F.col("_text") != "") | F.col("_site").isNotNull())
-    rows = rows.withColumn("_key", F.coalesce(truthy_text(F.col("_site")), F.col("_text")))
-    rows = first_per(rows, ["payload_id", "_key"], ["pos"])
-    return signals(rows, text(source), F.col("_text"), F.col("_site"), F.col("page_url"), row_key=F.col("_key"))
+
+    def read(card: Column) -> Column:
+        site = F.get(F.filter(
+            card["hrefs"],
+            lambda u: F.startswith(u, F.lit("http")) & (host_without_www(u) != "") & ~host_without_www(u).isin(*CARD_HOSTS),
+        ), F.lit(0))
+        body = F.concat(card["name"], F.lit(". "), card["description"])
+        return F.struct(site.alias("site"), trim_chars(trim_chars(body, ". "), " \t\n\r").alias("text"))
+
+    cards = F.filter(F.transform("_cards", read), lambda x: (x["text"] != "") | x["site"].isNotNull())
+    rows = exploded_first(parsed, cards, lambda x: F.coalesce(truthy_text(x["site"]), x["text"]), ["page_url"])
+    return signals(rows, text(source), F.col("item.text"), F.col("item.site"), F.col("page_url"), row_key=F.col("key"))

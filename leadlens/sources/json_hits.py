@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions.words import has_any, literals, truthy_text
-from leadlens.sources.common import deeper, empty_if_null, exploded, first_chars, first_per, meta, positions, signals, trim_chars
+from leadlens.sources.common import deeper, empty_if_null, exploded, exploded_first, first_chars, first_per, meta, signals, trim_chars
 
 _SPACE = " \t\n\r"
 
@@ -166,6 +166,19 @@ def with_inference(models: DataFrame, status: DataFrame) -> DataFrame:
     return models.drop("inference").join(s, "model_id", "left").withColumnRenamed("_status", "inference")
 
 
+def parse_hub(payloads: DataFrame) -> DataFrame:
+    """Landed hub answers: lists of models, and single-model answers, which state whether a model is served."""
+    single = payloads.where(F.startswith(F.ltrim("body"), F.lit("{"))).select(
+        F.from_json("body", "id string, modelId string, inference string").alias("_j")
+    )
+    status = single.select(_either(F.col("_j.id"), F.col("_j.modelId")).alias("model_id"), F.col("_j.inference").alias("inference"))
+    newest = status.where(F.col("model_id").isNotNull()).groupBy("model_id").agg(F.max("inference").alias("inference"))
+    models = hub_models(payloads.where(F.startswith(F.ltrim("body"), F.lit("["))))
+    listed = models.withColumnRenamed("inference", "_listed")
+    both = with_inference(listed.withColumn("inference", F.col("_listed")), newest)
+    return hub_signals(both.withColumn("inference", F.coalesce("inference", "_listed")).drop("_listed"))
+
+
 def hub_signals(models: DataFrame, org: str | None = None) -> DataFrame:
     """Releases of the key organisations (or of one); models live on the hosted API say so and force a label."""
     mid = F.col("model_id")
@@ -291,15 +304,14 @@ def parse_price_catalogue(payloads: DataFrame, source: str = "provider_lists") -
     """Providers of a price object keyed by model: key prefix, then the provider field; one row per name and
     payload, letter case ignored."""
     rows = payloads.withColumn("_j", F.from_json("body", "map<string,struct<litellm_provider:string>>"))
-    rows = exploded(rows, F.map_entries("_j")).where("item.key <> 'sample_spec'")
-    key = F.col("item.key")
-    prefix = F.when(F.contains(key, F.lit("/")), F.substring_index(key, "/", 1))
-    names = F.array(prefix, F.col("item.value.litellm_provider"))
-    kept = [c for c in rows.columns if c not in ("item", "pos")]
-    rows = rows.select(*kept, F.col("pos").alias("_p"), F.posexplode(names).alias("_i", "name"))
-    rows = rows.withColumns({"name": trim_chars(F.col("name"), _SPACE), "pos": F.concat("_p", positions(F.col("_i")))}).drop("_p", "_i")
-    rows = rows.where(truthy_text(F.col("name")).isNotNull()).withColumn("_low", F.lower("name"))
-    rows = first_per(rows, ["payload_id", "_low"], ["pos"])
+
+    def named(entry: Column) -> Column:
+        prefix = F.when(F.contains(entry["key"], F.lit("/")), F.substring_index(entry["key"], "/", 1))
+        both = F.array(prefix, entry["value"]["litellm_provider"])
+        return F.when(entry["key"] == "sample_spec", literals([])).otherwise(F.transform(both, lambda n: trim_chars(n, _SPACE)))
+
+    names = F.filter(F.flatten(F.transform(F.map_entries("_j"), named)), lambda n: truthy_text(n).isNotNull())
+    rows = exploded_first(rows, names, F.lower)
     return signals(
-        rows, source, F.concat(F.lit("LLM provider listed: "), "name"), meta_value=meta(service_candidate=True)
+        rows, source, F.concat(F.lit("LLM provider listed: "), "item"), meta_value=meta(service_candidate=True)
     )

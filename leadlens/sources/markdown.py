@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadlens.functions.domains import host_without_www
 from leadlens.functions.html import squeeze
 from leadlens.functions.words import truthy_text
-from leadlens.sources.common import empty_if_null, exploded, first_per, meta, positions, signals, trim_chars
+from leadlens.sources.common import empty_if_null, exploded, exploded_first, first_per, meta, positions, signals, trim_chars
 
 # Link patterns and names that are not services.
 LIST_URL_PATTERN = r"(?U)https?://[^\s)\]>\"']+"
@@ -19,23 +19,28 @@ LIST_SKIP_HOSTS = (
 )
 PROVIDER_URL_PATTERN = r"(?iU)https?://[^\s)\]\"'>]+"
 PROVIDER_NAME_PATTERN = r"^[|\-*]\s*\[?([A-Za-z][A-Za-z0-9 ._/+-]{1,40})\]?"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 PROVIDER_NOISE = ("provider", "providers", "model", "models")
 
 
 def lines(documents: DataFrame, keep: list[str]) -> DataFrame:
     """Lines of every document with their position."""
-    return exploded(documents, F.split("body", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), keep).withColumnRenamed("item", "line")
+    return exploded(documents, F.split("body", _LINE_END), keep).withColumnRenamed("item", "line")
 
 
 def parse_list(documents: DataFrame) -> DataFrame:
     """One signal per line with an outbound link, one per linked host; columns source and (optional) repo."""
-    rows = lines(documents, ["source", "repo"])
-    urls = F.regexp_extract_all("line", F.lit(LIST_URL_PATTERN), F.lit(0))
-    outbound = F.filter(urls, lambda u: (host_without_www(u) != "") & ~host_without_www(u).isin(*LIST_SKIP_HOSTS))
-    rows = rows.withColumn("_url", F.get(outbound, F.lit(0))).where(F.col("_url").isNotNull())
-    rows = rows.withColumn("_host", host_without_www(F.col("_url")))
-    rows = first_per(rows, ["payload_id", "_host"], ["pos"])
-    context = squeeze(F.regexp_replace("line", r"[|#*`>\[\]]", " "))
+
+
+    def outbound(line: Column) -> Column:
+        urls = F.regexp_extract_all(line, F.lit(LIST_URL_PATTERN), F.lit(0))
+        ours = F.filter(urls, lambda u: (host_without_www(u) != "") & ~host_without_www(u).isin(*LIST_SKIP_HOSTS))
+        return F.struct(line.alias("line"), F.get(ours, F.lit(0)).alias("url"))
+
+    linked = F.filter(F.transform(F.split("body", _LINE_END), outbound), lambda x: x["url"].isNotNull())
+    rows = exploded_first(documents, linked, lambda x: host_without_www(x["url"]), ["source", "repo"])
+    rows = rows.withColumns({"_url": F.col("item.url"), "_host": F.col("key")})
+    context = squeeze(F.regexp_replace("item.line", r"[|#*`>\[\]]", " "))
     repo = truthy_text(F.col("repo")) if "repo" in documents.columns else F.lit(None).cast("string")
     origin = F.concat(F.lit("https://github.com/"), F.coalesce(repo, F.col("source")))
     return signals(rows, F.col("source"), context, F.rtrim("_url", F.lit(".,);")), origin, row_key=F.col("_host"))

@@ -61,7 +61,7 @@ for _source in (
     Source("searchdorks", json_hits.parse_web_hits, "api", 3600),
     Source("youtube", json_hits.parse_video_hits, "api", 3600),
     Source("openrouter", json_hits.parse_model_catalogue, "api", 21600),
-    Source("huggingface", lambda p: json_hits.hub_signals(json_hits.hub_models(p)), "api", 900),
+    Source("huggingface", json_hits.parse_hub, "api", 900),
     Source("npm", json_hits.parse_package_hits, "api", 21600),
     Source("pypi", feeds.parse_package_feed, "rss", 21600),
     Source("appstore", lambda p: json_hits.distinct_apps(json_hits.parse_app_chart(p)), "api", 43200),
@@ -71,13 +71,13 @@ for _source in (
     Source("provider_prices", json_hits.parse_price_catalogue, "api", 43200),
     Source("provider_lists", markdown.parse_provider_doc, "api", 43200),
     Source("github_lists", markdown.parse_list, "api", 7200),
-    Source("crtsh", certificates.parse_certificate_hits, "http-poll", 3600),
+    Source("crtsh", certificates.parse_search_answers, "http-poll", 3600),
     Source("directories", html_links.parse_listing, "scraper", 3600),
     Source("wellfound", html_links.parse_job_listing, "scraper", 86400),
     Source("coupon", html_links.parse_deal_page, "scraper", 7200),
     Source("discord_dir", html_links.parse_server_cards, "scraper", 43200),
     Source("leaks", redact.host_candidates, "api", 900),
-    Source("telegram", channel.message_signals, "ingest", 120, "stream"),
+    Source("telegram", channel.parse_messages, "ingest", 120, "stream"),
     Source("certstream", certificates.parse_messages, "ct-stream", 60, "stream"),
 ):
     register(_source)
@@ -94,11 +94,12 @@ def union_signals(*frames: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ landed files and stored tables
 def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as payloads, ids from the file name so that a reread gives the same ids; ``landed_at`` is the time of
-    the file, which orders payloads before their ids do."""
+    the file, which orders payloads before their ids do.  Folders ``name=value`` (collector, source, ...) become columns."""
     files = spark.read.option("wholetext", True).text(path)
     return files.select(
         F.xxhash64("_metadata.file_path").alias("payload_id"), F.col("value").alias("body"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed_at"),
+        *[c for c in files.columns if c != "value"],
     )
 
 
