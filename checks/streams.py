@@ -65,10 +65,9 @@ def stream_ingest(spark, sf):
     fields = ("force_classify", "service_candidate", "model_release", "org", "model_id")
     rows = o.select(*[F.expr(e).alias(n) for n, e in V.POST_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at"))
     signals = with_schema(rows.withColumn("meta", meta(**{n: F.col(n) for n in fields})).drop(*fields), "signals_in")
-    query = ST.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF))
+    query = ST.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF), buckets=8)
     query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress if p["numInputRows"])
-    offers = spark.read.parquet(f"{path}/batch={last}/offers")
+    offers = ST.read_state(spark, path, ST.last_epoch(query.recentProgress), "offers")
     return offers.groupBy("type").agg(
         F.count("*").alias("offers"), F.count("amount").alias("with_amount"), F.countDistinct("service_id").alias("services")
     )

@@ -200,6 +200,8 @@ def _locator_key() -> Column:
 
 def stored_keys(stored: DataFrame) -> DataFrame:
     """Source and key of the stored rows that have a ``source_url``."""
+    if "_key" in stored.columns:  # kept as keys already
+        return stored.select("source", "_key")
     if "row_key" not in stored.columns:
         stored = stored.withColumn("row_key", F.lit(None).cast("string"))
     return stored.select("source", _locator().alias("_key")).where(F.col("_key").isNotNull())

@@ -61,23 +61,28 @@ class IngestJob:
     ) -> None:
         """``previous`` and ``target`` are snapshot folders and must differ; ``target`` may be rewritten, which
         makes a repeated run harmless.  The new signals go to ``target/signals``."""
-        spark = signals.sparkSession
-        tables = read_snapshot(spark, previous)
+        rows, found = self.stage(signals, target, stored_signals)
+        write_snapshot(self.merge(read_snapshot(signals.sparkSession, previous), rows, found, as_of), target)
+
+    def stage(self, signals: DataFrame, target: str, stored_signals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Labelled rows that reach storage and harvested candidates, written below ``target`` and read back."""
         normalized = staged(I.normalize(schemas.with_schema(signals, "signals_in")), f"{target}/_normalized")
         classify = self.classifier or (lambda df: I.rule_classifier(df, self.lex))
         routed = I.route(classify(I.keep_matched(normalized, self.lex)), self.min_confidence)
         rows = staged(I.storable(routed, stored_signals), f"{target}/_rows")
-        out = {
+        return rows, staged(I.harvest_candidates(normalized, self.lex), f"{target}/_found")
+
+    @staticmethod
+    def merge(tables: dict[str, DataFrame], rows: DataFrame, found: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+        """Tables after the rows.  ``tables`` may hold a part only, if it holds all keys that the rows touch."""
+        return {
             "services": I.merge_services(tables["services"], rows, as_of),
             "service_aliases": I.merge_aliases(tables["service_aliases"], rows),
             "offers": I.merge_offers(tables["offers"], rows, as_of),
             "lead_metrics": I.merge_lead_metrics(tables["lead_metrics"], rows),
-            "candidates": C.merge_candidates(
-                tables["candidates"], I.harvest_candidates(normalized, self.lex), as_of
-            ),
+            "candidates": C.merge_candidates(tables["candidates"], found, as_of),
             "signals": I.stored_signals(rows),
         }
-        write_snapshot(out, target)
 
 
 def discovery_step(
