@@ -1,11 +1,12 @@
 """Toxicity: a convolutional text classifier trained here, in NumPy.
 
-A word is the sum of three embeddings: under two independent hashes, so that one collision does not turn a word into
-another, and under a hash of its first letters, so that forms of a stem share what is learned.  Filters of several widths run over the whole text and are max-pooled; a logistic unit reads the pooled values.
+A word is the sum of four embeddings: under two independent hashes, so that one collision does not turn a word into
+another, and under hashes of its first letters, fewer and more, so that forms of a stem share what is learned.  Filters
+of several widths run over the whole text and are max-pooled; a logistic unit reads the pooled values.
 
 Training takes at most ``FIT_ROWS`` labelled rows, half of each class as far as there are, in hash order; it is the only
-bounded part.  A fifth of them is held back: on it each language gets a threshold, and scores are moved (as log-odds) so
-that the language's threshold becomes ``ACCEPT``.  The language of a text is itself read from its words by a small model
+bounded part.  A fifth of them is held back: on it each language gets a threshold, the rows of the others counting
+``OTHERS`` times, and scores are moved (as log-odds) so that the language's threshold becomes ``ACCEPT``.  The language of a text is itself read from its words by a small model
 fitted on the same rows; a score uses the text and nothing else.
 
 Scoring turns filters into tables by hash, so that a text costs look-ups and additions; long texts go by blocks.
@@ -33,13 +34,15 @@ WIDTHS = (1, 2, 3)
 FILTERS = 16
 SIZE = 8  # of an embedding
 BUCKETS = 1 << 16  # for each hash
-HASHES = 3
-STEM = 5  # bytes of the third
-EPOCHS = 6
+STEMS = (4, 7)  # bytes of the third and the fourth hash
+HASHES = 2 + len(STEMS)
+EPOCHS = 8
 BATCH = 32
 RATE = 0.05
 BLOCK = 1 << 16  # words scored at a time
 SEED = 7
+OTHERS = 0.1  # weight of the rows of other languages in a language's threshold
+CLEAN = 2.0  # weight of a rejected clean row against a missed toxic one
 LANGUAGE_WORDS = 200  # frequent words kept for each language
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
@@ -49,8 +52,8 @@ def buckets(text: str | None) -> np.ndarray:
     words = _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
     hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
     mixed = (hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    stems = np.fromiter((zlib.crc32(w[:STEM]) for w in words), np.uint32, len(words))
-    return np.stack([(h % BUCKETS).astype(np.int32) for h in (hashes, mixed, stems)])
+    stems = [np.fromiter((zlib.crc32(w[:n]) for w in words), np.uint32, len(words)) for n in STEMS]
+    return np.stack([(h % BUCKETS).astype(np.int32) for h in (hashes, mixed, *stems)])
 
 
 @dataclass
@@ -108,16 +111,14 @@ def _odds(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _calibrated(odds: np.ndarray, toxic: np.ndarray, weight: float) -> float:
-    """The threshold with the fewest mistakes, clean rows counting ``weight`` times; in the middle of its gap."""
-    if not toxic.any() or toxic.all():
-        return 0.0
+def _calibrated(odds: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
+    """The threshold with the fewest mistakes by weight, clean rows counting ``CLEAN`` times; in the middle of its gap."""
     order = np.argsort(odds)
-    odds, toxic = odds[order], toxic[order]
-    lost = np.concatenate(([0], np.cumsum(toxic)))  # toxic rows below
-    kept = np.concatenate(([0], np.cumsum(~toxic)))
-    cost = lost + weight * (kept[-1] - kept)
-    at = int(np.flatnonzero(cost == cost.min())[-1])
+    odds, toxic, weights = odds[order], toxic[order], weights[order]
+    lost = np.concatenate(([0], np.cumsum(toxic * weights)))  # toxic rows below
+    kept = np.concatenate(([0], np.cumsum(~toxic * weights)))
+    cost = lost + CLEAN * (kept[-1] - kept)
+    at = int(np.flatnonzero(cost <= cost.min() + 1e-9)[-1])
     low = odds[at - 1] if at else odds[0] - 1
     high = odds[at] if at < len(odds) else odds[-1] + 1
     return float((low + high) / 2)
@@ -200,12 +201,8 @@ def train(texts: list[str | None], toxic: list[int], langs: list[str | None]) ->
     judged = held if len(held) and y[held].any() and not y[held].all() else used
     odds = np.array([model.raw(ids[i]) for i in judged])
     named = np.array([model.language(ids[i]) for i in judged])
-    whole = _calibrated(odds, y[judged], 2.0)
-    model.thresholds[:] = whole
-    for k in range(model.languages.shape[1]):
-        mine = named == k
-        if (y[judged] & mine).sum() >= 20 and (~y[judged] & mine).sum() >= 20:
-            model.thresholds[k] = _calibrated(odds[mine], y[judged][mine], 2.0)
+    for k in range(len(model.thresholds)):
+        model.thresholds[k] = _calibrated(odds, y[judged], np.where(named == k, 1.0, OTHERS))
     return model
 
 
