@@ -18,6 +18,8 @@ from leadlens.operators import candidates as C
 from leadlens.operators import enrich as E
 from leadlens.operators import ingest as I
 from leadlens.operators import notify as N
+from leadlens.operators import relabel as R
+from leadlens.operators.admin import purge_blocked
 from leadlens.operators.leads import one_row
 from leadlens.operators.scoring import rescore
 from leadlens.session import checkpointed
@@ -158,3 +160,46 @@ def maintenance(
         },
         target,
     )
+
+
+def relabel(
+    spark: SparkSession,
+    previous: str,
+    target: str,
+    signals: DataFrame,
+    as_of: Column,
+    external: DataFrame | None = None,
+    lex: lx.Lexicon = lx.Lexicon(),
+    classifier: I.Classifier | None = None,
+    weights: lx.ScoreWeights = lx.ScoreWeights(),
+) -> None:
+    """Label all offers anew, by ``external(id, raw)`` where it has a label and by rules elsewhere, and rescore them.
+
+    ``signals`` are the stored signals; offers whose service has no text keep their columns.
+    """
+    tables = read_snapshot(spark, previous)
+    offers, services = tables["offers"], tables["services"]
+    inputs = R.relabel_inputs(offers, services, signals.withColumn("signal_id", F.col("id")))
+    labels = R.labels_or_fallback(inputs, external, lex, classifier)
+    labelled = staged(R.apply_labels(offers, labels), f"{target}/_labelled")
+    write_snapshot({**tables, "offers": rescore(labelled, services, signals, as_of, weights)}, target)
+
+
+def purge(spark: SparkSession, previous: str, target: str, signals: DataFrame, blocked=lx.BLOCKED_DOMAINS) -> None:
+    """Next snapshot without the blocked services, their aliases, offers, lead metrics and stored signals; the number
+    of removed rows is written with it."""
+    tables = read_snapshot(spark, previous)
+    kept = purge_blocked(tables["services"], tables["offers"], signals, tables["lead_metrics"], blocked)
+    ids = kept.services.select(F.col("id").alias("service_id"))
+    write_snapshot(
+        {
+            "services": kept.services,
+            "service_aliases": tables["service_aliases"].join(ids, "service_id", "left_semi"),
+            "offers": kept.offers,
+            "lead_metrics": kept.lead_metrics,
+            "candidates": tables["candidates"],
+            "signals": kept.signals,
+            "counters": kept.counters,
+        },
+        target,
+    )
