@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadlens import lexicon as lx
+
 # Ship this module inside the pickled functions, so executors need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -245,20 +247,10 @@ def title(page_html: Column) -> Column:
     return F.when(page_html.rlike(pattern), F.substring(found, 1, 200))
 
 
-_META_FIRST = (
-    r"(?is)<meta[^>]+(?:name|property)\s*=\s*[\"'](?:description|og:description)[\"'][^>]*"
-    r"content\s*=\s*[\"'](.*?)[\"']"
-)
-_META_LAST = (
-    r"(?is)<meta[^>]+content\s*=\s*[\"'](.*?)[\"'][^>]*"
-    r"(?:name|property)\s*=\s*[\"'](?:description|og:description)[\"']"
-)
-
-
 def meta_description(page_html: Column) -> Column:
     """First meta description over 20 characters, attribute order either way, at most 300 characters."""
     tries = []
-    for pattern in (_META_FIRST, _META_LAST):
+    for pattern in lx.META_DESCRIPTION_PATTERNS:
         text = squeeze(unescape(F.regexp_extract(page_html, pattern, 1)))
         tries.append(F.when(F.length(text) > 20, F.substring(text, 1, 300)))
     return F.coalesce(*tries)

@@ -178,6 +178,13 @@ RELAY_STATUS_PATH = "/api/status"
 RELAY_MODELS_PATH = "/v1/models"
 RELAY_NOTICE_PATH = "/api/notice"
 OFFER_URL_PATTERN = r"(?i)pricing|plans|billing|subscribe|redeem|promo|coupon|trial|credits|free"
+# A page's description, the name before the content and after it.
+META_DESCRIPTION_PATTERNS = (
+    r"(?is)<meta[^>]+(?:name|property)\s*=\s*[\"'](?:description|og:description)[\"'][^>]*"
+    r"content\s*=\s*[\"'](.*?)[\"']",
+    r"(?is)<meta[^>]+content\s*=\s*[\"'](.*?)[\"'][^>]*"
+    r"(?:name|property)\s*=\s*[\"'](?:description|og:description)[\"']",
+)
 
 # ---------------------------------------------------------------- fixed values: certificate names
 CT_KEYWORDS = (
