@@ -97,7 +97,7 @@ def page_bodies(spark, sf):
 
 
 def page_facts(spark, sf):
-    """Facts per site in visiting order (checked against a plain re-computation in the tests)."""
+    """Facts per site from all its pages (checked against a plain re-computation in the tests)."""
     out = E.page_facts(page_bodies(spark, sf))
     return out.withColumns({"models": F.array_join("models", ","), "description": F.md5("description"), "notice": F.md5("notice")})
 

@@ -12,10 +12,10 @@ from leadlens.functions.score import hours_between, reliability
 from leadlens.functions.words import truthy_array, truthy_number, truthy_text
 from leadlens.schemas import with_schema
 
-_FIXED_PATHS = (
-    "/", *lx.OFFER_PATHS_PRIMARY, *lx.OFFER_PATHS_SECONDARY, lx.RELAY_STATUS_PATH, lx.RELAY_MODELS_PATH,
-    lx.RELAY_NOTICE_PATH,
-)
+_OFFER_PATHS = (*lx.OFFER_PATHS_PRIMARY, *lx.OFFER_PATHS_SECONDARY)
+_GATEWAY_PATHS = (lx.RELAY_STATUS_PATH, lx.RELAY_MODELS_PATH, lx.RELAY_NOTICE_PATH)
+# files for machines; the paths that a robots file names as sitemaps come on top
+_FILES = r"(?i)^/robots\.txt$|\.xml(\.gz)?$"
 
 
 def read_pages(page_bodies: DataFrame) -> DataFrame:
@@ -57,151 +57,107 @@ def _newest_bodies(page_bodies: DataFrame, *keys: str) -> DataFrame:
     return page_bodies.groupBy(*keys).agg(F.min_by("body", F.struct(_age(page_bodies), "body")).alias("body"))
 
 
-def _sitemap_pages(page_bodies: DataFrame, pages: DataFrame) -> DataFrame:
-    """The landed offer pages that the robots file and the sitemaps of a domain point to, in order."""
-    good = page_bodies.where("status = 200")
-    robots = _newest_bodies(good.where("path = '/robots.txt'"), "domain").select(
+def _local_path(url: Column) -> Column:
+    return F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
+
+
+def _sitemaps(page_bodies: DataFrame) -> DataFrame:
+    """domain, path and map_no of the sitemaps that the robots file names, and of ``/sitemap.xml``."""
+    robots = _newest_bodies(page_bodies.where("status = 200 AND path = '/robots.txt'"), "domain").select(
         "domain", P.sitemap_lines(F.col("body")).alias("listed")
     )
-    local_path = lambda u: F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
-    maps = (
-        page_bodies.select("domain")
-        .distinct()
-        .join(robots, "domain", "left")
-        .select(
-            "domain",
-            F.array_distinct(
-                F.concat(
-                    F.transform(F.coalesce("listed", F.array().cast("array<string>")), local_path),
-                    F.array(F.lit("/sitemap.xml")),
-                )
-            ).alias("maps"),
-        )
-        .select("domain", F.posexplode("maps").alias("map_no", "path"))
+    maps = F.concat(
+        F.transform(F.coalesce("listed", F.array().cast("array<string>")), _local_path), F.array(F.lit("/sitemap.xml"))
     )
-    urls = (
-        _newest_bodies(good.join(maps, ["domain", "path"]), "domain", "path", "map_no")
-        .select("domain", "map_no", F.posexplode(P.offer_urls(F.col("body"), None)).alias("url_no", "url"))
-        .select("domain", F.struct("map_no", "url_no").alias("at"), local_path(F.col("url")).alias("path"))
-        .groupBy("domain", "path").agg(F.min("at").alias("at"))
+    return (
+        page_bodies.select("domain").distinct().join(robots, "domain", "left")
+        .select("domain", F.posexplode(F.array_distinct(maps)).alias("map_no", "path"))
     )
-    found = urls.join(pages, ["domain", "path"])
+
+
+def _listed_pages(page_bodies: DataFrame, maps: DataFrame) -> DataFrame:
+    """domain, path and place of the offer pages that the sitemaps of a domain list."""
+    landed = page_bodies.where("status = 200").join(maps, ["domain", "path"])
     return (
-        found.groupBy("domain")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "page"))).alias("seq"))  # one row for each landed page listed
-        .select("domain", F.transform("seq", lambda s: s["page"]).alias("extra"))
+        _newest_bodies(landed, "domain", "path", "map_no")
+        .select("domain", "map_no", F.posexplode(P.offer_urls(F.col("body"), None)).alias("url_no", "url"))
+        .select("domain", F.struct("map_no", "url_no").alias("at"), _local_path(F.col("url")).alias("path"))
+        .groupBy("domain", "path").agg(F.min("at").alias("at"))
     )
 
 
 def page_facts(page_bodies: DataFrame) -> DataFrame:
-    """One row of facts per domain, from the pages landed for it.
+    """One row of facts per domain, from all pages landed for it.
 
-    Pages count in the order a visitor would open them: home page; pricing and plans, stopping at the first
-    offer word; the rarer offer pages only if neither exists; gateway endpoints unless the offer is already
-    clear; sitemap pages only while no offer word was found.
+    Models and amount are read off the home page, the gateway endpoints and every other page with status 200, each page
+    by itself. Prices and offer words count on the known offer paths, on the pages that sitemaps list, and on other pages
+    with an offer path. The order of the pages only chooses the description: home page, known offer paths, listed pages,
+    the rest by path.
     """
-    pages = read_pages(page_bodies)
-    fixed = pages.where(F.col("path").isin(*_FIXED_PATHS))
-    names = {path: f"p{i}" for i, path in enumerate(_FIXED_PATHS)}
-    wide = fixed.groupBy("domain").agg(
-        *[F.min(F.when(F.col("path") == path, F.col("page"))).alias(name) for path, name in names.items()]
-    )
-    wide = wide.join(_sitemap_pages(page_bodies, pages), "domain", "left")
-    p = {path: F.col(name) for path, name in names.items()}
-    no = F.lit(False)
-
-    def flag(path: str, name: str) -> Column:
-        return F.coalesce(p[path][name], no)
-
-    # which offer pages were read
-    primary, secondary = lx.OFFER_PATHS_PRIMARY, lx.OFFER_PATHS_SECONDARY
-    visits = {primary[0]: F.lit(True), primary[1]: ~flag(primary[0], "trigger")}
-    primary_trigger = flag(primary[0], "trigger") | (visits[primary[1]] & flag(primary[1], "trigger"))
-    got_primary = flag(primary[0], "content") | (visits[primary[1]] & flag(primary[1], "content"))
-    go_on = ~primary_trigger & ~got_primary
-    for path in secondary:
-        visits[path] = go_on
-        go_on = go_on & ~flag(path, "trigger")
-    read = {path: visits[path] & flag(path, "ok") for path in (*primary, *secondary)}
-    out = wide.withColumn("_read", F.struct(*[read[k].alias(names[k]) for k in read]))
-    was_read = {k: F.col(f"_read.{names[k]}") for k in read}
-    any_of = lambda cols: F.array_max(F.array(*cols))
-    out = out.withColumns(
-        {
-            "_pricing": any_of(was_read.values()),
-            "_trigger": any_of([was_read[k] & flag(k, "trigger") for k in read]),
-            "_engine": p["/"]["engine"],
-        }
-    )
-    notice_page, models_page = p[lx.RELAY_NOTICE_PATH], p[lx.RELAY_MODELS_PATH]
-    notice = F.when(F.coalesce(notice_page["ok"], no), notice_page["text"])
-    ids = F.coalesce(truthy_array(models_page["model_ids"]), F.array().cast("array<string>"))
-    out = out.withColumn("_ask", ~(F.col("_pricing") & F.col("_trigger") & F.col("_engine").isNotNull()))
-    out = out.withColumns(
-        {
-            "_notice": F.when(F.col("_ask"), truthy_text(notice)),
-            "_ids": F.when(F.col("_ask"), F.array_join(ids, " ")).otherwise(""),
-            "_relay": F.col("_ask") & (flag(lx.RELAY_STATUS_PATH, "relay_status") | (F.size(ids) > 0)),
-        }
-    )
-    out = out.withColumn("_notice_trigger", F.coalesce(P.has_pricing_trigger(F.col("_notice")), no))
-    out = out.withColumn(
-        "_more",
-        F.when(
-            ~F.col("_trigger") & ~F.col("_notice_trigger") & got_primary, F.col("extra")
-        ),
-    )
-    # sitemap pages are read until one has an offer word
-    more = F.filter(F.coalesce("_more", F.array().cast(out.schema["extra"].dataType)), lambda e: e["ok"])
-    out = out.withColumn("_more", more)
-    hit = F.array_position(F.transform("_more", lambda e: e["trigger"]), F.lit(True)).cast("int")
-    out = out.withColumn("_more", F.when(hit > 0, F.slice("_more", F.lit(1), hit)).otherwise(F.col("_more")))
-    order = ["/", *primary, *secondary]
-    scanned = [F.when(was_read[k] & flag(k, "content"), p[k]) if k != "/" else p["/"] for k in order]
-    descriptions = F.coalesce(
-        *[truthy_text(s["description"]) for s in scanned],
-        F.get(F.filter(F.transform("_more", lambda e: e["description"]), lambda d: d.isNotNull() & (d != "")), F.lit(0)),
-    )
-    out = out.withColumn("_description", descriptions)
-    join = lambda *cols: F.concat_ws(" ", *cols)
-    blob = join(
-        *[F.coalesce(s["text"], F.lit("")) for s in scanned],
-        F.col("_ids"),
-        F.coalesce("_notice", F.lit("")),
-        F.array_join(F.transform("_more", lambda e: e["text"]), " "),
-    )
-    shown_notice = F.when(F.col("_notice_trigger"), F.substring("_notice", 1, 300))
-    root = p["/"]
+    maps = _sitemaps(page_bodies)
+    is_map = maps.select("domain", "path", F.lit(True).alias("is_map"))
+    listed = _listed_pages(page_bodies, maps)
+    rows = read_pages(page_bodies).join(is_map, ["domain", "path"], "left").join(listed, ["domain", "path"], "left")
+    path, no = F.col("path"), F.lit(False)
+    known = F.array_position(F.array(*[F.lit(x) for x in _OFFER_PATHS]), path)
+    local = F.regexp_replace(path, r"[?#].*$", "")
+    root, gateway = path == "/", path.isin(*_GATEWAY_PATHS)
+    ok, is_file = F.col("page.ok"), F.col("is_map").isNotNull() | path.rlike(_FILES)
+    other = ~root & ~gateway & ok & ~is_file
+    offer = other & ((known > 0) | F.col("at").isNotNull() | local.rlike(lx.OFFER_URL_PATTERN))
+    notice = F.when((path == lx.RELAY_NOTICE_PATH) & ok, truthy_text(F.col("page.text")))
+    ids = F.when(path == lx.RELAY_MODELS_PATH, truthy_array(F.col("page.model_ids")))
     empty = F.lit("")
-    out = out.withColumn(
-        "_facts",
-        join(
-            F.coalesce(root["title"], empty), F.coalesce("_description", empty), F.coalesce(shown_notice, empty), blob
-        ),
-    ).withColumn("_models", P.detect_models(F.col("_facts")))
+    own = F.concat_ws(
+        " ", F.when(root, F.coalesce("page.title", empty)), F.coalesce("page.description", empty), F.coalesce("page.text", empty)
+    )
+    rows = rows.where(root | gateway | (known > 0) | other).select(
+        "domain",
+        F.when(root, F.struct("page.status", "page.title", "page.engine")).alias("home"),
+        offer.alias("offer"),
+        (offer & F.col("page.trigger")).alias("trigger"),
+        notice.alias("notice"),
+        ids.alias("ids"),
+        ((path == lx.RELAY_STATUS_PATH) & F.col("page.relay_status")).alias("relay_status"),
+        F.when(root | other, truthy_text(F.col("page.description"))).alias("description"),
+        F.struct(
+            ~root, F.when(known > 0, known).otherwise(len(_OFFER_PATHS) + 1), F.col("at").isNull(), F.col("at"), path
+        ).alias("order"),
+        F.coalesce(F.when(root | other, own), notice, F.array_join(ids, " "), empty).alias("facts"),
+    )
+    rows = rows.withColumns({"models": P.detect_models(F.col("facts")), "amount": P.detect_amount(F.col("facts"))})
+    label = lambda name: F.max(F.array_contains("models", name))
+    names = list(dict.fromkeys(v for _, v in (*lx.PAGE_MODEL_TOKENS, *lx.PAGE_MODEL_BOUNDED)))
+    out = rows.groupBy("domain").agg(
+        F.max("home").alias("home"),
+        F.max("offer").alias("has_pricing"),
+        F.max("trigger").alias("trigger"),
+        F.max("notice").alias("notice"),
+        F.max(F.coalesce("relay_status", no) | F.coalesce(F.size("ids") > 0, no)).alias("is_relay"),
+        F.min_by("description", F.when(F.col("description").isNotNull(), F.col("order"))).alias("description"),
+        F.array_compact(F.array(*[F.when(label(name), F.lit(name)) for name in names])).alias("models"),
+        F.max("amount").alias("amount"),
+    )
+    told = F.coalesce(P.has_pricing_trigger(F.col("notice")), no)
     return with_schema(
         out.select(
             "domain",
-            F.coalesce(root["status"] < 500, no).alias("alive"),
-            root["status"].alias("status"),
-            root["title"].alias("title"),
-            F.coalesce("_engine", F.when(F.col("_relay"), "relay")).alias("engine"),
-            (F.col("_pricing") | (F.size("_more") > 0)).alias("has_pricing"),
-            (F.col("_trigger") | F.col("_notice_trigger") | (hit_any(F.col("_more")))).alias("pricing_triggers"),
-            F.col("_description").alias("description"),
-            F.coalesce(truthy_array(F.col("_models")), P.detect_models(F.col("_ids"))).alias("models"),
-            P.detect_amount(F.col("_facts")).alias("amount"),
-            F.col("_relay").alias("is_relay"),
-            shown_notice.alias("notice"),
+            F.coalesce(F.col("home.status") < 500, no).alias("alive"),
+            F.col("home.status").alias("status"),
+            F.col("home.title").alias("title"),
+            F.coalesce("home.engine", F.when(F.col("is_relay"), "relay")).alias("engine"),
+            F.coalesce("has_pricing", no).alias("has_pricing"),
+            (F.coalesce("trigger", no) | told).alias("pricing_triggers"),
+            "description",
+            "models",
+            "amount",
+            "is_relay",
+            F.when(told, F.substring("notice", 1, 300)).alias("notice"),
         ),
         "page_facts",
     )
 
 
-def hit_any(pages: Column) -> Column:
-    return F.exists(pages, lambda e: e["trigger"])
-
-
 def earliest_certificate(certificates: DataFrame) -> DataFrame:
     """Earliest readable ``not_before`` per domain."""
     return certificates.groupBy("domain").agg(F.min(F.col("not_before").try_cast("timestamp")).alias("first_certificate"))
