@@ -9,6 +9,9 @@ A hit gives a diagonal; hits of a template on near diagonals are one candidate.
 aligned with the template inside a band around the diagonal, so that inserted, lost and changed words are tolerated.
 A match has the share of template words matched in order, and the character span from the first to the last of them.
 
+Coverage alone does not tell the AGPL from the GPL, nor a version from the next: the words that identify a license (its
+name and version) must be among the matched ones, and of matches that rest on the same words the best is reported.
+
 Nulls: a null text has no words and no match.  A license that a text states several times is matched several times;
 repeated rows match each.  Empty table: empty result.
 """
@@ -33,6 +36,41 @@ MATCHES = "doc_id long, license string, coverage double, matched_words long, fir
 _WORD = re.compile(r"[0-9a-z]+")
 
 # Published license statements.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution."
+)
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    "This product includes software developed by the organization."
+)
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the "
+    "Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+)
+# name: what is licensed, the license's name, its version
+_GNU_LICENSES = {
+    "gpl-2.0": ("program", "General Public License", "2"),
+    "gpl-3.0": ("program", "General Public License", "3"),
+    "lgpl-2.0": ("library", "Library General Public License", "2"),
+    "lgpl-2.1": ("library", "Lesser General Public License", "2.1"),
+    "lgpl-3.0": ("program", "Lesser General Public License", "3"),
+    "agpl-3.0": ("program", "Affero General Public License", "3"),
+}
+_CC = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives",
+    "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+_CC_VERSIONS = {"4.0": "International", "3.0": "Unported"}
 TEMPLATES: dict[str, str] = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -41,13 +79,6 @@ TEMPLATES: dict[str, str] = {
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     ),
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."
-    ),
     "mit-line": "Released under the MIT License.",
     "mit-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -57,13 +88,81 @@ TEMPLATES: dict[str, str] = {
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
         "Software."
     ),
-    "bsd-conditions": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
-        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution."
+    "bsd-conditions": _BSD,
+    "bsd-2-clause": f"{_BSD} {_AS_IS}",
+    "bsd-3-clause": f"{_BSD} {_NAMES}",
+    "bsd-4-clause": f"{_BSD} {_ADVERTISING}",
+    "gpl-2.0-only-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License version 2 as published by the Free Software Foundation."
+    ),
+    "isc-line": "Released under the ISC License.",
+    "isc-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "mpl-1.1-notice": (
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use '
+        "this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.mozilla.org/MPL/"
+    ),
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "epl-1.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 "
+        "which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"
+    ),
+    "epl-2.0-line": "Licensed under the Eclipse Public License, version 2.0.",
+    "epl-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
     ),
+    "bsd-2-clause-line": "Released under the BSD 2-Clause License.",
+    "bsd-3-clause-line": "Released under the BSD 3-Clause License.",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."
+    ),
+    "cc0-1.0-line": "Licensed under CC0 1.0.",
+    "cc0-1.0-name": "This work is licensed under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    **{f"{name}-notice": _GNU.format(*own) for name, own in _GNU_LICENSES.items()},
+    **{f"{n}-line": f"This work is licensed under the GNU {own[1]}, version {own[2]}." for n, own in _GNU_LICENSES.items()},
+    **{f"cc-{c}-{v}-line": f"Licensed under CC {c.upper()} {v}." for c in _CC for v in _CC_VERSIONS},
+    **{
+        f"cc-{c}-{v}-name": f"This work is licensed under a Creative Commons {name} {v} {area} License."
+        for c, name in _CC.items() for v, area in _CC_VERSIONS.items()
+    },
+}
+# Phrases of a template that tell it from others: name and version.  All of a phrase's words must be matched, and in a row.
+IDENTIFYING: dict[str, tuple[str, ...]] = {
+    "apache-2.0-line": ("apache", "version 2 0"),
+    "apache-2.0-notice": ("apache", "version 2 0"),
+    "mit-line": ("mit",),
+    "bsd-2-clause": ("this software is provided",),
+    "bsd-3-clause": ("neither the name",),
+    "bsd-4-clause": ("all advertising materials",),
+    "gpl-2.0-only-notice": ("gnu general", "version 2"),
+    "isc-line": ("isc",),
+    "mpl-1.1-notice": ("mozilla", "version 1 1"),
+    "mpl-2.0-line": ("mozilla", "version 2 0"),
+    "mpl-2.0-notice": ("mozilla", "v 2 0"),
+    "epl-1.0-notice": ("eclipse", "v1 0"),
+    "epl-2.0-line": ("eclipse", "version 2 0"),
+    "epl-2.0-notice": ("eclipse", "license 2 0"),
+    "bsd-2-clause-line": ("bsd 2 clause",),
+    "bsd-3-clause-line": ("bsd 3 clause",),
+    "cc0-1.0-line": ("cc0 1 0",),
+    "cc0-1.0-name": ("cc0 1 0",),
+    **{
+        f"{name}-{form}": (f"gnu {own[1].split()[0].lower()}", f"version {own[2].replace('.', ' ')}")
+        for name, own in _GNU_LICENSES.items() for form in ("notice", "line")
+    },
+    **{f"cc-{c}-{v}-line": (f"cc {c} {v}",) for c in _CC for v in _CC_VERSIONS},
+    **{f"cc-{c}-{v}-name": (f"commons {name} {v}",) for c, name in _CC.items() for v in _CC_VERSIONS},
 }
 
 
@@ -89,6 +188,9 @@ class Index:
         for name, text in sorted((templates or TEMPLATES).items()):
             self.names.append(name)
             self.texts.append(words(text))
+        self.phrases = [
+            [places_of(words(phrase), own) for phrase in IDENTIFYING.get(name, ())] for name, own in zip(self.names, self.texts)
+        ]
         self.gram, self.window = gram, window
         self.ids = {w: k for k, w in enumerate(sorted({w for t in self.texts for w in t}))}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -133,44 +235,82 @@ class Index:
         return sorted(out, key=lambda c: (c[1], c[0]))
 
 
-def align(template: list[str], text: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int] | None:
-    """Longest common subsequence of the template and the text inside the band: (words matched, first, last word)."""
+def align(template: list[str], text: list[str], diagonal: int, band: int = BAND) -> dict[int, int]:
+    """Longest common subsequence of the template and the text inside the band, of equally long ones the one that begins
+    latest and then ends earliest: the text's word for each matched word of the template."""
     width = 2 * band + 1
-    # cell k of row i stands for the text's word diagonal + i + k - band; values are (matched, -first, last)
-    none = (0, 0, -1)
+    start = diagonal - band
+    # cell k of row i stands for the text's word start + i + k; a cell is a number (matched, first, end before) and a chain
+    none = (0xFFFF, None)
     before = [none] * (width + 1)
     for i, word in enumerate(template):
         row = [none] * (width + 1)
         for k in range(width):
-            j = diagonal + i + k - band
-            best = max(before[k + 1], row[k - 1] if k else none)  # leave out a word of the template, or of the text
+            best, left = before[k + 1], row[k - 1] if k else none  # leave out a word of the template, or of the text
+            if left[0] > best[0]:
+                best = left
+            j = start + i + k
             if 0 <= j < len(text) and text[j] == word:
-                n, first, _ = before[k]
-                best = max(best, (n + 1, first if n else -j, j))
+                score, chain = before[k]
+                first = score >> 16 & 0xFFFF if chain else i + k
+                own = ((score >> 32) + 1) << 32 | first << 16 | 0xFFFF - (i + k)
+                if own > best[0]:
+                    best = own, (i, j, chain)
             row[k] = best
         before = row
-    n, first, last = max(before)
-    return (n, -first, last) if n else None
+    chain = max(before, key=lambda c: c[0])[1]
+    out = {}
+    while chain:
+        out[chain[0]] = chain[1]
+        chain = chain[2]
+    return out
+
+
+def places_of(phrase: list[str], own: list[str]) -> list[int]:
+    """Places of a phrase in its template."""
+    at = next(k for k in range(len(own)) if own[k : k + len(phrase)] == phrase)
+    return list(range(at, at + len(phrase)))
+
+
+def identified(phrases: list[list[int]], matched: dict[int, int]) -> bool:
+    """All words of each phrase are matched, in a row."""
+    return all(
+        k in matched and (k == phrase[0] or matched[k] == matched.get(k - 1, -2) + 1) for phrase in phrases for k in phrase
+    )
+
+
+def without_rivals(index: Index, found: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """The best of the matches that rest on the same words.  A match goes if a better one (more words, then a shorter span)
+    has matched all its identifying words, or, where it has none, most of its words.  Two licenses that one sentence names
+    rest on names of their own and both stay."""
+    span = lambda m: max(m.values()) - min(m.values())
+    kept: list[tuple[int, dict[int, int]]] = []
+    taken: list[set[int]] = []
+    for t, matched in sorted(found, key=lambda x: (-len(x[1]), span(x[1]), x[0], min(x[1].values()))):
+        marks = [matched[k] for phrase in index.phrases[t] for k in phrase]
+        own, least = (marks, len(marks)) if marks else (list(matched.values()), len(matched) // 2 + 1)
+        if not any(sum(j in other for j in own) >= least for other in taken):
+            kept.append((t, matched))
+            taken.append(set(matched.values()))
+    return kept
 
 
 def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, first and last character + 1) of each match of a whole text."""
     own = words(text)
-    found: dict[tuple[int, int], tuple[int, int]] = {}
+    found = []
     for template, diagonal in index.candidates(own):
-        size = len(index.texts[template])
-        hit = align(index.texts[template], own, diagonal)
-        if hit and hit[0] >= coverage * size:
-            key = (template, hit[1])
-            found[key] = max(found.get(key, (0, 0)), (hit[0], hit[2]))
+        matched = align(index.texts[template], own, diagonal)
+        if len(matched) >= coverage * len(index.texts[template]) and identified(index.phrases[template], matched):
+            found.append((template, matched))
     if not found:
         return []
     low = text.lower()
     # lower case may change the number of characters; then places are those of the lower-case text
     places = [m.span() for m in _WORD.finditer(low)]
+    rows = [(min(m.values()), t, len(m), max(m.values())) for t, m in without_rivals(index, found)]
     return [
-        (index.names[t], n / len(index.texts[t]), n, places[first][0], places[last][1])
-        for (t, first), (n, last) in sorted(found.items(), key=lambda x: (x[0][1], x[0][0]))
+        (index.names[t], n / len(index.texts[t]), n, places[first][0], places[last][1]) for first, t, n, last in sorted(rows)
     ]
 
 
