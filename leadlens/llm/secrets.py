@@ -1,15 +1,15 @@
 """Secret scans that weigh how widely a credential is copied.
 
 Candidates come from three patterns over whole texts.  Their values are hashed, and for each hash the corpus gives the
-number of distinct repositories and owners.  A value with many owners or repositories is a published ``example``; a value
-that one owner holds in few places and that looks random is ``live``; the rest is left alone.  Candidates of both kinds
-add a span around their value.
+number of distinct repositories and owners.  A value with ``OWNERS`` owners, or with several and ``REPOSITORIES``
+repositories, is a published ``example``; a value that one owner alone holds and that looks random is ``live``, in however
+many places; the rest is left alone.  Candidates of both kinds add a span around their value.
 
 Counting is in two steps, distinct (value, owner, repository) first, so that a value in a third of all rows is spread and
 pre-aggregated; the verdicts join back by value, one row for each.  Spans are gathered for each row of the table, bounded
 by its text.
 
-In the test tables a source is an owner and a document is a repository.
+In the test tables a source is an owner, and a text stands for a repository: copies of one text with one owner count once.
 
 Nulls: a null text is empty; a null owner or repository counts as one of its own.  Repeated rows count as one repository.
 Empty table: empty result.
@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from leadlens.llm.kit import cut
 
 KINDS = ("assign", "access", "hex", "live", "example")  # order of equal starts
-OWNERS, REPOSITORIES = 3, 5  # from so many on, a value is an example
-FEW = 2  # repositories that a live value is in at most
+OWNERS, REPOSITORIES = 3, 5  # from so many on, a value is an example; repositories count for values of several owners
 ENTROPY = 2.5  # bits a character that a live value has at least
 LIVE_LENGTH = 16
 
@@ -71,8 +70,11 @@ def looks_random(value: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= ENTROPY
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Candidates of each row, before the corpus is asked: row_id, doc_id, owner, repository, counts, base_sha256, found."""
+def scan(docs: DataFrame, owner: str = "source", repository: str | None = None) -> DataFrame:
+    """Candidates of each row, before the corpus is asked: row_id, doc_id, owner, repository, counts, base_sha256, found.
+
+    Without a column for it, the digest of the text stands for the repository.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS[:3]}
@@ -96,7 +98,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
 
     source = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), "text",
+        F.col(owner).cast("string").alias("owner"),
+        (F.sha2("text", 256) if repository is None else F.col(repository).cast("string")).alias("repository"), "text",
     )
     return source.mapInArrow(rows, (
         "row_id long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, "
@@ -111,12 +114,12 @@ def ownership(found: DataFrame) -> DataFrame:
     counted = by_owner.groupBy("value").agg(
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.max("random").alias("random")
     )
-    wide = (F.col("owners") >= OWNERS) | (F.col("repositories") >= REPOSITORIES)
-    live = (F.col("owners") == 1) & (F.col("repositories") <= FEW) & F.col("random")
+    wide = (F.col("owners") >= OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= REPOSITORIES))
+    live = (F.col("owners") == 1) & F.col("random")
     return counted.withColumn("verdict", F.when(wide, "example").when(live, "live"))
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+def secret_spans(docs: DataFrame, owner: str = "source", repository: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     rows = cut(scan(docs, owner, repository))
     found = rows.where(F.size("found") > 0).select(
