@@ -2,11 +2,13 @@
 
 Templates are cut into word ``GRAM``-grams; in each window of ``WINDOW`` grams the smallest hash is a fingerprint.  Any
 common run of ``GRAM + WINDOW - 1`` words shares a fingerprint, so no template with that many matching words in a row is
-missed.  The fingerprints of all templates form an inverted index: hash to (template, position).  The index has the size
-of the templates, whatever the corpus, and is broadcast.
+missed.  Of templates with at most ``SHORT`` words every gram is a fingerprint, and under ``2 * GRAM`` words also the pairs
+with an identifying word: with a fifth of the words changed one is always left.  The fingerprints of all templates form an
+inverted index: hash to (template, position).  The index has the size of the templates, whatever the corpus, and is broadcast.
 
-A hit gives a diagonal; hits of a template on near diagonals are one candidate.  The candidate's stretch of the text is
-aligned with the template inside a band around the diagonal, so that inserted, lost and changed words are tolerated.
+A hit gives a diagonal; hits of a template on near diagonals, over at most half its length, are one candidate.  The
+candidate's stretch of the text is aligned with the template inside a band around all these diagonals, so that inserted, lost
+and changed words are tolerated.
 A match has the share of template words matched in order, and the character span from the first to the last of them.
 
 Coverage alone does not tell the AGPL from the GPL, nor a version from the next: the words that identify a license (its
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 GRAM = 3
 WINDOW = 3
-BAND = 6  # words that a match may drift from its diagonal
+BAND = 6  # words that a match may drift from its diagonals
+SHORT = 24  # words of a template up to which no gram is left out
 COVERAGE = 0.8
 MATCHES = "doc_id long, license string, coverage double, matched_words long, first_char long, last_char long"
 _WORD = re.compile(r"[0-9a-z]+")
@@ -198,16 +201,26 @@ class Index:
             grams, hashes = self.grams([self.ids[w] for w in own])
             for at in winnow(hashes, window).tolist():
                 self.postings[int(grams[at])].append((t, at))
-
-    def grams(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        # grams that are looked up wherever they stand: size to number to (template, position)
+        self.everywhere: dict[int, dict[int, list[tuple[int, int]]]] = {gram: defaultdict(list), 2: defaultdict(list)}
+        for t, own in enumerate(self.texts):
+            marks = {k for phrase in self.phrases[t] for k in phrase[:1]}
+            for size, most in ((gram, SHORT), (2, 2 * gram - 1)):
+                if len(own) <= most:
+                    for at, number in enumerate(self.grams([self.ids[w] for w in own], size)[0].tolist()):
+                        if size == gram or not marks or {at, at + 1} & marks:
+                            self.everywhere[size][number].append((t, at))
+        self.numbers = {size: np.array(sorted(own), np.int64) for size, own in self.everywhere.items()}
+
+    def grams(self, ids: list[int], gram: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Grams as exact numbers, and their hashes.  A gram with a word of no template can't match: its hash is the
         greatest, so that it is no fingerprint where a common run fills a window."""
-        own = np.asarray(ids, np.int64)
-        n = len(own) - self.gram + 1
+        own, gram = np.asarray(ids, np.int64), gram or self.gram
+        n = len(own) - gram + 1
         if n < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         number, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(self.gram):
+        for k in range(gram):
             part = own[k : k + n]
             known &= part >= 0
             number = number * (len(self.ids) + 1) + part
@@ -215,30 +228,48 @@ class Index:
         hashes ^= hashes >> np.uint64(29)
         return np.where(known, number, -1), np.where(known, hashes, np.uint64(2**64 - 1))
 
-    def candidates(self, own: list[str]) -> list[tuple[int, int]]:
-        """(template, diagonal): the word of the text at which the template would begin."""
+    def candidates(self, own: list[str]) -> list[tuple[int, int, int]]:
+        """(template, first, last diagonal): the words of the text at which the template would begin."""
         get = self.ids.get
-        numbers, hashes = self.grams([get(w, -1) for w in own])
-        if not (numbers >= 0).any():
-            return []
+        ids = [get(w, -1) for w in own]
+        numbers, hashes = self.grams(ids)
         hits: dict[int, set[int]] = defaultdict(set)
-        for at in winnow(hashes, self.window).tolist():
-            for template, place in self.postings.get(int(numbers[at]), ()):
-                hits[template].add(at - place)
+        if (numbers >= 0).any():
+            for at in winnow(hashes, self.window).tolist():
+                for template, place in self.postings.get(int(numbers[at]), ()):
+                    hits[template].add(at - place)
+        for size, postings in self.everywhere.items():
+            numbers = self.grams(ids, size)[0]
+            for at in np.flatnonzero(np.isin(numbers, self.numbers[size])).tolist():
+                for template, place in postings[int(numbers[at])]:
+                    hits[template].add(at - place)
         out = []
         for template, diagonals in hits.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > BAND:
-                    out.append((template, d))
-                    last = d
+            half = len(self.texts[template]) // 2  # two statements are further apart
+            out += [(template, *ends) for ends in ranges(sorted(diagonals), min(BAND, half), half)]
         return sorted(out, key=lambda c: (c[1], c[0]))
 
 
-def align(template: list[str], text: list[str], diagonal: int, band: int = BAND) -> dict[int, int]:
-    """Longest common subsequence of the template and the text inside the band, of equally long ones the one that begins
+def ranges(diagonals: list[int], near: int, most: int) -> list[tuple[int, int]]:
+    """First and last of the chains of diagonals at most ``near`` apart; a chain over more than ``most`` is given as
+    overlapping ranges that begin more than ``near`` apart."""
+    out: list[tuple[int, int]] = []
+    to = 0
+    for k, d in enumerate(diagonals):
+        if out and d - out[-1][0] <= near:
+            continue
+        to = max(to, k)
+        while to + 1 < len(diagonals) and diagonals[to + 1] - diagonals[to] <= near and diagonals[to + 1] - d <= most:
+            to += 1
+        if not out or diagonals[to] > out[-1][1]:
+            out.append((d, diagonals[to]))
+    return out
+
+
+def align(template: list[str], text: list[str], diagonal: int, last: int, band: int = BAND) -> dict[int, int]:
+    """Longest common subsequence of the template and the text inside the band around the diagonals, of equally long ones the one that begins
     latest and then ends earliest: the text's word for each matched word of the template."""
-    width = 2 * band + 1
+    width = last - diagonal + 2 * band + 1
     start = diagonal - band
     # cell k of row i stands for the text's word start + i + k; a cell is a number (matched, first, end before) and a chain
     none = (0xFFFF, None)
@@ -299,8 +330,11 @@ def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> lis
     """(license, coverage, matched words, first and last character + 1) of each match of a whole text."""
     own = words(text)
     found = []
-    for template, diagonal in index.candidates(own):
-        matched = align(index.texts[template], own, diagonal)
+    for template, diagonal, last in index.candidates(own):
+        matched = align(index.texts[template], own, diagonal, last)
+        straight = align(index.texts[template], own, diagonal, last, 0)  # of like statements in a row, that of this place
+        if len(straight) == len(matched):
+            matched = straight
         if len(matched) >= coverage * len(index.texts[template]) and identified(index.phrases[template], matched):
             found.append((template, matched))
     if not found:
