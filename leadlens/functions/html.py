@@ -9,7 +9,9 @@ from __future__ import annotations
 import html as _html
 import re as _re
 import sys
+from bisect import bisect_left
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -33,7 +35,9 @@ LINK_TYPE = T.ArrayType(
 CONTEXT_TYPE = T.ArrayType(
     T.StructType([T.StructField("href", _TEXT), T.StructField("context", _TEXT), T.StructField("matched", T.BooleanType())])
 )
-_CONTEXT = 400  # characters quoted with a link; the wording is looked for in the whole text
+_CONTEXT = 400  # characters of an element that are carried whole by however many links
+_AROUND = 80  # characters on either side of a hit
+_FEW_LINKS = 8  # so many links of a parent carry its whole text
 CARD_TYPE = T.ArrayType(
     T.StructType(
         [T.StructField("name", _TEXT), T.StructField("description", _TEXT), T.StructField("hrefs", T.ArrayType(_TEXT))]
@@ -133,27 +137,49 @@ def _links_of(page_html, base):
 
 
 def _contexts_of(page_html, wording):
-    """Links with the start of their own and their parent's text, and whether ``wording`` is in either.
+    """Links with the text that may hold their offer, and whether ``wording`` is in it.
 
-    A parent is searched once for all its links, so a page costs its size times the depth of its elements.
+    That is their own and their parent's whole text; where more than ``_FEW_LINKS`` links share a long parent, their own and
+    the text around each hit of ``wording`` between the links before and after, or else around the nearest hits.  So every hit
+    is carried by the links beside it.  A parent is searched once for all its links, so a page costs its size times the depth
+    of its elements.
     """
     page = _Page(page_html or "")
+    found = [e for e in page.elements if e.tag == "a" and "href" in e.attrs]
+    groups = {}
+    for element in found:
+        groups.setdefault(id(element.parent), []).append(element)
     around = {}
+    for key, members in groups.items():
+        parent = members[0].parent
+        text = page.text(parent)
+        hits = [m.span() for m in wording.finditer(text)]
+        begins = [0, *accumulate(len(piece) + 1 for piece in page.pieces[parent.start:parent.end])]
+        around[key] = text, hits, [h[0] for h in hits], [begins[e.start - parent.start] for e in members]
     out = []
-    for element in page.elements:
-        if element.tag == "a" and "href" in element.attrs:
-            if id(element.parent) not in around:
-                text = page.text(element.parent)
-                around[id(element.parent)] = (text[:_CONTEXT], wording.search(text) is not None)
-            start, matched = around[id(element.parent)]
-            own = page.text(element, "") + " " + start
-            out.append(
-                {
-                    "href": element.attrs["href"],
-                    "context": own[:_CONTEXT],
-                    "matched": matched or wording.search(own) is not None,
-                }
-            )
+    place = dict.fromkeys(groups, 0)
+    for element in found:
+        key = id(element.parent)
+        text, hits, starts, offsets = around[key]
+        k = place[key]
+        place[key] += 1
+        own = page.text(element, "")
+        if len(offsets) > _FEW_LINKS and hits and len(text) > _CONTEXT:
+            first = bisect_left(starts, offsets[k - 1] if k else 0)
+            last = bisect_left(starts, offsets[k + 1]) if k + 1 < len(offsets) else len(hits)
+            near = hits[first:last] or hits[max(first - 1, 0):last + 1]
+            parts = []
+            for begin, end in near:
+                begin, end = max(begin - _AROUND, 0), end + _AROUND
+                if parts and begin <= parts[-1][1]:
+                    parts[-1][1] = end
+                else:
+                    parts.append([begin, end])
+            text = " ".join(text[begin:end] for begin, end in parts)
+        elif not hits and wording.search(own) is None:
+            text = text[:_CONTEXT]  # such a link is not kept
+        whole = own + " " + text
+        out.append({"href": element.attrs["href"], "context": whole, "matched": bool(hits) or wording.search(whole) is not None})
     return out
 
 

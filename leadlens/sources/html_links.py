@@ -50,8 +50,8 @@ def parse_job_listing(pages: DataFrame) -> DataFrame:
 def parse_deal_page(pages: DataFrame) -> DataFrame:
     """Outbound links whose anchor or surrounding text speaks of an offer; one per (aggregator, host).
 
-    The whole text of the link and of the enclosing element is searched; its first 200 characters are quoted, as all links
-    of an element would repeat the rest.
+    The whole text of the link and of the enclosing element is searched and carried; of an element with many links, the text
+    around the wording beside the link.
     """
     wording = DEAL_PATTERN.replace("(?iU)", "(?i)")
     parsed = pages.withColumns({"_links": H.links_in_context(F.col("body"), wording), "_own": F.lower(netloc(F.col("page_url")))})
@@ -62,7 +62,7 @@ def parse_deal_page(pages: DataFrame) -> DataFrame:
         lambda x: x["matched"] & F.startswith(target(x), F.lit("http")) & (host(x) != "") & (host(x) != F.col("_own")),
     )
     rows = exploded_first(parsed, offers, host, ["aggregator", "page_url"]).withColumnRenamed("key", "_host")
-    raw = trim_chars(F.substring("item.context", 1, 200), " \t\n\r")
+    raw = trim_chars(F.col("item.context"), " \t\n\r")
     return signals(
         rows, F.col("aggregator"), raw, F.concat(F.lit("https://"), "_host"), F.col("page_url"),
         meta_value=meta({"aggregator": F.col("aggregator")}), row_key=F.col("_host"),
