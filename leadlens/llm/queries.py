@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.llm import (
-    exact_dedup, licenses, mixing, packing, repetition, secrets, simhash, token_files, toxicity, warc,
+    exact_dedup, fill_middle, licenses, mixing, packing, repetition, secrets, simhash, token_files, toxicity, vector_codes,
+    warc, window_packing,
 )
 
 # Parameters of packing and token files: where the public vocabulary files are.
@@ -69,6 +70,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)).drop("text_hash")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +97,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_exact_dedup, op2_warc, op3_best_fit_packing, op4_token_files, op5_license_scan, op6_mixing, op7_simhash,
-        op8_secret_scan, op9_repetition, op10_toxicity, pipeline,
+        op8_secret_scan, op9_repetition, op10_toxicity, op11_vector_codes, op12_fill_middle, op13_window_packing, pipeline,
     )
 }
 
@@ -132,4 +150,76 @@ ORACLE = {
         SELECT doc_id, size, source_size, target, ((floor(u + (place + 1) * e) - floor(u + place * e)) * size)::BIGINT AS taken
         FROM r
     """,
+    "op12_fill_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+                   sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x
+            FROM documents
+        ), h AS (
+            SELECT *, len(units) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+                   ('0x' || x[25:32])::BIGINT AS h4
+            FROM d
+        ), c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ), p AS (
+            SELECT *, array_to_string(list_slice(units, 1, a), '') AS prefix,
+                   array_to_string(list_slice(units, a + 1, b), '') AS middle,
+                   array_to_string(list_slice(units, b + 1, n), '') AS suffix
+            FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
+
+
+def _lloyd_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Every part against every entry; components are integers held as doubles, so that all products are exact."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+            SELECT row_id, part, v, min((list_inner_product(v, v) - 2 * list_inner_product(v, e) + list_inner_product(e, e))::BIGINT
+                                        * 256 + entry) AS found
+            FROM p JOIN b{k} USING (part) GROUP BY ALL
+        )""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+            SELECT part, found % 256 AS entry, place, sum(x) AS total, count(*) AS n
+            FROM (SELECT part, found, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{k}) GROUP BY ALL
+        ), m{k} AS (
+            SELECT part, entry, list(floor(total / n) ORDER BY place) AS e FROM s{k} GROUP BY ALL
+        ), b{k + 1} AS (
+            SELECT part, entry, coalesce(m{k}.e, b{k}.e) AS e FROM b{k} LEFT JOIN m{k} USING (part, entry)
+        )""")
+    return f"""
+        WITH d AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_id, vec_id, label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS whole
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), w AS (
+            SELECT max(len(whole)) // 16 AS width FROM d
+        ), p AS (
+            SELECT row_id, part, whole[part * width + 1 : (part + 1) * width] AS v FROM d, w, (SELECT unnest(range(16)) AS part)
+        ), b0 AS (
+            SELECT part, row_id - 1 AS entry, v AS e FROM p WHERE row_id <= 64
+        ), {", ".join(steps)}, r AS (
+            SELECT row_id, string_agg(format('{{:02x}}', found % 256), '' ORDER BY part) AS code, sum(found // 256)::BIGINT AS error
+            FROM a{rounds} GROUP BY row_id
+        ), f AS (
+            SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS x
+            FROM b{rounds}
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, f.x AS codebooks_sha256
+        FROM d JOIN r USING (row_id), f
+    """
+
+
+ORACLE["op11_vector_codes"] = _lloyd_sql()
