@@ -78,12 +78,17 @@ def page_bodies(spark, sf):
     """pages as landed page bodies: eight consecutive pages are the paths of one site."""
     path = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("page_id") % len(_PATHS) + 1).cast("int"))
     site = F.floor(F.col("page_id") / len(_PATHS)).cast("string")
+    mark = (
+        F.when((path == "/") & (F.col("page_id") % 5 == 1), "<title> One API </title>")
+        .when((path == "/") & (F.col("page_id") % 5 == 2), '<meta name="description" content="Home of  Sub2API &amp; friends, with GLM">')
+        .otherwise("")
+    )
     offer = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<p>free trial with Claude and $"), F.col("page_id").cast("string"), F.lit(" credits</p>"))).otherwise("")
     body = (
         F.when(path == "/api/status", F.lit('{"data": {"version": "1"}}'))
         .when(path == "/v1/models", F.concat(F.lit('{"data": [{"id": "qwen-'), F.col("page_id").cast("string"), F.lit('"}]}')))
         .when(path == "/sitemap.xml", F.concat(F.lit("<loc>https://x/billing</loc> "), F.col("html")))
-        .otherwise(F.concat(offer, F.regexp_replace("html", r"\$", "")))
+        .otherwise(F.concat(mark, offer, F.regexp_replace("html", r"\$", "")))
     )
     json = path.isin("/api/status", "/v1/models")
     return _pages(spark, sf).select(
@@ -97,7 +102,7 @@ def page_bodies(spark, sf):
 
 
 def page_facts(spark, sf):
-    """Facts per site from all its pages (checked against a plain re-computation in the tests)."""
+    """Facts per site from all its pages."""
     out = E.page_facts(page_bodies(spark, sf))
     return out.withColumns({"models": F.array_join("models", ","), "description": F.md5("description"), "notice": F.md5("notice")})
 
@@ -167,7 +172,104 @@ _FACT_TEXT = """regexp_replace(html, '[0-9$]', '', 'g') || ' sign up for ' || CA
 _FIRST_NUMBER = "page_id * 37 % 7000"
 _SECOND_NUMBER = "page_id * 11 % 900"
 
+def _page_amounts(text: str, pattern: str) -> str:
+    """List of the plausible amounts of one pattern with an offer word close by; matches are found in text order, so their
+    places follow from the lengths of the pieces between them."""
+    p = K.quoted(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))
+    whole, number, pieces = f"regexp_extract_all({text}, {p}, 0)", f"regexp_extract_all({text}, {p}, 1)", f"string_split_regex({text}, {p})"
+    at = (f"list_sum(list_transform({pieces}[1:i], lambda s: length(s))) + "
+          f"coalesce(list_sum(list_transform({whole}[1:i - 1], lambda s: length(s))), 0)")
+    around = f"lower({text}[CAST(greatest({at} - {lx.PAGE_AMOUNT_WINDOW}, 0) AS BIGINT) + 1:CAST({at} AS BIGINT) + length({whole}[i]) + {lx.PAGE_AMOUNT_WINDOW}])"
+    value = f"TRY_CAST(regexp_replace({number}[i], '[, ]', '', 'g') AS DOUBLE)"
+    low, high = lx.PAGE_AMOUNT_RANGE
+    words = ", ".join(map(K.quoted, lx.PAGE_AMOUNT_TRIGGERS))
+    fits = f"{value} BETWEEN {low} AND {high} AND {_NEAR.format(words=words, window=around)}"
+    return f"list_transform(range(1, len({whole}) + 1), lambda i: CASE WHEN {fits} THEN {value} END)"
+
+
+_MODEL_NAMES = list(dict.fromkeys(v for _, v in (*lx.PAGE_MODEL_TOKENS, *lx.PAGE_MODEL_BOUNDED)))
+
+
+def _names(label: str) -> str:
+    plain = [f"contains(low, {K.quoted(t)})" for t, v in lx.PAGE_MODEL_TOKENS if v == label]
+    bounded = [f"regexp_matches(low, {K.quoted('(^|[^a-z])' + t + '($|[^a-z])')})" for t, v in lx.PAGE_MODEL_BOUNDED if v == label]
+    return f"bool_or({' OR '.join(plain + bounded)})"
+
+
+_PATH_LIST = ", ".join(map(K.quoted, _PATHS))
+_KNOWN_PATHS = ", ".join(map(K.quoted, (*lx.OFFER_PATHS_PRIMARY, *lx.OFFER_PATHS_SECONDARY)))
+_META = r"""(?is)<meta[^>]+(?:name|property)\s*=\s*["'](?:description|og:description)["'][^>]*content\s*=\s*["'](.*?)["']"""
+_TRIGGERED = K.any_word("{c}", lx.PRICING_TRIGGERS)
+_SITES = f"""WITH raw AS (
+  SELECT page_id, html, [{_PATH_LIST}][page_id % {len(_PATHS)} + 1] AS path, 'site' || CAST(page_id // {len(_PATHS)} AS VARCHAR) || '.ai' AS domain,
+    CASE WHEN page_id % 7 = 3 THEN 404 WHEN page_id % 29 = 0 THEN 503 ELSE 200 END AS status FROM pages
+),
+landed AS (
+  SELECT domain, path, status, CASE path WHEN '/api/status' THEN '{{"data": {{"version": "1"}}}}'
+      WHEN '/v1/models' THEN '{{"data": [{{"id": "qwen-' || CAST(page_id AS VARCHAR) || '"}}]}}'
+      WHEN '/sitemap.xml' THEN '<loc>https://x/billing</loc> ' || html
+      ELSE CASE WHEN path = '/' AND page_id % 5 = 1 THEN '<title> One API </title>'
+                WHEN path = '/' AND page_id % 5 = 2 THEN '<meta name="description" content="Home of  Sub2API &amp; friends, with GLM">' ELSE '' END
+        || CASE WHEN page_id % 3 = 0 THEN '<p>free trial with Claude and $' || CAST(page_id AS VARCHAR) || ' credits</p>' ELSE '' END
+        || replace(html, '$', '') END AS body
+  FROM raw
+),
+kept AS (SELECT domain, path, status, status = 200 AS ok, CASE WHEN status < 400 THEN body ELSE '' END AS body FROM landed),
+read AS (
+  SELECT *, lower(body) AS page_low, {visible('body')} AS text,
+    CASE WHEN regexp_matches(body, '(?is)<title[^>]*>(.*?)</title>')
+         THEN trim(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1))[1:200] END AS title,
+    trim(regexp_replace({unescaped(f"regexp_extract(body, {K.quoted(_META)}, 1)")}, '\\s+', ' ', 'g')) AS told,
+    list_position([{_KNOWN_PATHS}], path) AS known, path IN ('{lx.RELAY_STATUS_PATH}', '{lx.RELAY_MODELS_PATH}', '{lx.RELAY_NOTICE_PATH}') AS gateway
+  FROM kept
+),
+described AS (
+  SELECT *, CASE WHEN length(told) > 20 THEN told[1:300] WHEN length(text[1:400]) > 40 THEN text[1:280] END AS description,
+    path <> '/' AND NOT gateway AND ok AND NOT regexp_matches(path, '(?i)^/robots\\.txt$|\\.xml(\\.gz)?$') AS other
+  FROM read
+),
+listed AS (SELECT DISTINCT domain, '/billing' AS path, true AS on_map FROM described WHERE path = '/sitemap.xml' AND ok),
+own AS (
+  SELECT d.*, other AND (known > 0 OR on_map IS NOT NULL OR regexp_matches(d.path, {K.quoted(lx.OFFER_URL_PATTERN)})) AS offer,
+    CASE WHEN d.path = '{lx.RELAY_NOTICE_PATH}' AND ok AND text <> '' THEN text END AS notice,
+    CASE WHEN d.path = '{lx.RELAY_MODELS_PATH}' AND ok THEN regexp_extract_all(body, '"id": "([^"]*)"', 1) END AS ids,
+    CASE WHEN lower(title) = 'new api' THEN 'new-api' WHEN lower(title) = 'one api' THEN 'one-api' WHEN lower(title) = 'sub2api' THEN 'sub2api'
+         ELSE {K.first_label('page_low', lx.ENGINE_MARKS)} END AS engine
+  FROM described d LEFT JOIN listed USING (domain, path)
+),
+facts AS (
+  SELECT *, lower(blob) AS low FROM (
+    SELECT *, CASE WHEN path = '/' THEN coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(text, '')
+                   WHEN other THEN coalesce(description, '') || ' ' || coalesce(text, '')
+                   ELSE coalesce(notice, array_to_string(ids, ' '), '') END AS blob
+    FROM own WHERE path = '/' OR gateway OR known > 0 OR other)
+),
+amounts AS (
+  SELECT *, list_max(list_concat({", ".join(_page_amounts('blob', p) for p in lx.PAGE_AMOUNT_PATTERNS)})) AS amount FROM facts
+),
+site AS (
+  SELECT domain, max(status) FILTER (WHERE path = '/') AS status, max(title) FILTER (WHERE path = '/') AS title,
+    max(engine) FILTER (WHERE path = '/') AS engine, coalesce(bool_or(offer), false) AS has_pricing,
+    coalesce(bool_or(offer AND ok AND {_TRIGGERED.format(c='page_low')}), false) AS trigger, max(notice) AS notice,
+    coalesce(bool_or(coalesce(path = '{lx.RELAY_STATUS_PATH}' AND ok, false) OR coalesce(len(ids) > 0, false)), false) AS is_relay,
+    arg_min(description, CASE WHEN path = '/' THEN 0 WHEN known > 0 THEN known ELSE 9 END) FILTER (WHERE description <> '' AND (path = '/' OR other)) AS description,
+    list_filter([{", ".join(f"CASE WHEN {_names(v)} THEN {K.quoted(v)} END" for v in _MODEL_NAMES)}], lambda m: m IS NOT NULL) AS models,
+    max(amount) AS amount
+  FROM amounts GROUP BY domain
+),
+site_facts AS (
+  SELECT domain, coalesce(status < 500, false) AS alive, status, title, coalesce(engine, CASE WHEN is_relay THEN 'relay' END) AS engine,
+    has_pricing, trigger OR coalesce({_TRIGGERED.format(c='lower(notice)')}, false) AS pricing_triggers, description, models, amount, is_relay,
+    CASE WHEN {_TRIGGERED.format(c='lower(notice)')} THEN notice[1:300] END AS notice
+  FROM site
+)"""
+
 ORACLE = {
+    "page_facts": f"""{_SITES}
+SELECT * REPLACE (array_to_string(models, ',') AS models, md5(description) AS description, md5(notice) AS notice) FROM site_facts""",
+    "promotable_sites": f"""{_SITES}
+SELECT domain, alive AND (len(models) > 0 OR engine IS NOT NULL OR is_relay)
+  AND (is_relay OR pricing_triggers OR amount IS NOT NULL OR has_pricing) AS promote FROM site_facts""",
     "page_domains": f"""WITH c AS (SELECT page_id, url, {K.canonical('url')} AS domain FROM pages),
 d AS (SELECT *, {K.registrable('domain')} AS registrable FROM c)
 SELECT page_id, domain, registrable, replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'www.', '') AS host,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import kit as K
@@ -154,6 +156,15 @@ def posts_harvest(spark, sf):
     return h.select("domain", "first_source", "mentions", "priority")
 
 
+TEST_HINT = r"the|die|les|los"
+
+
+def harvested_from_documents(spark, sf):
+    """Candidate domains of documents with an offer context: blocked hosts, suffixes of two parts, both priorities."""
+    lex = replace(lx.Lexicon(), harvest_hint=TEST_HINT)
+    return I.harvest_candidates(I.normalize(V.document_mentions(spark, sf)), lex).select("domain", "first_source", "mentions", "priority")
+
+
 def posts_candidates(spark, sf):
     """Candidate queue after the harvest, customers' domains being queued already."""
     known = V.services(spark, sf).select(
@@ -199,14 +210,15 @@ QUERIES = {
     for f in (
         posts_normalized, posts_registrable, posts_labels, posts_routes, posts_stored, posts_counters, posts_outcomes,
         posts_services, posts_services_merged, posts_aliases, posts_offers, posts_offers_merged, posts_lead_metrics,
-        posts_harvest, posts_candidates, relabelled_offers,
+        posts_harvest, harvested_from_documents, posts_candidates, relabelled_offers,
     )
 }
 
 # ------------------------------------------------------------------ SQL
 _URLS = "list_transform(regexp_extract_all(raw_text, '(?i)https?://[^\\s<>\"'')\\]]+'), lambda u: rtrim(u, '.,);'))"
 _ORDERED = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
-_NORM = f"""{V.POSTS_SQL},
+def _norm(posts: str) -> str:
+    return f"""{posts},
 n1 AS (
   SELECT *, list_filter(list_transform(list_concat(CASE WHEN url IS NOT NULL THEN [url] ELSE [] END, {_URLS}),
            lambda u: {K.canonical('u')}), lambda h: h IS NOT NULL AND NOT ({K.in_list('h', lx.SKIP_HOSTS)})) AS hosts
@@ -220,6 +232,9 @@ norm AS (
 )"""
 
 
+_NORM = _norm(V.POSTS_SQL)
+
+
 def _java_to_re2(pattern: str) -> str:
     return K.quoted(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))
 
@@ -366,10 +381,11 @@ _NEAR = (
     _EDGE + r"(?:free|trial|promo|voucher|coupon|credits?|discount|offer|bonus|gift)(?:$|[^0-9A-Za-z_\pL\pN])"
     r"|[0-9A-Za-z_\pL\pN]\$\d(?:$|[^0-9A-Za-z_\pL\pN])|注册送|免费|额度|бесплатн|кредит|триал"
 )
-_HARVEST = f"""WITH {_NORM},
+def _harvest(norm: str, hint: str) -> str:
+    return f"""WITH {norm},
 mention AS (
   SELECT *, list_concat(domains, list_transform(regexp_extract_all(raw_text, {K.quoted(_BARE)}, 1), lambda d: lower(d))) AS all_hosts
-  FROM norm WHERE regexp_matches(raw_text, {K.quoted('(?i)' + _HINT)})
+  FROM norm WHERE regexp_matches(raw_text, {K.quoted(hint)})
 ),
 hosts1 AS (SELECT *, {_ORDERED.format(l='all_hosts')} AS uniq FROM mention),
 hosts2 AS (SELECT source, ingest_seq, raw_text, unnest(range(len(uniq))) AS pos, unnest(uniq) AS mhost FROM hosts1),
@@ -386,6 +402,9 @@ harvest AS (
          CASE WHEN bool_or(high) THEN 'high' ELSE 'normal' END AS priority
   FROM hosts4 GROUP BY domain
 )"""
+
+
+_HARVEST = _harvest(_NORM, "(?i)" + _HINT)
 _NAMED = """seen_first AS (
   SELECT source, loc, min(ingest_seq) FILTER (WHERE NOT blocked) AS first_seq FROM keyed GROUP BY 1, 2
 ),
@@ -435,6 +454,8 @@ SELECT canonical_domain, type, {K.steady(K.hours('agg', 'us'), 2)} AS lead_hours
   SELECT service_key AS canonical_domain, offer_type AS type, min(observed_at) FILTER (WHERE source <> 'telegram') AS us,
          min(observed_at) FILTER (WHERE source = 'telegram') AS agg FROM stored WHERE route = 'offer' GROUP BY 1, 2)""",
     "posts_harvest": f"{_HARVEST} SELECT domain, first_source, mentions, priority FROM harvest",
+    "harvested_from_documents": f"""{_harvest(_norm(V.MENTIONS_SQL), TEST_HINT)}
+SELECT domain, first_source, mentions, priority FROM harvest""",
     "posts_candidates": f"""{_HARVEST}, {V.SERVICES_SQL},
 seeded AS (SELECT DISTINCT {K.registrable(K.canonical('canonical_domain'))} AS domain FROM services)
 SELECT coalesce(s.domain, h.domain) AS domain, CASE WHEN s.domain IS NOT NULL THEN 'seed' ELSE h.first_source END AS first_source,

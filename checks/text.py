@@ -108,16 +108,6 @@ def bare_domains(spark, sf):
     return both.select("key", F.posexplode(D.bare_domains(F.col("text"))).alias("pos", "domain"))
 
 
-def harvested_from_documents(spark, sf):
-    """Candidate domains of documents with an offer context."""
-    return I.harvest_candidates(I.normalize(V.document_signals(spark, sf)), replace(lx.Lexicon(), harvest_hint=TEST_HINT)).select(
-        "domain", "first_source", "mentions", "priority"
-    )
-
-
-TEST_HINT = r"the|die|les|los"
-
-
 def timestamp_forms(spark, sf):
     """Stored, ISO, offset and broken renderings of event times, read back."""
     e = V.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -152,7 +142,7 @@ QUERIES = {
     for f in (
         detect_language, detect_language_posts, prefilter_hits, prefilter_hits_test_words, keyword_models, keyword_counts,
         signal_dedup, new_signals, early_keys, redacted_documents, redacted_documents_default, bare_domains,
-        harvested_from_documents, timestamp_forms, json_codec,
+        timestamp_forms, json_codec,
     )
 }
 

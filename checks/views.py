@@ -23,10 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for text work.  A test table is one row group, which one task would read; its rows are dealt to the cores
-    unless the file has splits enough.  The always-true test keeps costly filters above the exchange."""
-    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores).where(F.rand() >= 0)
+    """A table for text work, read as any other."""
+    return table(spark, sf_dir, name)
 
 
 def instant(text: str) -> Column:
@@ -240,6 +238,26 @@ def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_schema(rows, "signals_in")
 
 
+# What a document says about services, behind its own text; portable.
+MENTIONED_EXPR = """text || CASE doc_id % 7
+  WHEN 0 THEN ' see https://docs.svc' || CAST(doc_id % 400 AS STRING) || '.co.uk/x?y=1, for a free trial.'
+  WHEN 1 THEN ' (try app.lab' || CAST(doc_id % 300 AS STRING) || '.ai today)'
+  WHEN 2 THEN ' https://www.GitHub.com/a/b and https://Api.Node' || CAST(doc_id % 250 AS STRING) || '.dev:8080/v1, '
+  WHEN 3 THEN ' bonus ' || repeat('x ', 60) || 'getx' || CAST(doc_id % 90 AS STRING) || '.io' || repeat(' y', 60) || ' gift'
+  WHEN 4 THEN ''
+  WHEN 5 THEN ' voucher of old.reddit.com, from me@mail' || CAST(doc_id % 50 AS STRING) || '.com'
+  ELSE ' at https://hub' || CAST(doc_id % 150 AS STRING) || '.xyz) or hub' || CAST(doc_id % 150 AS STRING) || '.xyz without' END"""
+MENTIONS_SQL = f"""posts AS (
+  SELECT source, CAST(NULL AS VARCHAR) AS url, doc_id AS ingest_seq, {MENTIONED_EXPR} AS raw_text FROM documents
+)"""
+
+
+def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as signals, most of them with a service behind the text."""
+    d = text_table(spark, sf_dir, "documents")
+    return with_schema(d.select("source", F.expr(MENTIONED_EXPR).alias("raw_text"), F.col("doc_id").alias("ingest_seq")), "signals_in")
+
+
 def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = text_table(spark, sf_dir, "pages")
     return p.select(F.col("page_id").alias("payload_id"), F.col("html").alias("body"), F.col("url").alias("page_url"))

@@ -9,9 +9,7 @@ from __future__ import annotations
 import html as _html
 import re as _re
 import sys
-from bisect import bisect_left
 from html.parser import HTMLParser
-from itertools import accumulate
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -32,12 +30,14 @@ _TEXT = T.StringType()
 LINK_TYPE = T.ArrayType(
     T.StructType([T.StructField(n, _TEXT) for n in ("href", "raw_href", "text", "title")])
 )
-CONTEXT_TYPE = T.ArrayType(
-    T.StructType([T.StructField("href", _TEXT), T.StructField("context", _TEXT), T.StructField("matched", T.BooleanType())])
-)
-_CONTEXT = 400  # characters of an element that are carried whole by however many links
-_AROUND = 80  # characters on either side of a hit
-_FEW_LINKS = 8  # so many links of a parent carry its whole text
+CONTEXT_TYPE = T.StructType([
+    T.StructField("texts", T.ArrayType(_TEXT)),
+    T.StructField("links", T.ArrayType(T.StructType([
+        T.StructField("href", _TEXT), T.StructField("own", _TEXT), T.StructField("element", T.IntegerType()),
+        T.StructField("matched", T.BooleanType()),
+    ]))),
+])
+_SEAM = 400  # characters of an element in which wording that begins in the link may go on
 CARD_TYPE = T.ArrayType(
     T.StructType(
         [T.StructField("name", _TEXT), T.StructField("description", _TEXT), T.StructField("hrefs", T.ArrayType(_TEXT))]
@@ -137,50 +137,25 @@ def _links_of(page_html, base):
 
 
 def _contexts_of(page_html, wording):
-    """Links with the text that may hold their offer, and whether ``wording`` is in it.
+    """The texts of the elements that hold links, each once, and the links: their own text, the place of their
+    element's text, and whether ``wording`` is in one of both or across them.
 
-    That is their own and their parent's whole text; where more than ``_FEW_LINKS`` links share a long parent, their own and
-    the text around each hit of ``wording`` between the links before and after, or else around the nearest hits.  So every hit
-    is carried by the links beside it.  A parent is searched once for all its links, so a page costs its size times the depth
-    of its elements.
+    An element is searched once for all its links, so a page costs its size times the depth of its elements, and the
+    answer is no larger, however many links share an element.
     """
     page = _Page(page_html or "")
-    found = [e for e in page.elements if e.tag == "a" and "href" in e.attrs]
-    groups = {}
-    for element in found:
-        groups.setdefault(id(element.parent), []).append(element)
-    around = {}
-    for key, members in groups.items():
-        parent = members[0].parent
-        text = page.text(parent)
-        hits = [m.span() for m in wording.finditer(text)]
-        begins = [0, *accumulate(len(piece) + 1 for piece in page.pieces[parent.start:parent.end])]
-        around[key] = text, hits, [h[0] for h in hits], [begins[e.start - parent.start] for e in members]
-    out = []
-    place = dict.fromkeys(groups, 0)
-    for element in found:
-        key = id(element.parent)
-        text, hits, starts, offsets = around[key]
-        k = place[key]
-        place[key] += 1
+    texts, hits, places, out = [], [], {}, []
+    for element in page.elements:
+        if element.tag != "a" or "href" not in element.attrs:
+            continue
+        at = places.setdefault(id(element.parent), len(texts))
+        if at == len(texts):
+            texts.append(page.text(element.parent))
+            hits.append(wording.search(texts[at]) is not None)
         own = page.text(element, "")
-        if len(offsets) > _FEW_LINKS and hits and len(text) > _CONTEXT:
-            first = bisect_left(starts, offsets[k - 1] if k else 0)
-            last = bisect_left(starts, offsets[k + 1]) if k + 1 < len(offsets) else len(hits)
-            near = hits[first:last] or hits[max(first - 1, 0):last + 1]
-            parts = []
-            for begin, end in near:
-                begin, end = max(begin - _AROUND, 0), end + _AROUND
-                if parts and begin <= parts[-1][1]:
-                    parts[-1][1] = end
-                else:
-                    parts.append([begin, end])
-            text = " ".join(text[begin:end] for begin, end in parts)
-        elif not hits and wording.search(own) is None:
-            text = text[:_CONTEXT]  # such a link is not kept
-        whole = own + " " + text
-        out.append({"href": element.attrs["href"], "context": whole, "matched": bool(hits) or wording.search(whole) is not None})
-    return out
+        matched = hits[at] or wording.search(own + " " + texts[at][:_SEAM]) is not None
+        out.append({"href": element.attrs["href"], "own": own, "element": at, "matched": matched})
+    return {"texts": texts, "links": out}
 
 
 def _cards_of(page_html, base):
@@ -230,12 +205,13 @@ def links(page_html: Column, base_url: Column) -> Column:
 
 
 def links_in_context(page_html: Column, wording: str) -> Column:
-    """Every ``<a href>`` as written, with the text around it and whether that text has the wording (a pattern)."""
+    """Struct of ``texts``, those of the elements around links, and ``links``: every ``<a href>`` as written, its own
+    text, the place of its element's text, and whether these have the wording (a pattern)."""
     pattern = _re.compile(wording)
 
     @F.pandas_udf(CONTEXT_TYPE)
-    def found(pages: pd.Series) -> pd.Series:
-        return pd.Series([_contexts_of(p, pattern) for p in pages])
+    def found(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_contexts_of(p, pattern) for p in pages], columns=["texts", "links"])
 
     return found(page_html)
 

@@ -50,19 +50,21 @@ def parse_job_listing(pages: DataFrame) -> DataFrame:
 def parse_deal_page(pages: DataFrame) -> DataFrame:
     """Outbound links whose anchor or surrounding text speaks of an offer; one per (aggregator, host).
 
-    The whole text of the link and of the enclosing element is searched and carried; of an element with many links, the text
-    around the wording beside the link.
+    A link carries its own text and the whole text of the element around it, whatever the number of links in it.  The text
+    of an element is held once for a page and joined to its links row by row, after all but the first link to a host are gone.
     """
     wording = DEAL_PATTERN.replace("(?iU)", "(?i)")
-    parsed = pages.withColumns({"_links": H.links_in_context(F.col("body"), wording), "_own": F.lower(netloc(F.col("page_url")))})
+    parsed = pages.withColumns({"_page": H.links_in_context(F.col("body"), wording), "_own": F.lower(netloc(F.col("page_url")))})
     target = lambda x: trim_chars(x["href"], " \t\n\r")
     host = lambda x: F.lower(netloc(target(x)))
     offers = F.filter(
-        "_links",
+        "_page.links",
         lambda x: x["matched"] & F.startswith(target(x), F.lit("http")) & (host(x) != "") & (host(x) != F.col("_own")),
     )
-    rows = exploded_first(parsed, offers, host, ["aggregator", "page_url"]).withColumnRenamed("key", "_host")
-    raw = trim_chars(F.col("item.context"), " \t\n\r")
+    parsed = parsed.withColumn("_texts", F.col("_page.texts"))
+    rows = exploded_first(parsed, offers, host, ["aggregator", "page_url", "_texts"]).withColumnRenamed("key", "_host")
+    around = F.get("_texts", F.col("item.element"))
+    raw = trim_chars(F.concat(F.col("item.own"), F.lit(" "), around), " \t\n\r")
     return signals(
         rows, F.col("aggregator"), raw, F.concat(F.lit("https://"), "_host"), F.col("page_url"),
         meta_value=meta({"aggregator": F.col("aggregator")}), row_key=F.col("_host"),

@@ -27,7 +27,7 @@ def facts(spark, *pages):
     return {r["domain"]: r for r in E.page_facts(site(spark, *pages)).collect()}
 
 
-def test_offer_pages_in_visiting_order(spark):
+def test_every_offer_page_counts(spark):
     got = facts(
         spark,
         ("a.ai", "/", "<title>Alpha</title><p>Claude for everyone, one two three four five six seven</p>"),
@@ -36,10 +36,10 @@ def test_offer_pages_in_visiting_order(spark):
         ("c.ai", "/", "down", 503),
         ("d.ai", "/", "hello", 404),
     )
-    # plans are not read once pricing had an offer word; the rarer pages only without pricing and plans
-    assert (got["a.ai"]["amount"], got["a.ai"]["pricing_triggers"], got["a.ai"]["title"]) == (50.0, True, "Alpha")
+    # all offer pages are read, whatever others say, and the largest amount stays
+    assert (got["a.ai"]["amount"], got["a.ai"]["pricing_triggers"], got["a.ai"]["title"]) == (900.0, True, "Alpha")
     assert got["a.ai"]["models"] == ["claude"]
-    assert (got["b.ai"]["amount"], got["b.ai"]["has_pricing"]) == (20.0, True)
+    assert (got["b.ai"]["amount"], got["b.ai"]["has_pricing"]) == (800.0, True)
     assert got["c.ai"]["alive"] is False and got["d.ai"]["alive"] is True and got["d.ai"]["title"] is None
 
 
@@ -58,7 +58,7 @@ def test_gateway_endpoints_and_notice(spark):
     assert (got["s.ai"]["is_relay"], got["t.ai"]["is_relay"]) == (True, False)
 
 
-def test_sitemap_is_the_last_resort(spark):
+def test_listed_pages_count_with_and_without_known_ones(spark):
     pages = [
         ("m.ai", "/", "<p>x</p>"), ("m.ai", "/pricing", "<p>nothing yet</p>"),
         ("m.ai", "/sitemap.xml", "<loc>https://m.ai/about</loc><loc>https://m.ai/free-stuff</loc>"),
@@ -67,7 +67,7 @@ def test_sitemap_is_the_last_resort(spark):
     got = facts(spark, *pages)["m.ai"]
     assert (got["pricing_triggers"], got["amount"]) == (True, 30.0)
     without = facts(spark, *[p for p in pages if p[1] != "/pricing"])["m.ai"]
-    assert without["pricing_triggers"] is False
+    assert (without["pricing_triggers"], without["amount"]) == (True, 30.0)
 
 
 def test_discovery_run(spark, signals):
