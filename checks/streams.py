@@ -11,6 +11,9 @@ from checks.leads import _EVENT_LEADS
 from leadlens.schemas import with_schema
 from leadlens.session import shared_dir
 from leadlens.sources.common import meta
+from leadlens.streaming import keyed as KY
+from leadlens.streaming import newest as NW
+from leadlens.streaming import state as KS
 from leadlens.streaming import streams as ST
 
 
@@ -28,9 +31,31 @@ def running_leads(spark, sf):
     """Lead metrics kept by a streaming aggregation."""
     e = _stream(spark, sf, "events")
     s = e.select(F.col("user_id").alias("offer_id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("observed_at"))
-    path = _folder(spark, "leads")
-    ST.latest_to_table(ST.running_leads(s, V.AGGREGATORS), f"{path}/table", f"{path}/_checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table").select("offer_id", "lead_hours")
+    path, leads = _folder(spark, "leads"), ST.running_leads(s, V.AGGREGATORS)
+    KS.latest_to_table(leads, path, f"{path}/_checkpoint").awaitTermination()
+    return KS.read_latest(spark, path, ["offer_id"], leads.schema).select("offer_id", "lead_hours")
+
+
+def _landed(spark, sf, path, parts=3):
+    """orders as a stream in several loads, in arrival order."""
+    table = V.table(spark, sf, "orders")
+    step = table.select(F.max("o_orderkey")).first()[0] // parts + 1
+    for part in range(parts):
+        table.where(F.floor(F.col("o_orderkey") / step) == part).write.mode("append").parquet(f"{path}/landed")
+    files = 1 if parts == 1 else table.rdd.getNumPartitions()
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/landed")
+
+
+def stream_latest_signals(spark, sf):
+    """The newest signals per service, kept as state over several micro-batches and compacted."""
+    path = _folder(spark, "newest")
+    o = _landed(spark, sf, path)
+    rows = o.select(*[F.expr(e).alias(n) for n, e in V.ORDER_SIGNAL_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at"))
+    newest = NW.newest_signals(rows)
+    KS.latest_to_table(newest, path, f"{path}/_checkpoint", "append").awaitTermination()
+    KS.compact_latest(spark, path, ["service_id"], newest.schema)
+    out = NW.as_rows(KS.read_latest(spark, path, ["service_id"], newest.schema))
+    return out.select("service_id", "position", "signal_id", "source", "raw_text")
 
 
 def certificate_stream(spark, sf):
@@ -57,23 +82,18 @@ def certificate_stream(spark, sf):
 def stream_ingest(spark, sf):
     """Ingest by several micro-batches: services and offers after the last, counted per type."""
     path = _folder(spark, "ingest")
-    table = V.table(spark, sf, "orders")
-    for part in range(3):  # land the table in three loads, in arrival order
-        third = table.select(F.max("o_orderkey")).first()[0] // 3 + 1
-        table.where(F.floor(F.col("o_orderkey") / third) == part).write.mode("append").parquet(f"{path}/landed")
-    o = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+    o = _landed(spark, sf, path)
     fields = ("force_classify", "service_candidate", "model_release", "org", "model_id")
     rows = o.select(*[F.expr(e).alias(n) for n, e in V.POST_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at"))
     signals = with_schema(rows.withColumn("meta", meta(**{n: F.col(n) for n in fields})).drop(*fields), "signals_in")
-    query = ST.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF), buckets=8)
-    query.awaitTermination()
-    offers = ST.read_state(spark, path, ST.last_epoch(query.recentProgress), "offers")
+    KY.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF)).awaitTermination()
+    offers = KY.read_state(spark, path, "offers")
     return offers.groupBy("type").agg(
         F.count("*").alias("offers"), F.count("amount").alias("with_amount"), F.countDistinct("service_id").alias("services")
     )
 
 
-QUERIES = {f.__name__: f for f in (running_leads, certificate_stream, stream_ingest)}
+QUERIES = {f.__name__: f for f in (running_leads, certificate_stream, stream_ingest, stream_latest_signals)}
 
 from checks.posts import _OBS, _ROUTED, _offers_sql  # noqa: E402
 
@@ -88,4 +108,8 @@ t AS (SELECT 'llm-' || u || '.com' AS h, true AS forced FROM m
 SELECT h AS raw_text, 'https://' || h AS url, 'certstream://' || h AS source_url, forced FROM t""",
     "stream_ingest": f"""WITH o AS ({_ROUTED}, {_offers_sql(_OBS)})
 SELECT type, count(*) AS offers, count(amount) AS with_amount, count(DISTINCT canonical_domain) AS services FROM o GROUP BY type""",
+    "stream_latest_signals": f"""WITH {V.ORDER_SIGNALS_SQL}
+SELECT service_id, CAST(n AS INTEGER) AS position, signal_id, source, raw_text[1:1200] AS raw_text
+FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY observed_at DESC, signal_id DESC) AS n FROM order_signals)
+WHERE n <= 20""",
 }

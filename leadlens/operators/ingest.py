@@ -192,7 +192,7 @@ def _locator() -> Column:
     return F.concat(F.lit("="), truthy_text(F.col("source_url")), of_list)
 
 
-def _locator_key() -> Column:
+def locator_key() -> Column:
     """Stored key of a row; rows without a source_url get a key of their own and are never duplicates."""
     own = F.to_json(F.struct("ingest_seq", "place", F.sha2(F.to_json(F.struct("url", "raw_text")), 256).alias("content")))
     return F.coalesce(_locator(), F.concat(F.lit("#"), own))
@@ -211,7 +211,7 @@ def first_per_key(rows: DataFrame) -> DataFrame:
     """First row per (source, source_url, row_key).  The ``row_number <= 1`` filter is also applied before the shuffle,
     so a key that holds most rows sends one row per map task."""
     order = Window.partitionBy("source", "_key").orderBy(arrival())
-    return rows.withColumn("_key", _locator_key()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop(
+    return rows.withColumn("_key", locator_key()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop(
         "_key", "_n"
     )
 
@@ -221,7 +221,7 @@ def storable(routed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     fresh = first_per_key(routed.where(~F.col("blocked")))
     if stored is None:
         return fresh
-    keyed = fresh.withColumn("_key", _locator_key())
+    keyed = fresh.withColumn("_key", locator_key())
     return keyed.join(stored_keys(stored), ["source", "_key"], "left_anti").drop("_key").select(*fresh.columns)
 
 
@@ -335,25 +335,27 @@ def row_offer_id() -> Column:
     )
 
 
+def signal_columns() -> list[Column]:
+    """Columns of a stored signal, of a labelled row."""
+    return [
+        F.xxhash64(F.lit("signal"), "source", locator_key(), "ingest_seq", "place").alias("id"),
+        row_offer_id().alias("offer_id"),
+        F.when(F.col("service_key").isNotNull(), service_id(F.col("service_key"))).alias("service_id"),
+        F.col("source"),
+        F.col("source_url"),
+        F.col("row_key"),
+        F.col("url"),
+        F.coalesce("raw_text", F.lit("")).alias("raw_text"),
+        F.col("lang"),
+        F.col("label").alias("classification"),
+        F.col("label.confidence").alias("confidence"),
+        F.col("observed_at"),
+    ]
+
+
 def stored_signals(rows: DataFrame) -> DataFrame:
     """Rows in the shape of the signals table (whole texts)."""
-    return with_schema(
-        rows.select(
-            F.xxhash64(F.lit("signal"), "source", _locator_key(), "ingest_seq", "place").alias("id"),
-            row_offer_id().alias("offer_id"),
-            F.when(F.col("service_key").isNotNull(), service_id(F.col("service_key"))).alias("service_id"),
-            "source",
-            "source_url",
-            "row_key",
-            "url",
-            F.coalesce("raw_text", F.lit("")).alias("raw_text"),
-            "lang",
-            F.col("label").alias("classification"),
-            F.col("label.confidence").alias("confidence"),
-            "observed_at",
-        ),
-        "signals",
-    )
+    return with_schema(rows.select(*signal_columns()), "signals")
 
 
 def sanitized_name(name: Column) -> Column:

@@ -1,16 +1,11 @@
-"""Streaming forms of the sources and of ingest; every step is the batch function on a streaming DataFrame."""
+"""Streaming forms of the sources; every step is the batch function on a streaming DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
-from leadlens import schemas
-from leadlens.operators.ingest import row_offer_id, stored_keys
 from leadlens.operators.leads import lead_metrics
-from leadlens.plans.batch import IngestJob, staged
 from leadlens.schemas import with_schema
 from leadlens.sources import certificates as CT
 from leadlens.sources import channel as CH
@@ -53,116 +48,3 @@ def channel_signals(messages: DataFrame, config: DataFrame) -> DataFrame:
 def running_leads(signals: DataFrame, aggregators) -> DataFrame:
     """Lead metrics kept up to date over a signal stream; minima need no watermark for late rows."""
     return lead_metrics(signals, aggregators)
-
-
-# ------------------------------------------------------------------ ingest by micro-batches
-# What a row of each state table is kept under.
-STATE_KEYS = {
-    "services": "canonical_domain", "service_aliases": "canonical_domain", "offers": "canonical_domain",
-    "lead_metrics": "offer_id", "candidates": "domain", "keys": "_key",
-}
-KEYS = "source string, _key string"  # schema of ``keys``: what is stored already
-
-
-def _bucket(column: str | Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
-
-
-def _versions(spark: SparkSession, root: str, epoch: int) -> dict[tuple[str, int], int]:
-    """Batch that wrote a bucket of a table last; at most tables times buckets entries."""
-    if epoch < 0:
-        return {}
-    return {(r["table"], r["bucket"]): r["batch"] for r in spark.read.parquet(f"{root}/batch={epoch}/_versions").collect()}
-
-
-def read_state(
-    spark: SparkSession, root: str, epoch: int, table: str, only: set[int] | None = None
-) -> DataFrame:
-    """A state table after batch ``epoch``: all of it, or the buckets in ``only``.  Only their folders are read."""
-    schema = T.StructType.fromDDL(KEYS) if table == "keys" else schemas.schema(table)
-    paths = [
-        f"{root}/batch={batch}/{table}/bucket={bucket}"
-        for (name, bucket), batch in sorted(_versions(spark, root, epoch).items())
-        if name == table and (only is None or bucket in only)
-    ]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def _buckets_of(frames: dict[str, tuple[DataFrame, Column]]) -> dict[str, set[int]]:
-    """Different buckets of several frames, in one job."""
-    parts = [frame.select(F.lit(name).alias("name"), bucket.alias("bucket")).distinct() for name, (frame, bucket) in frames.items()]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.union(part)
-    out: dict[str, set[int]] = {name: set() for name in frames}
-    for row in union.collect():
-        out[row["name"]].add(row["bucket"])
-    return out
-
-
-def last_epoch(progress: list) -> int:
-    """The last micro-batch of a query's ``recentProgress`` that had rows."""
-    return max(p["batchId"] for p in progress if p["numInputRows"])
-
-
-def start_ingest(
-    signals: DataFrame,
-    root: str,
-    as_of: Column | None = None,
-    job: IngestJob = IngestJob(),
-    buckets: int = 64,
-    **trigger,
-) -> StreamingQuery:
-    """Ingest every micro-batch into state tables that are kept in hash buckets of their keys.
-
-    A batch finds the buckets that its keys fall into, reads these, merges, and writes them anew to its own folder; other
-    buckets stay where they are, and a table of versions, written last, says which batch holds the newest of each.  Work
-    thus follows the buckets that a batch touches: choose many for small batches over a large state.  Stored keys are
-    a table of their own, so that no batch reads earlier signals.  Batch ``n`` reads the versions of ``n-1`` and nothing of
-    its own, so a repeated batch rewrites the same folder and results stay exactly-once.  Read with :func:`read_state`.
-    Use ``availableNow=True`` or ``processingTime='60 seconds'``.
-    """
-
-    def on_batch(batch: DataFrame, epoch: int) -> None:
-        spark, target = batch.sparkSession, f"{root}/batch={epoch}"
-        now = as_of if as_of is not None else F.current_timestamp()
-
-        batch = staged(schemas.with_schema(batch, "signals_in"), f"{target}/_arrived")
-        arriving = _buckets_of({"keys": (stored_keys(batch), _bucket("_key", buckets))})["keys"]
-        known = read_state(spark, root, epoch - 1, "keys", arriving)
-        rows, found = job.stage(batch, target, known)
-        only = _buckets_of({
-            "services": (rows.where("service_key is not null"), _bucket("service_key", buckets)),
-            "lead_metrics": (rows.where("route = 'offer'"), _bucket(row_offer_id(), buckets)),
-            "candidates": (found, _bucket("domain", buckets)),
-        })
-        only |= {"service_aliases": only["services"], "offers": only["services"]}
-        tables = {name: read_state(spark, root, epoch - 1, name, own) for name, own in only.items()}
-        merged = job.merge(tables, rows, found, now)
-        merged.pop("signals").write.mode("overwrite").parquet(f"{target}/signals")
-        merged["keys"] = known.unionByName(stored_keys(rows))
-        written = {}
-        for name, frame in merged.items():
-            keyed = frame.withColumn("bucket", _bucket(STATE_KEYS[name], buckets))
-            keyed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/{name}")
-            again = spark.read.schema(keyed.schema).parquet(f"{target}/{name}").where("bucket is not null")
-            written[name] = (again, F.col("bucket"))  # a partition column: read off the names of the folders
-        versions = _versions(spark, root, epoch - 1)
-        for name, own in _buckets_of(written).items():
-            versions.update({(name, bucket): epoch for bucket in own})
-        rows_of = [(name, bucket, number) for (name, bucket), number in versions.items()]
-        newest = spark.createDataFrame(rows_of, "table string, bucket int, batch long")
-        newest.coalesce(1).write.mode("overwrite").parquet(f"{target}/_versions")
-
-    writer = signals.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/_checkpoint")
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def latest_to_table(frame: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Write the current state of a streaming aggregation to a table folder after every micro-batch."""
-
-    def on_batch(rows: DataFrame, _epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(path)
-
-    writer = frame.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()

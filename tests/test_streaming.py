@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from leadlens.plans.batch import IngestJob, read_snapshot
 from leadlens.sources import certificates as CT
 from leadlens.streaming import streams as ST
 
@@ -36,30 +35,6 @@ def test_stream_drops_repeats_within_horizon(spark, tmp_path):
     assert sorted(r["raw_text"] for r in spark.read.parquet(out).collect()) == ["gpt.foo.com", "new0.ai", "new5.ai"]
 
 
-def test_micro_batches_equal_one_batch(spark, signals, tmp_path):
-    texts = ["freemodel.dev $300 free credits https://freemodel.dev", "注册送 50刀 https://a.b.ai", "btw zenmux.ai has a free trial"]
-    df = signals([{"source": f"s{i % 2}", "raw_text": texts[i % 3], "source_url": f"u{i % 5}", "observed_at": f"2026-05-0{1 + i % 7} 00:00:00"} for i in range(18)])
-    source = str(tmp_path / "in")
-    for part in range(3):
-        df.where(F.floor(F.col("ingest_seq") / 6) == part).coalesce(1).write.mode("append").parquet(source)
-    # one file per trigger, in order of arrival
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    as_of = F.lit("2026-05-20 00:00:00").cast("timestamp")
-    root = str(tmp_path / "stream")
-    ST.start_ingest(stream, root, as_of, availableNow=True).awaitTermination()
-    IngestJob().run(df, None, str(tmp_path / "batch"), as_of)
-    whole = read_snapshot(spark, str(tmp_path / "batch"))
-    last = {name: ST.read_state(spark, root, 2, name) for name in whole}
-    for name in whole:
-        skip = [c for c in ("last_verified_at",) if c in whole[name].columns]
-        a, b = (sorted(str(r) for r in t[name].drop(*skip).collect()) for t in (last, whole))
-        assert a == b, name
-    ids = lambda path: sorted(r["id"] for r in spark.read.parquet(path).collect())
-    batches = {r["batch"] for r in spark.read.parquet(f"{root}/batch=2/_versions").collect()}
-    assert len(batches) > 1  # buckets that a batch did not touch are not written again
-    assert ids(*[f"{root}/batch=[0-2]/signals"]) == ids(str(tmp_path / "batch/signals"))
-
-
 def test_channel_stream_with_topics(spark, tmp_path):
     from leadlens.sources import channel as CH
 
