@@ -58,9 +58,8 @@ def stream_latest_signals(spark, sf):
     return out.select("service_id", "position", "signal_id", "source", "raw_text")
 
 
-def certificate_stream(spark, sf):
-    """orders as certificate messages: three names each, distinct hosts over the whole stream."""
-    o = _stream(spark, sf, "orders")
+def _messages(orders, received_at):
+    """orders as certificate messages: three names each."""
     u = (F.col("o_custkey") % 4000).cast("string")
     names = F.array(
         F.concat(F.lit("*.llm-"), u, F.lit(".com")), F.concat(F.lit("API.Shop"), u, F.lit(".net")),
@@ -68,17 +67,31 @@ def certificate_stream(spark, sf):
     )
     kind = F.when(F.col("o_orderstatus") == "P", "heartbeat").otherwise("certificate_update")
     body = F.to_json(F.struct(kind.alias("message_type"), F.struct(F.struct(names.alias("all_domains")).alias("leaf_cert")).alias("data")))
-    messages = o.select(body.alias("body"), F.col("o_orderdate").cast("timestamp").alias("received_at"))
+    return orders.select(body.alias("body"), received_at.alias("received_at"))
+
+
+def certificate_stream(spark, sf):
+    """Distinct hosts over the whole stream."""
+    messages = _messages(_stream(spark, sf, "orders"), F.col("o_orderdate").cast("timestamp"))
     path = _folder(spark, "certs")
-    query = (
-        ST.certificate_signals(messages, horizon=None).writeStream.format("parquet").option("path", f"{path}/table")
-        .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
-    )
+    with KS.rocksdb_state(spark):
+        query = (
+            ST.certificate_signals(messages, horizon=None).writeStream.format("parquet").option("path", f"{path}/table")
+            .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     out = spark.read.parquet(f"{path}/table")
     return out.select("raw_text", "url", "source_url", F.coalesce("meta.force_classify", F.lit(False)).alias("forced"))
 
 
+def certificate_ingest(spark, sf):
+    """The form with a horizon: repeats come again after more than a day, in later micro-batches, and meet the stored keys."""
+    path = _folder(spark, "certs")
+    messages = _messages(_landed(spark, sf, path, 4), F.timestamp_seconds(F.col("o_orderkey") * 600))
+    KY.start_ingest(ST.certificate_signals(messages), path, V.instant(V.ORDERS_AS_OF)).awaitTermination()
+    return KY.read_state(spark, path, "signals").select("raw_text", "url", "source_url")
+
+
 def stream_ingest(spark, sf):
     """Ingest by several micro-batches: services and offers after the last, counted per type."""
     path = _folder(spark, "ingest")
@@ -93,18 +106,20 @@ def stream_ingest(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (running_leads, certificate_stream, stream_ingest, stream_latest_signals)}
+QUERIES = {f.__name__: f for f in (running_leads, certificate_stream, certificate_ingest, stream_ingest, stream_latest_signals)}
 
 from checks.posts import _OBS, _ROUTED, _offers_sql  # noqa: E402
 
 _U = "CAST(o_custkey % 4000 AS VARCHAR)"
-ORACLE = {
-    "running_leads": f"{_EVENT_LEADS} SELECT offer_id, lead_hours FROM leads",
-    "certificate_stream": f"""
-WITH m AS (SELECT {_U} AS u, o_orderkey FROM orders WHERE o_orderstatus <> 'P'),
+_CERTIFICATES = f"""WITH m AS (SELECT {_U} AS u, o_orderkey FROM orders WHERE o_orderstatus <> 'P'),
 t AS (SELECT 'llm-' || u || '.com' AS h, true AS forced FROM m
   UNION SELECT 'shop' || u || '.net', false FROM m
-  UNION SELECT 'brand' || u || '.ai', false FROM m WHERE o_orderkey % 2 = 0)
+  UNION SELECT 'brand' || u || '.ai', false FROM m WHERE o_orderkey % 2 = 0)"""
+ORACLE = {
+    "running_leads": f"{_EVENT_LEADS} SELECT offer_id, lead_hours FROM leads",
+    "certificate_ingest": f"""{_CERTIFICATES}
+SELECT h AS raw_text, 'https://' || h AS url, 'certstream://' || h AS source_url FROM t WHERE forced""",
+    "certificate_stream": f"""{_CERTIFICATES}
 SELECT h AS raw_text, 'https://' || h AS url, 'certstream://' || h AS source_url, forced FROM t""",
     "stream_ingest": f"""WITH o AS ({_ROUTED}, {_offers_sql(_OBS)})
 SELECT type, count(*) AS offers, count(amount) AS with_amount, count(DISTINCT canonical_domain) AS services FROM o GROUP BY type""",

@@ -15,8 +15,11 @@ from leadlens.sources.common import meta
 def certificate_hosts(messages: DataFrame, horizon: str | None = "1 day") -> DataFrame:
     """Distinct hosts of a certificate message stream (columns body, received_at).
 
-    With a ``horizon`` a repeat within it is dropped and the state stays bounded; older repeats are removed by
-    the stored-signal anti join.  ``None`` keeps every host for the life of the query.
+    With a ``horizon`` a repeat within it is dropped and the state stays bounded; rows that come later than that count as
+    late and are dropped, as Spark does.  An older repeat passes here and meets the stored keys of ``keyed.start_ingest``,
+    which are exact over all history: they lie in RocksDB, whose own Bloom filters answer for keys that were never stored.
+    ``None`` keeps every host for the life of the query; start it inside ``state.rocksdb_state``, so that hosts are not kept
+    in memory.
     """
     hosts = CT.message_hosts(messages)
     if horizon is None:
