@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
 from leadlens.functions.score import lead_hours, round_steady
-from leadlens.session import checkpointed
 
 
 def lead_metrics(signals: DataFrame, aggregators=lx.AGGREGATOR_SOURCES, key: str = "offer_id") -> DataFrame:
@@ -26,44 +25,64 @@ def first_source(signals: DataFrame, key: str = "offer_id") -> DataFrame:
     return signals.groupBy(key).agg(earliest.alias("first")).select(key, "first.source", "first.source_url")
 
 
-def value_counts(values: DataFrame, column: str) -> DataFrame:
-    """Rows per distinct value (columns v, n), NULL left out.
-
-    The counts have several readers; they are checkpointed, so the data behind them is read once.
-    """
-    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
-    return checkpointed(counted.agg(F.count("*").alias("n")))
+def value_counts(values: DataFrame, column: str, *more: Column) -> DataFrame:
+    """Rows per distinct value (columns v, n and the aggregates ``more``), NULL left out."""
+    return values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"), *more)
 
 
-def exact_median(counts: DataFrame, width: float = 1.0) -> DataFrame:
+def exact_median(counts: DataFrame, cells: int = 1024, rounds: int = 3) -> DataFrame:
     """Exact median of counted values (v, n) as a one-row frame (column ``median``).
 
-    The counts are summed per bucket of ``width``, and only the bucket (or the two buckets) with the middle
-    ranks is looked at in detail.  No task sees more than the bucket totals or the distinct values of one
-    bucket, however many rows there are.
+    Selection by histograms: a round divides the range that holds the middle ranks into ``cells`` equal cells, counts them, and
+    goes on with the range of the cell with these ranks.  A round is one aggregation to at most ``cells`` rows; no task
+    sees the values themselves, and nothing runs before the result is asked for.  What the last round leaves, values
+    closer to each other than the range over ``cells ** rounds``, is sorted.
     """
-    counts = counts.withColumn("bucket", F.floor(F.col("v") / width))
-    # Rows here are buckets, not data: their number is bounded by the value range over the width.
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
-    buckets = (
-        counts.groupBy("bucket")
-        .agg(F.sum("n").alias("in_bucket"))
-        .withColumn("upto", F.sum("in_bucket").over(running))
-        .withColumn("total", F.sum("in_bucket").over(everything))
-        .withColumn("lo", F.floor((F.col("total") + 1) / 2))
-        .withColumn("hi", F.floor((F.col("total") + 2) / 2))
-        .withColumn("before", F.col("upto") - F.col("in_bucket"))
-        .where("before < hi AND upto >= lo")
-        .select("bucket", "before", "lo", "hi")
-    )
-    inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.join(buckets, "bucket").withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    middle = ranked.agg(
-        F.min(F.when(F.col("upto") >= F.col("lo"), F.col("v"))).alias("low"),
-        F.min(F.when(F.col("upto") >= F.col("hi"), F.col("v"))).alias("high"),
+    total = F.sum("n")
+    state = counts.agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.floor((total + 1) / 2).alias("r1"), F.floor((total + 2) / 2).alias("r2"),
+        F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
     )
-    return middle.select(((F.col("low") + F.col("high")) / 2).alias("median"))
+    v, s = F.col("v"), F.col("s")
+    for last in [False] * rounds + [True]:
+        # one row, so that this join is a filter by the range
+        inside = counts.join(F.broadcast(state.select(F.struct("*").alias("s"))), (v >= s["lo"]) & (v <= s["hi"]))
+        width = s["hi"] - s["lo"]
+        place = F.when(width > 0, F.least(F.floor((v - s["lo"]) / width * cells), F.lit(cells - 1))).otherwise(F.lit(0))
+        steps = inside.groupBy((v if last else place).alias("step")).agg(
+            F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("s").alias("s")
+        )
+        ordered = steps.agg(F.array_sort(F.collect_list(F.struct("step", "n", "lo", "hi"))).alias("steps"), F.max("s").alias("s"))
+        state = ordered.select(_holding("steps", s).alias("f"), "s").select(*_descended(F.col("f"), s))
+    return state.select(((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
+_HELD = "struct<lo:double,hi:double,before:bigint>"
+
+
+def _holding(steps: str, s: Column) -> Column:
+    """The steps with the ranks r1 and r2, and the rows before them: struct(a, b)."""
+    none = F.lit(None).cast(_HELD)
+
+    def walk(acc: Column, step: Column) -> Column:
+        upto = acc["upto"] + step["n"]
+        here = F.struct(step["lo"], step["hi"], acc["upto"]).cast(_HELD)
+        take = lambda old, rank: F.when(old.isNull() & (upto >= rank), here).otherwise(old)
+        return F.struct(upto.alias("upto"), take(acc["a"], s["r1"]).alias("a"), take(acc["b"], s["r2"]).alias("b"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), none.alias("a"), none.alias("b"))
+    return F.aggregate(steps, start, walk)
+
+
+def _descended(f: Column, s: Column) -> list[Column]:
+    """The range of the step with both ranks; where two steps hold them, the ranks are its ends and so are known."""
+    a, b = f["a"], f["b"]
+    one = (a["lo"] == a["hi"]) & (b["lo"] == b["hi"])
+    apart = (a["before"] < b["before"]) | one
+    return [
+        a["lo"].alias("lo"), b["hi"].alias("hi"), (s["r1"] - a["before"]).alias("r1"), (s["r2"] - a["before"]).alias("r2"),
+        F.coalesce(s["low"], F.when(apart, a["hi"])).alias("low"), F.coalesce(s["high"], F.when(apart, b["lo"])).alias("high"),
+    ]
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -99,20 +118,19 @@ def _floor_percent(part: Column, total: Column) -> Column:
 
 def lead_scoreboard(metrics: DataFrame, offers: DataFrame, services: DataFrame) -> DataFrame:
     """Ahead, behind and tied counts with floor percentages, average, median and the best domain."""
-    leads = scored_leads(metrics, offers, services)
-    h = F.col("lead_hours")
-    counted = leads.agg(
-        F.count("*").alias("tracked"),
-        F.count_if(h > 0).alias("ahead"),
-        F.count_if(h < 0).alias("behind"),
-        F.count_if(h == 0).alias("tied"),
-        round_steady(F.avg(h), 1).alias("avg_lead"),
-        F.max(F.when(h > 0, h)).alias("best_lead"),
-        F.max_by(
-            "canonical_domain", F.when(h > 0, F.struct(h.alias("h"), (-F.col("offer_id")).alias("o")))
-        ).alias("best_domain"),
+    v, n, ahead = F.col("v"), F.col("n"), F.col("v") > 0
+    counts = value_counts(scored_leads(metrics, offers, services), "lead_hours", F.min_by("canonical_domain", "offer_id").alias("domain"))
+    rows = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+    counted = counts.agg(
+        rows(F.lit(True)).alias("tracked"),
+        rows(ahead).alias("ahead"),
+        rows(v < 0).alias("behind"),
+        rows(v == 0).alias("tied"),
+        round_steady(F.sum(v * n) / F.sum(n), 1).alias("avg_lead"),
+        F.max(F.when(ahead, v)).alias("best_lead"),
+        F.max_by("domain", F.when(ahead, v)).alias("best_domain"),
     )
-    both = one_row(counted, exact_median(value_counts(leads, "lead_hours")).select(round_steady(F.col("median"), 1).alias("median_lead")))
+    both = one_row(counted, exact_median(counts).select(round_steady(F.col("median"), 1).alias("median_lead")))
     return both.withColumns(
         {
             "ahead_pct": _floor_percent(F.col("ahead"), F.col("tracked")),
