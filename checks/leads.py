@@ -9,6 +9,7 @@ from checks import views as V
 from leadlens import lexicon as lx
 from leadlens.operators import leads as L
 from leadlens.operators import scoring, stats, votes
+from leadlens.session import checkpointed
 
 
 def _stamp(name):
@@ -112,6 +113,20 @@ def offer_score(spark, sf):
     return out.select("id", "score")
 
 
+# Before many offers, at the end of them, and long after.
+RANK_TIMES = ("1995-03-01 12:00:00", V.ORDERS_AS_OF, "2019-01-01 00:00:00")
+
+
+def pages_by_rank(spark, sf):
+    """The second page of the feed's default order at three times, from one table of ranks."""
+    rows = checkpointed(scoring.ranked(V.offers(spark, sf), V.services(spark, sf), V.order_signals(spark, sf), SCORE_WEIGHTS))
+    pages = []
+    for time in RANK_TIMES:
+        page = scoring.top_by_score(rows, V.instant(time), 100, 100, SCORE_WEIGHTS)
+        pages.append(page.select(F.lit(time).alias("as_of"), "id", "score"))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 def service_evidence(spark, sf):
     return scoring.service_evidence(V.order_signals(spark, sf))
 
@@ -122,7 +137,7 @@ QUERIES = {
         source_leaderboard, source_leaderboard_joined, lead_metrics, lead_summary_api, lead_summary_edge,
         lead_scoreboard, lead_top10, first_source_per_offer, signals_by_source, top_sources, stats_totals,
         offers_by_type, offers_by_effort, description_coverage, model_ranking, model_ranking_all, top_models, vote_totals,
-        my_vote, offer_score, service_evidence,
+        my_vote, offer_score, pages_by_rank, service_evidence,
     )
 }
 
@@ -176,6 +191,29 @@ evidence AS (
   FROM langs GROUP BY service_id
 )"""
 
+def _scores(as_of: str) -> str:
+    """Scores of all offers at a time, as common table expressions that end in ``scores``."""
+    return f"""base AS (
+  SELECT o.id, o.first_seen_at, coalesce(e.source_count, 0) AS n, coalesce(e.is_early, false) AS early,
+         greatest({K.hours(f"TIMESTAMP '{as_of}'", 'o.first_seen_at')}, 0) AS age,
+         (0.3 * CASE WHEN coalesce(o.amount, 0) <= 0 THEN 0.0 ELSE least(o.amount / 500000.0, 1.0) END
+          + 0.2 * ({_EASE.replace('CASE type', 'CASE o.type')}) * CASE WHEN o.referral_required THEN 0.85 ELSE 1.0 END
+          + 0.1 * coalesce(s.reliability, 0.0)) / (0.3 + 0.2 + 0.1) AS quality
+  FROM offers o LEFT JOIN services s ON s.id = o.service_id LEFT JOIN evidence e ON e.service_id = o.service_id
+),
+composed AS (
+  SELECT *, {K.steady('power(CAST(0.5 AS DOUBLE), CAST(age AS DOUBLE) / 20000.0) * (0.35 + 0.65 * quality)', 4)} AS c FROM base
+),
+boosted AS (
+  SELECT *, least({K.steady('c * (1.0 + 0.15 * least(greatest(CASE WHEN n = 0 THEN 1 ELSE n END - 1, 0), 3))', 4)}, 1.0) AS b
+  FROM composed
+),
+scores AS (
+  SELECT id, first_seen_at, CASE WHEN early THEN least({K.steady('b + 0.1', 4)}, 1.0) ELSE b END AS score FROM boosted
+)"""
+
+
+_SCORED = f"WITH {V.OFFERS_SQL}, {V.SERVICES_SQL}, {V.ORDER_SIGNALS_SQL}, {_EVIDENCE}"
 ORACLE = {
     "source_leaderboard": _LEADERBOARD,
     "source_leaderboard_joined": _LEADERBOARD,
@@ -245,21 +283,9 @@ SELECT e.offer_id, coalesce(v.vote, 0) AS my_vote
 FROM (SELECT DISTINCT user_id AS offer_id FROM events) e
 LEFT JOIN votes v ON v.offer_id = e.offer_id AND v.fingerprint = '7'""",
     "service_evidence": f"WITH {V.ORDER_SIGNALS_SQL}, {_EVIDENCE} SELECT * FROM evidence",
-    "offer_score": f"""WITH {V.OFFERS_SQL}, {V.SERVICES_SQL}, {V.ORDER_SIGNALS_SQL}, {_EVIDENCE},
-base AS (
-  SELECT o.id, coalesce(e.source_count, 0) AS n, coalesce(e.is_early, false) AS early,
-         greatest({K.hours(f"TIMESTAMP '{V.ORDERS_AS_OF}'", 'o.first_seen_at')}, 0) AS age,
-         (0.3 * CASE WHEN coalesce(o.amount, 0) <= 0 THEN 0.0 ELSE least(o.amount / 500000.0, 1.0) END
-          + 0.2 * ({_EASE.replace('CASE type', 'CASE o.type')}) * CASE WHEN o.referral_required THEN 0.85 ELSE 1.0 END
-          + 0.1 * coalesce(s.reliability, 0.0)) / (0.3 + 0.2 + 0.1) AS quality
-  FROM offers o LEFT JOIN services s ON s.id = o.service_id LEFT JOIN evidence e ON e.service_id = o.service_id
-),
-composed AS (
-  SELECT *, {K.steady('power(CAST(0.5 AS DOUBLE), CAST(age AS DOUBLE) / 20000.0) * (0.35 + 0.65 * quality)', 4)} AS c FROM base
-),
-boosted AS (
-  SELECT *, least({K.steady('c * (1.0 + 0.15 * least(greatest(CASE WHEN n = 0 THEN 1 ELSE n END - 1, 0), 3))', 4)}, 1.0) AS b
-  FROM composed
-)
-SELECT id, CASE WHEN early THEN least({K.steady('b + 0.1', 4)}, 1.0) ELSE b END AS score FROM boosted""",
+    "offer_score": f"{_SCORED}, {_scores(V.ORDERS_AS_OF)} SELECT id, score FROM scores",
+    "pages_by_rank": " UNION ALL ".join(
+        f"(SELECT * FROM ({_SCORED}, {_scores(t)} SELECT '{t}' AS as_of, id, score FROM scores "
+        "ORDER BY score DESC, first_seen_at DESC, id LIMIT 100 OFFSET 100))" for t in RANK_TIMES
+    ),
 }

@@ -54,11 +54,14 @@ def compose(age_hours: Column, quality_value: Column, half_life: float = lx.HALF
     return round_steady(recency_decay(age_hours, half_life) * band, 4)
 
 
+def source_factor(source_count: Column) -> Column:
+    n = F.coalesce(F.when(source_count != 0, source_count), F.lit(1))
+    return 1.0 + lx.CROSS_SOURCE_STEP * F.least(F.greatest(n - 1, F.lit(0)), F.lit(lx.CROSS_SOURCE_MAX))
+
+
 def with_boosts(base: Column, source_count: Column, early: Column, early_boost: float) -> Column:
     """Cross-source factor, then the early-language bonus; both rounded and capped at 1."""
-    n = F.coalesce(F.when(source_count != 0, source_count), F.lit(1))
-    factor = 1.0 + lx.CROSS_SOURCE_STEP * F.least(F.greatest(n - 1, F.lit(0)), F.lit(lx.CROSS_SOURCE_MAX))
-    boosted = F.least(round_steady(base * factor, 4), F.lit(1.0))
+    boosted = F.least(round_steady(base * source_factor(source_count), 4), F.lit(1.0))
     return F.when(early, F.least(round_steady(boosted + early_boost, 4), F.lit(1.0))).otherwise(boosted)
 
 
