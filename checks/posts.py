@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from leadlens import schemas
 from leadlens.functions import domains as D
 from leadlens.operators import candidates as C
 from leadlens.operators import ingest as I
+from leadlens.plans.batch import IngestJob
+from leadlens.session import shared_dir
 from leadlens.operators import relabel as RL
 from leadlens.session import checkpointed
 
@@ -78,6 +81,13 @@ def posts_counters(spark, sf):
     return I.pipeline_counters(V.posts(spark, sf))
 
 
+def ingest_counters(spark, sf):
+    """The counters that a whole ingest run writes with its tables, counted while rows are written."""
+    target = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    IngestJob().run(V.posts(spark, sf), None, target, _instant())
+    return spark.read.parquet(f"{target}/counters")
+
+
 def posts_outcomes(spark, sf):
     """Duplicate, blocked and stored counts with their dependence on arrival order."""
     return I.outcome_counts(_routed(spark, sf)).drop("offer_observations")
@@ -208,7 +218,7 @@ def relabelled_offers(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        posts_normalized, posts_registrable, posts_labels, posts_routes, posts_stored, posts_counters, posts_outcomes,
+        posts_normalized, posts_registrable, posts_labels, posts_routes, posts_stored, posts_counters, ingest_counters, posts_outcomes,
         posts_services, posts_services_merged, posts_aliases, posts_offers, posts_offers_merged, posts_lead_metrics,
         posts_harvest, harvested_from_documents, posts_candidates, relabelled_offers,
     )
@@ -493,3 +503,4 @@ SELECT o.id, coalesce(n_type, o.type) AS type, coalesce(CASE WHEN n_amount <= 50
   coalesce(n_models, array_to_string(o.models, ',')) AS models, n_card AS requires_card, n_region AS region, n_risks AS risk_flags
 FROM offers o LEFT JOIN lab ON lab.id = o.id AND lab.use""",
 }
+ORACLE["ingest_counters"] = ORACLE["posts_counters"]

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
@@ -528,11 +528,23 @@ def harvest_mentions(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> D
     )
 
 
-def harvest_candidates(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
+def mention_array(lex: lx.Lexicon = lx.Lexicon()) -> Column:
+    """The mentions of one normalised row as an array of (pos, domain, is_high); NULL without an offer context."""
+    text = F.coalesce(F.col("raw_text"), F.lit(""))
+    each = F.transform(
+        D.mentioned_domains(F.col("domains"), text),
+        lambda host, pos: F.struct(
+            pos.alias("pos"), D.registrable_of_canonical(host).alias("domain"), D.offer_word_near(text, host).alias("is_high")
+        ),
+    )
+    open_ = F.filter(each, lambda m: m["domain"].isNotNull() & ~F.coalesce(m["domain"].isin(*lx.BLOCKED_DOMAINS), F.lit(False)))
+    return F.when(text.rlike(lex.harvest_hint), open_)
+
+
+def candidates_of(mentions: DataFrame) -> DataFrame:
     """Mentions reduced to one row per domain: first source in arrival order, high priority if ever high."""
     return (
-        harvest_mentions(normalized, lex)
-        .groupBy("domain")
+        mentions.groupBy("domain")
         .agg(
             F.min_by("source", F.struct("ingest_seq", "place", "pos", "source")).alias("first_source"),
             F.max("is_high").alias("is_high"),
@@ -543,6 +555,69 @@ def harvest_candidates(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) ->
     )
 
 
+def harvest_candidates(normalized: DataFrame, lex: lx.Lexicon = lx.Lexicon()) -> DataFrame:
+    """Candidate domains of normalised rows."""
+    return candidates_of(harvest_mentions(normalized, lex))
+
+
+# ------------------------------------------------------------------ one pass over the texts
+def read_once(signals: DataFrame, lex: lx.Lexicon, seen: Observation) -> DataFrame:
+    """Normalised rows that a later step needs, with what has to be read off their texts: ``kept`` and ``matched`` (pre-filter),
+    ``mentions``, ``blocked_host``, and the arrival ``at`` and locator ``_key`` that tell repeats apart.
+
+    The text itself stays with kept rows only.  ``seen`` counts in passing: seen, classified, harvested.
+    """
+    force = meta_flag("force_classify")
+    rows = normalize(signals).withColumns({"matched": _passes(lex, id(SparkContext._jvm)), "mentions": mention_array(lex)})
+    rows = rows.withColumn("kept", force | F.col("matched")).observe(
+        seen,
+        F.count(F.lit(1)).alias("seen"),
+        F.count_if("kept").alias("classified"),
+        F.coalesce(F.sum(F.coalesce(F.size("mentions"), F.lit(0))), F.lit(0)).alias("harvested"),
+    )
+    host = D.registrable_of_canonical(F.get("domains", F.lit(0)))
+    return rows.where("kept OR size(mentions) > 0").withColumns(
+        {
+            "at": arrival(), "_key": _locator(),
+            "blocked_host": F.coalesce(host.isin(*lx.BLOCKED_DOMAINS), F.lit(False)) & ~meta_flag("model_release"),
+        }
+    ).withColumn("raw_text", F.when(F.col("kept"), F.col("raw_text")))
+
+
+def mentions_of(passed: DataFrame) -> DataFrame:
+    return passed.where("size(mentions) > 0").select("source", "ingest_seq", "place", F.inline("mentions"))
+
+
+def blocked_first(passed: DataFrame, rows: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Number of blocked rows that come before any stored row of their key; those after it are duplicates."""
+    blocked = passed.where("kept AND blocked_host").select("source", "_key", "at")
+    first = rows.select("source", _locator().alias("_key"), arrival().alias("_first")).where(F.col("_key").isNotNull())
+    left = blocked.join(first, ["source", "_key"], "left").where(F.col("_first").isNull() | (F.col("at") < F.col("_first")))
+    if stored is not None:
+        left = left.join(stored_keys(stored), ["source", "_key"], "left_anti")
+    return left.agg(F.count(F.lit(1)).alias("blocked"))
+
+
+def counters_in_passing(
+    passed: DataFrame, rows: DataFrame, observed: dict[str, int], stored: DataFrame | None, offers: DataFrame
+) -> DataFrame:
+    """The run's counters in one row: what was counted while rows were written, and two counts over key columns."""
+    made = offer_keys(rows).join(offers.select(F.col("id").alias("offer_id")), "offer_id", "left_anti").agg(
+        F.count_if(F.col("route") == "offer").alias("offers_created"),
+        F.count_if(F.col("route") == "model_release").alias("model_releases"),
+    )
+    blocked = blocked_first(passed, rows, stored)
+    parts = made.unionByName(blocked, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in (*made.columns, *blocked.columns)])
+    known = parts.select("*", *[F.lit(v).cast("bigint").alias(k) for k, v in observed.items()])
+    return known.withColumns(
+        {
+            "dup": F.col("classified") - F.col("blocked") - F.col("signals"),
+            "prefiltered_out": F.col("seen") - F.col("classified"),
+            "offers_updated": F.col("offer_observations") - F.col("offers_created"),
+        }
+    ).drop("offer_observations")
+
+
 @dataclass(frozen=True)
 class IngestResult:
     """Tables after one ingest run; each is a lazy DataFrame over the same routed rows."""

@@ -6,10 +6,10 @@ and read back, so a lost executor costs one task and not the whole lineage.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
@@ -39,6 +39,12 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def staged(df: DataFrame, path: str) -> DataFrame:
     """Write a frame and read it back with its schema."""
     df.write.mode("overwrite").parquet(path)
@@ -62,17 +68,37 @@ class IngestJob:
         stored_signals: DataFrame | None = None,
     ) -> None:
         """``previous`` and ``target`` are snapshot folders and must differ; ``target`` may be rewritten, which
-        makes a repeated run harmless.  The new signals go to ``target/signals``."""
-        rows, found = self.stage(signals, target, stored_signals)
-        write_snapshot(self.merge(read_snapshot(signals.sparkSession, previous), rows, found, as_of), target)
-
-    def stage(self, signals: DataFrame, target: str, stored_signals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Labelled rows that reach storage and harvested candidates, written below ``target`` and read back."""
-        normalized = staged(I.normalize(schemas.with_schema(signals, "signals_in")), f"{target}/_normalized")
+        makes a repeated run harmless.  The new signals go to ``target/signals``, the run's counters to
+        ``target/counters``; what the run wrote for itself is removed."""
+        spark = signals.sparkSession
+        tables = read_snapshot(spark, previous)
+        passed, rows, observed = self.stage(signals, target, stored_signals)
+        found = I.candidates_of(I.mentions_of(passed))
+        counters = I.counters_in_passing(passed, rows, observed, stored_signals, tables["offers"])
+        write_snapshot({**self.merge(tables, rows, found, as_of), "counters": counters}, target)
+        remove(spark, [f"{target}/_passed", f"{target}/_rows"])
+
+    def stage(
+        self, signals: DataFrame, target: str, stored_signals: DataFrame | None = None
+    ) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+        """Rows that a later step needs, and labelled rows that reach storage, both written below ``target`` and read
+        back, with what was counted while they were written.  The texts are read once; of what was kept, labels are
+        made once."""
+        seen, labelled, stored = Observation(), Observation(), Observation()
+        passed = staged(I.read_once(schemas.with_schema(signals, "signals_in"), self.lex, seen), f"{target}/_passed")
+        kept = passed.where("kept").drop("kept", "mentions", "at", "_key", "blocked_host")
         classify = self.classifier or (lambda df: I.rule_classifier(df, self.lex))
-        routed = I.route(classify(I.keep_matched(normalized, self.lex)), self.min_confidence)
-        rows = staged(I.storable(routed, stored_signals), f"{target}/_rows")
-        return rows, staged(I.harvest_candidates(normalized, self.lex), f"{target}/_found")
+        routed = I.route(classify(kept), self.min_confidence)
+        routed = routed.observe(labelled, F.count_if("label.is_offer").alias("offers"))
+        rows = I.storable(routed, stored_signals).observe(
+            stored,
+            F.count(F.lit(1)).alias("signals"),
+            F.count_if("implausible").alias("implausible"),
+            F.count_if(F.col("route") == "offer").alias("offer_observations"),
+            F.count_if(F.col("route") == "candidate").alias("candidates"),
+        )
+        rows = staged(rows, f"{target}/_rows")
+        return passed, rows, {**seen.get, **labelled.get, **stored.get}
 
     @staticmethod
     def merge(tables: dict[str, DataFrame], rows: DataFrame, found: DataFrame, as_of: Column) -> dict[str, DataFrame]:
