@@ -68,3 +68,59 @@ def test_a_long_repeat_is_rejected():
     out = repetition.measure([f"{other} {passage} {prose(13, 3000, 10**6)} {passage}", other], [1, 2])
     assert out["base_failed"] == [False, False] and out["kept"] == [False, True]
     assert out["longest_repeat"][0] == repetition.LONGEST + 1 and out["n_maximal"][0] >= 1
+
+
+def strings(words):
+    """Every repeated string of LEAST words and more with its places, and whether it is a maximal repeat."""
+    places = {}
+    for i in range(len(words)):
+        for j in range(i + repetition.LEAST, len(words) + 1):
+            places.setdefault(tuple(words[i:j]), []).append(i)
+    for string, at in places.items():
+        if len(at) > 1:
+            left = {words[p - 1] if p else None for p in at}
+            right = {words[p + len(string)] if p + len(string) < len(words) else None for p in at}
+            yield string, at, len(left) > 1 and len(right) > 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_maximal_repeats_against_brute_force(seed, monkeypatch):
+    draw = random.Random(seed)
+    monkeypatch.setattr(repetition, "LONGEST", 9)
+    monkeypatch.setattr(repetition, "MOST_REPEATED", 60)
+    texts = [[f"w{draw.randrange(draw.choice([1, 2, 3, 9])):03d}" for _ in range(draw.randrange(70))] for _ in range(8)]
+    passage = [f"p{draw.randrange(9)}" for _ in range(8)]
+    texts += [["x", *passage, "y", *passage, "z", *passage[:5], "u", *passage[2:]], passage * 3, []]
+    out = repetition.measure([" ".join(t) for t in texts], list(range(len(texts))))
+    for k, words in enumerate(texts):
+        found = list(strings(words))
+        covered = {p + d for string, at, maximal in found if maximal for p in at for d in range(len(string))}
+        fraction = sum(len(words[p]) for p in covered) / max(1, sum(map(len, words)))
+        most = max(slow_longest(words), default=0)
+        failed = len(words) < repetition.FEWEST or 100 * len(covered) > repetition.MOST_REPEATED * len(words)
+        assert out["n_maximal"][k] == sum(maximal for *_, maximal in found)
+        assert out["n_repeat_words"][k] == len(covered) and out["covered_fraction"][k] == pytest.approx(fraction)
+        assert (out["longest_repeat"][k], out["base_failed"][k]) == (most, failed)
+        assert out["kept"][k] == (not failed and fraction <= repetition.COVERED and most <= repetition.LONGEST)
+
+
+def test_strings_are_counted_not_places():
+    words = "a b c d e f g h i j"
+    out = repetition.measure([f"{words} x {words} y {words[:9]} z {words[:9]}"], [1])
+    assert (out["n_maximal"], out["longest_repeat"]) == ([2], [10])
+
+
+def test_intervals_nest():
+    tree = repetition.Intervals(np.array([0, 5, 7, 7, 6, 0, 9, 3, 8], np.int32))
+    assert list(zip(tree.first.tolist(), tree.last.tolist(), tree.length.tolist(), tree.parent.tolist())) == [
+        (0, 4, 5, -1), (1, 3, 7, 2), (1, 4, 6, 0), (5, 6, 9, -1), (7, 8, 8, -1),
+    ]
+
+
+def test_long_texts_through_spark(docs):
+    rows = [(1, prose(21, 60_000, 10**7), "s"), (2, "la " * 200_000, "s"), (3, prose(22, 500), "s"), (4, " ".join([prose(23, 150, 10**6)] * 400), "s")]
+    got = {r.doc_id: r for r in repetition.quality(docs(rows)).collect()}
+    assert got[1].n_repeat_words == 0 and got[1].kept
+    assert (got[2].longest_repeat, got[2].n_repeat_words, got[2].kept) == (199_999, 200_000, False)
+    assert (got[4].longest_repeat, got[4].covered_fraction, got[4].kept) == (150 * 399, 1.0, False)
+    assert got[3].n_words == 500
