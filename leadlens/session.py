@@ -13,7 +13,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+_OWN: dict[str, str] = {}  # temporary folders of local applications
 
 
 def build_session(app: str = "leadlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,13 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="leadlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="leadlens-")
+    return _OWN[application]
 
 
 def checkpointed(df, spark: SparkSession | None = None):
-    """Cut lineage through the shared folder (reliable checkpoint; survives lost executors)."""
+    """Cut lineage through the shared folder (reliable checkpoint; survives lost executors).  Spark removes the files when
+    the frame is garbage."""
     spark = spark or df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
