@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Fixed values of the data contract: white space, and words between it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+_OWN: dict[str, str] = {}  # temporary folders of local applications
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,8 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="leadlens-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = tempfile.mkdtemp(prefix="leadlens-llm-")
+        folder = _OWN[application]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
