@@ -163,14 +163,19 @@ def issue_hits(spark, sf):
 
 def landed_signals(spark, sf):
     """orders landed by four collectors; one is switched off, the others go through their registered parsers."""
+    payloads, bodies = landed_payloads(spark, sf)
+    off = V.table(spark, sf, "region").select(lit("twitter").alias("name"), (c("r_regionkey") > 0).alias("enabled"))
+    names = [n for n in landed_plan.enabled_names(payloads, off) if n in bodies]
+    return _out(landed_plan.landed_signals(payloads, names=names))
+
+
+def landed_payloads(spark, sf):
     bodies = {"npm": _package_body(), "github_code": _code_body(), "github_issues": _issue_body(), "twitter": _issue_body()}
     landed = [_orders(spark, sf, body).withColumn("collector", lit(name)) for name, body in bodies.items()]
     payloads = landed[0]
     for more in landed[1:]:
         payloads = payloads.unionByName(more)
-    off = V.table(spark, sf, "region").select(lit("twitter").alias("name"), (c("r_regionkey") > 0).alias("enabled"))
-    names = [n for n in landed_plan.enabled_names(payloads, off) if n in bodies]
-    return _out(landed_plan.landed_signals(payloads, names=names))
+    return payloads, bodies
 
 
 def web_and_video_hits(spark, sf):
@@ -354,8 +359,11 @@ def snippet_filters(spark, sf):
 
 # ------------------------------------------------------------------ channel messages
 def _messages(spark, sf):
+    return as_messages(V.text_table(spark, sf, "conversations"))
+
+
+def as_messages(t):
     """conversations as channel messages; the conversation picks channel, topic and forward origin."""
-    t = V.text_table(spark, sf, "conversations")
     chan = F.concat(lit("chan"), _s("conv_id"))
     forward = F.struct(
         F.when(c("conv_id") % 4 == 0, F.concat(lit("up"), (c("conv_id") % 10).cast("string"))).alias("username"),

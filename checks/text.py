@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import kit as K
 from checks import views as V
 from leadlens import lexicon as lx
+from leadlens.functions import codec
 from leadlens.functions import domains as D
 from leadlens.functions import text as X
 from leadlens.functions import times as TM
@@ -128,13 +129,11 @@ def timestamp_forms(spark, sf):
 
 
 def json_codec(spark, sf):
-    """Stored JSON read back: documents parse, anything else stays as it is."""
+    """Stored JSON read back: documents parse, anything else stays as it is; documents are written again."""
     e = V.table(spark, sf, "events")
-    raw = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.col("props"))
-    parsed = F.from_json(raw, "k bigint")
-    return e.select(
-        "event_id", parsed["k"].alias("k"), F.when(F.try_parse_json(raw).isNull(), raw).alias("kept_text")
-    )
+    raw = F.when(F.col("event_id") % 4 == 0, codec.encoded_text(F.col("event_type"))).otherwise(F.col("props"))
+    back = e.select("event_id", codec.decoded(raw, "k bigint").alias("d"))
+    return back.select("event_id", F.col("d.value.k").alias("k"), F.col("d.text").alias("kept_text"))
 
 
 QUERIES = {

@@ -11,6 +11,7 @@ from leadlens.functions.score import hours_between
 from leadlens.functions.words import truthy_array, truthy_text
 from leadlens.operators.ingest import service_id
 from leadlens.schemas import new_rows, with_schema
+from leadlens.session import checkpointed
 
 
 def candidate_id(domain: Column) -> Column:
@@ -168,6 +169,26 @@ def outbound_domains(pages: DataFrame) -> DataFrame:
     )
 
 
+def expand_links(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """Domains that ``seeds(domain)`` reach over ``edges(domain, target)``, with the least number of ``hop``s; seeds have 0.
+
+    A hop joins the edges to the domains that the last one was first to reach, so an edge is followed once.  It ends where
+    nothing new is reached, or after ``hops``.  Every hop is checkpointed; edges should be written, as each hop reads them.
+    Blocked domains are neither reached nor followed.
+    """
+    open_ = ~F.coalesce(F.col("domain").isin(*lx.BLOCKED_DOMAINS), F.lit(False))
+    reached = newest = checkpointed(seeds.where(open_).select("domain").distinct().withColumn("hop", F.lit(0)))
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
+        targets = edges.join(newest.select("domain"), "domain").select(F.col("target").alias("domain")).distinct()
+        newest = checkpointed(targets.where(open_).join(reached, "domain", "left_anti").withColumn("hop", F.lit(hop)))
+        if newest.isEmpty():
+            break
+        reached = reached.unionByName(newest)
+    return reached
+
+
 def linkgraph_candidates(pages: DataFrame, services: DataFrame, candidates: DataFrame) -> DataFrame:
     """Novel outbound domains as harvested candidates of source ``linkgraph``."""
     targets = outbound_domains(pages).select(F.col("target").alias("domain")).distinct()
