@@ -12,6 +12,7 @@ from leadlens.functions import html as H
 from leadlens.functions import pagefacts as P
 from leadlens.operators import candidates as C
 from leadlens.operators import enrich as E
+from leadlens.session import checkpointed
 from leadlens.sources import html_links as HL
 
 
@@ -54,6 +55,12 @@ def page_links(spark, sf):
     return rows.select(F.col("payload_id").alias("page_id"), F.col("pos")[0].alias("pos"), F.col("item.href").alias("href"), F.col("item.text").alias("text"))
 
 
+def page_link_rows(spark, sf):
+    """The same links by a table function, row by row."""
+    rows = HL.page_link_rows(V.page_payloads(spark, sf))
+    return rows.select(F.col("payload_id").alias("page_id"), "pos", "href", "text")
+
+
 def page_fact_columns(spark, sf):
     """Models, credit amount, engine and offer wording read off whole page texts with numbers and names added."""
     extra = F.concat(
@@ -107,6 +114,15 @@ def page_facts(spark, sf):
     return out.withColumns({"models": F.array_join("models", ","), "description": F.md5("description"), "notice": F.md5("notice")})
 
 
+def page_facts_refreshed(spark, sf):
+    """The same facts after a second landing: every third page had another text at the first, the others are not read again."""
+    now = page_bodies(spark, sf)
+    before = now.withColumn("body", F.when(F.length("body") % 3 == 0, F.concat("body", F.lit(" free trial: $4999 kimi"))).otherwise(F.col("body")))
+    first = checkpointed(E.page_rows(before))
+    out = E.facts_of(checkpointed(E.page_rows(now, first)))
+    return out.withColumns({"models": F.array_join("models", ","), "description": F.md5("description"), "notice": F.md5("notice")})
+
+
 def promotable_sites(spark, sf):
     f = E.page_facts(page_bodies(spark, sf))
     c = F.col
@@ -140,7 +156,7 @@ def linkgraph_edges(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_domains, page_titles, page_text, page_descriptions, page_links, page_fact_columns, page_facts,
+        page_domains, page_titles, page_text, page_descriptions, page_links, page_fact_columns, page_facts, page_facts_refreshed, page_link_rows,
         promotable_sites, sitemap_offer_urls, linkgraph_edges,
     )
 }
@@ -316,3 +332,5 @@ e AS (SELECT domain, 'docs.partner' || CAST(page_id % 90 AS VARCHAR) || '.co.uk'
 r AS (SELECT DISTINCT domain, {K.registrable('host')} AS target, {K.registrable('domain')} AS own FROM e)
 SELECT domain, target FROM r WHERE target <> own""",
 }
+ORACLE["page_facts_refreshed"] = ORACLE["page_facts"]
+ORACLE["page_link_rows"] = ORACLE["page_links"]

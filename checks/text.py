@@ -59,6 +59,12 @@ def prefilter_hits_test_words(spark, sf):
     return _prefilter(spark, sf, TEST_LEXICON)
 
 
+def prefilter_hits_long_lists(spark, sf):
+    """The test words among thousands of others, which occur nowhere."""
+    more = tuple(f"{k}§{k * 7919 % 10007}§" for k in range(5000))
+    return _prefilter(spark, sf, replace(TEST_LEXICON, en_strong=TEST_LEXICON.en_strong + more, ru=TEST_LEXICON.ru + more))
+
+
 def keyword_models(spark, sf):
     found = X.find_models(F.col("text"), TEST_LEXICON.models)
     return _texts(spark, sf).select("key", F.array_join(found, ",").alias("models"))
@@ -139,7 +145,7 @@ def json_codec(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_language, detect_language_posts, prefilter_hits, prefilter_hits_test_words, keyword_models, keyword_counts,
+        detect_language, detect_language_posts, prefilter_hits, prefilter_hits_test_words, prefilter_hits_long_lists, keyword_models, keyword_counts,
         signal_dedup, new_signals, early_keys, redacted_documents, redacted_documents_default, bare_domains,
         timestamp_forms, json_codec,
     )
@@ -221,3 +227,4 @@ FROM f""",
 SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
   CASE WHEN event_id % 4 = 0 THEN event_type END AS kept_text FROM events""",
 }
+ORACLE["prefilter_hits_long_lists"] = ORACLE["prefilter_hits_test_words"]

@@ -120,20 +120,20 @@ def _resolve(base, href):
         return href
 
 
-def _links_of(page_html, base):
+def _each_link(page_html, base):
     page = _Page(page_html or "")
-    out = []
     for element in page.elements:
         if element.tag == "a" and "href" in element.attrs:
-            out.append(
-                {
-                    "href": _resolve(base, element.attrs["href"]),
-                    "raw_href": element.attrs["href"],
-                    "text": _squeeze(page.text(element)),
-                    "title": element.attrs.get("title", ""),
-                }
-            )
-    return out
+            yield {
+                "href": _resolve(base, element.attrs["href"]),
+                "raw_href": element.attrs["href"],
+                "text": _squeeze(page.text(element)),
+                "title": element.attrs.get("title", ""),
+            }
+
+
+def _links_of(page_html, base):
+    return list(_each_link(page_html, base))
 
 
 def _contexts_of(page_html, wording):
@@ -158,25 +158,45 @@ def _contexts_of(page_html, wording):
     return {"texts": texts, "links": out}
 
 
-def _cards_of(page_html, base):
+def _each_card(page_html, base):
     page = _Page(page_html or "")
     classes = lambda e: e.attrs.get("class", "").split()
     cards = [e for e in page.elements if "server-card" in classes(e)]
     if not cards:
         cards = [e for e in page.elements if e.tag == "div" and any("server" in c for c in classes(e))]
-    out = []
     for card in cards:
         members = page.elements[card.index + 1:card.until]
         named = lambda mark: next((e for e in members if any(mark in c for c in classes(e))), None)
         name, description = named("server-name"), named("server-description")
-        out.append(
-            {
-                "name": _squeeze(page.text(name)) if name else "",
-                "description": _squeeze(page.text(description)) if description else "",
-                "hrefs": [_resolve(base, e.attrs["href"]) for e in members if e.tag == "a" and "href" in e.attrs],
-            }
-        )
-    return out
+        yield {
+            "name": _squeeze(page.text(name)) if name else "",
+            "description": _squeeze(page.text(description)) if description else "",
+            "hrefs": [_resolve(base, e.attrs["href"]) for e in members if e.tag == "a" and "href" in e.attrs],
+        }
+
+
+def _cards_of(page_html, base):
+    return list(_each_card(page_html, base))
+
+
+class _LinkRows:
+    """Table function: the links of a page one by one, so that no page's links are held as one value."""
+
+    def eval(self, page_html: str, base: str):
+        for pos, link in enumerate(_each_link(page_html, base)):
+            yield pos, link["href"], link["raw_href"], link["text"], link["title"]
+
+
+class _CardRows:
+    """Table function: the server cards of a page one by one."""
+
+    def eval(self, page_html: str, base: str):
+        for pos, card in enumerate(_each_card(page_html, base)):
+            yield pos, card["name"], card["description"], card["hrefs"]
+
+
+link_rows = F.udtf(_LinkRows, returnType="pos int, href string, raw_href string, text string, title string", useArrow=True)
+card_rows = F.udtf(_CardRows, returnType="pos int, name string, description string, hrefs array<string>", useArrow=True)
 
 
 @F.pandas_udf(_TEXT)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlens import lexicon as lx
-from leadlens.functions.words import bind, first_label, has_any, hits, literals, truthy_text
+from leadlens.functions.words import bind, bind_unless, first_label, has_any, hits, literals, many, truthy_text
 
 _NO_WORDS = "array<string>"
 _CARD_STEMS = ("card", "cc", "payment", "карт", "卡")
@@ -58,22 +58,23 @@ def prefilter(text: Column, lex: lx.Lexicon = lx.Lexicon()) -> Column:
             literals([]),
         )
 
-    return bind(bind(F.lower(body), decide), lambda n: F.struct((F.size(n) > 0).alias("ok"), n.alias("hits")))
+    long = many(lex.zh_strong, lex.zh_weak, lex.ru, lex.en_strong, lex.en_weak)
+    return bind(bind_unless(long, F.lower(body), decide), lambda n: F.struct((F.size(n) > 0).alias("ok"), n.alias("hits")))
 
 
 def passes_prefilter(text: Column, lex: lx.Lexicon = lx.Lexicon()) -> Column:
     """The decision of :func:`prefilter` alone: tests stop at the first satisfied tier and no word lists are built."""
-    body = F.coalesce(text, F.lit(""))
+    body, strong = F.coalesce(text, F.lit("")), (*lex.zh_strong, *lex.ru, *lex.en_strong)
 
     def decide(low: Column) -> Column:
         money = body.rlike(lex.money_pattern)
         return (
-            has_any(low, (*lex.zh_strong, *lex.ru, *lex.en_strong))
+            has_any(low, strong)
             | (F.size(hits(low, lex.zh_weak)) >= 2)
             | bind(F.size(hits(low, lex.en_weak)), lambda n: (n >= 2) | ((n == 1) & money))
         )
 
-    return bind(F.lower(body), decide)
+    return bind_unless(many(strong, lex.zh_weak, lex.en_weak), F.lower(body), decide)
 
 
 def _number(found: Column) -> Column:

@@ -27,6 +27,19 @@ def page_links(pages: DataFrame) -> DataFrame:
     return exploded(parsed, F.col("_links"), [c for c in pages.columns if c not in ("body", "payload_id")])
 
 
+def page_link_rows(pages: DataFrame) -> DataFrame:
+    """Every link of every page as a row that a table function yields: payload_id, page_url, pos, href, raw_href, text,
+    title.  For pages with very many links; others are as well served by :func:`page_links`."""
+    found = H.link_rows(F.col("body").outer(), F.col("page_url").outer())
+    return pages.lateralJoin(found).drop("body")
+
+
+def server_card_rows(pages: DataFrame) -> DataFrame:
+    """Every server card as a row of a table function: payload_id, page_url, pos, name, description, hrefs."""
+    found = H.card_rows(F.col("body").outer(), F.col("page_url").outer())
+    return pages.lateralJoin(found).drop("body")
+
+
 def parse_listing(
     pages: DataFrame, source: str | Column = "directories", own_hosts=LISTING_HOSTS, candidate: bool = False
 ) -> DataFrame:
