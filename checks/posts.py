@@ -15,6 +15,7 @@ from leadlens import schemas
 from leadlens.functions import domains as D
 from leadlens.operators import candidates as C
 from leadlens.operators import ingest as I
+from leadlens.plans import sink
 from leadlens.plans.batch import IngestJob
 from leadlens.session import shared_dir
 from leadlens.operators import relabel as RL
@@ -70,7 +71,19 @@ def _rows(spark, sf, stored=None):
 
 
 def posts_stored(spark, sf):
-    s = I.stored_signals(_rows(spark, sf))
+    return _stored_columns(I.stored_signals(_rows(spark, sf)))
+
+
+def appended_signals(spark, sf):
+    """Stored signals through the append-only sink, the run being repeated under its name."""
+    stored = I.stored_signals(_rows(spark, sf))
+    path = f"{shared_dir(spark).removeprefix('file:')}/appended-{uuid.uuid4().hex}"
+    sink.append(stored, path, "run")
+    sink.append(stored, path, "run")
+    return _stored_columns(sink.read_appended(spark, path, stored.schema))
+
+
+def _stored_columns(s):
     return s.select(
         "source", "source_url", "url", F.md5("raw_text").alias("digest"), "lang", F.round("confidence", 2).alias("confidence"),
         F.col("offer_id").isNotNull().alias("has_offer"), F.col("service_id").isNotNull().alias("has_service"),
@@ -218,7 +231,7 @@ def relabelled_offers(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        posts_normalized, posts_registrable, posts_labels, posts_routes, posts_stored, posts_counters, ingest_counters, posts_outcomes,
+        posts_normalized, posts_registrable, posts_labels, posts_routes, posts_stored, appended_signals, posts_counters, ingest_counters, posts_outcomes,
         posts_services, posts_services_merged, posts_aliases, posts_offers, posts_offers_merged, posts_lead_metrics,
         posts_harvest, harvested_from_documents, posts_candidates, relabelled_offers,
     )
@@ -504,3 +517,4 @@ SELECT o.id, coalesce(n_type, o.type) AS type, coalesce(CASE WHEN n_amount <= 50
 FROM offers o LEFT JOIN lab ON lab.id = o.id AND lab.use""",
 }
 ORACLE["ingest_counters"] = ORACLE["posts_counters"]
+ORACLE["appended_signals"] = ORACLE["posts_stored"]
