@@ -9,7 +9,8 @@ bounded part.  A fifth of them is held back: on it each language gets a threshol
 ``OTHERS`` times, and scores are moved (as log-odds) so that the language's threshold becomes ``ACCEPT``.  The language of a text is itself read from its words by a small model
 fitted on the same rows; a score uses the text and nothing else.
 
-Scoring turns filters into tables by hash, so that a text costs look-ups and additions; long texts go by blocks.
+Scoring remembers what each word adds to each filter, for at most ``REMEMBER`` words a worker, so that a text costs one
+look-up for each word and a few additions; long texts go by blocks.
 
 Nulls: a null or empty text has no words and gets the score of a text in which no filter fires; a null label is not used.
 Repeated rows get equal scores.  Without usable rows of both classes every score is 0.  Empty tables: empty results.
@@ -39,7 +40,8 @@ HASHES = 2 + len(STEMS)
 EPOCHS = 8
 BATCH = 32
 RATE = 0.05
-BLOCK = 1 << 16  # words scored at a time
+BLOCK = 1 << 14  # words scored at a time
+REMEMBER = 100_000  # words: some 40 MB a worker
 SEED = 7
 OTHERS = 0.1  # weight of the rows of other languages in a language's threshold
 CLEAN = 2.0  # weight of a rejected clean row against a missed toxic one
@@ -47,9 +49,16 @@ LANGUAGE_WORDS = 200  # frequent words kept for each language
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+
+
 def buckets(text: str | None) -> np.ndarray:
     """``HASHES`` rows of bucket numbers, one column for each word of the whole text."""
-    words = _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+    return hashed(words_of(text))
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
     hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
     mixed = (hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     stems = [np.fromiter((zlib.crc32(w[:n]) for w in words), np.uint32, len(words)) for n in STEMS]
@@ -67,46 +76,93 @@ class Model:
     thresholds: np.ndarray  # for each language, then for texts of none
 
     @cached_property
-    def tables(self) -> list[np.ndarray]:
-        """What each bucket adds to each filter, for each width: (HASHES, width, BUCKETS, FILTERS)."""
-        return [np.einsum("sbd,jdf->sjbf", self.embed, w).astype(np.float32) for w in self.filters]
+    def mixed(self) -> np.ndarray:
+        """The filters as one matrix: a column for each width, place in the filter, and filter."""
+        return np.concatenate([w[j] for w in self.filters for j in range(len(w))], axis=1).astype(np.float32)
+
+    @cached_property
+    def memory(self) -> Memory:
+        return Memory(self)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # a worker makes its own
+        return {k: v for k, v in self.__dict__.items() if k not in ("mixed", "memory")}  # a worker makes its own
+
+    def responses(self, ids: np.ndarray) -> np.ndarray:
+        """What each word adds to each filter at each of its places."""
+        return sum(self.embed[h][ids[h]] for h in range(HASHES)) @ self.mixed
+
+    def pool(self, best: np.ndarray, rows: np.ndarray) -> None:
+        """Raises ``best`` to the maximum of every filter over the ``responses`` of consecutive words."""
+        at = 0
+        for k, width in enumerate(WIDTHS):
+            n, own = len(rows) - width + 1, slice(k * FILTERS, (k + 1) * FILTERS)
+            if n > 0:
+                total = rows[:n, at : at + FILTERS]
+                for j in range(1, width):
+                    total = total + rows[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
+                np.maximum(best[own], total.max(axis=0) + self.bias[own], out=best[own])
+            at += width * FILTERS
 
     def pooled(self, ids: np.ndarray) -> np.ndarray:
         """Maximum of every filter over the text; 0 where none fires."""
         best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         for at in range(0, ids.shape[1], BLOCK):
-            part = ids[:, at : at + BLOCK + max(WIDTHS) - 1]
-            for k, width in enumerate(WIDTHS):
-                n = part.shape[1] - width + 1
-                if n < 1:
-                    continue
-                table = self.tables[k]
-                total = table[0, 0][part[0, :n]]
-                for j in range(width):
-                    for h in range(j == 0, HASHES):
-                        total += table[h, j][part[h, j : j + n]]
-                own = slice(k * FILTERS, (k + 1) * FILTERS)
-                np.maximum(best[own], total.max(axis=0) + self.bias[own], out=best[own])
+            self.pool(best, self.responses(ids[:, at : at + BLOCK + max(WIDTHS) - 1]))
         return best
 
     def raw(self, ids: np.ndarray) -> float:
         return float(self.pooled(ids) @ self.weights + self.constant)
 
     def language(self, ids: np.ndarray) -> int:
-        if not self.languages.shape[1] or not ids.shape[1]:
-            return self.languages.shape[1]
-        seen = self.languages[ids[0]].sum(axis=0)
-        return int(seen.argmax()) if seen.any() else self.languages.shape[1]
+        return self.named(self.languages[ids[0]].sum(axis=0) if ids.shape[1] else np.zeros(self.languages.shape[1]))
+
+    def named(self, seen: np.ndarray) -> int:
+        """The language with the greatest sum; one more than all of them without any evidence."""
+        return int(seen.argmax()) if len(seen) and seen.any() else len(seen)
 
     def score(self, text: str | None) -> float:
-        ids = buckets(text)
-        odds = self.raw(ids) - self.thresholds[self.language(ids)] + _odds(ACCEPT)
+        best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
+        seen = np.zeros(self.languages.shape[1])
+        words = words_of(text)
+        for at in range(0, len(words), BLOCK):
+            rows, heads = self.memory.rows(words[at : at + BLOCK + max(WIDTHS) - 1])
+            self.pool(best, rows)
+            seen += self.languages[heads[:BLOCK]].sum(axis=0)
+        odds = float(best @ self.weights + self.constant) - self.thresholds[self.named(seen)] + _odds(ACCEPT)
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
+class Memory:
+    """What a worker remembers of words: their responses and their first hash.  When it is full it begins anew, so that what
+    it holds never shows in a score."""
+
+    def __init__(self, model: Model):
+        self.model, self.places = model, {}
+        self.responses = np.zeros((1_024, model.mixed.shape[1]), np.float32)
+        self.heads = np.zeros(1_024, np.int32)
+
+    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = list(map(self.places.get, words))
+        if None in at:
+            if len(self.places) + len(new := [*dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None)]) > REMEMBER:
+                self.places.clear()
+                new = [*dict.fromkeys(words)]
+            self._learn(new)
+            at = list(map(self.places.__getitem__, words))
+        at = np.array(at, np.int64)
+        return self.responses[at], self.heads[at]
+
+    def _learn(self, words: list[bytes]) -> None:
+        begin = len(self.places)
+        end = begin + len(words)
+        while end > len(self.heads):
+            self.responses = np.concatenate((self.responses, np.zeros_like(self.responses)))
+            self.heads = np.concatenate((self.heads, np.zeros_like(self.heads)))
+        ids = hashed(words)
+        self.responses[begin:end], self.heads[begin:end] = self.model.responses(ids), ids[0]
+        self.places.update(zip(words, range(begin, end), strict=True))
+
+
 def _odds(p: float) -> float:
     return float(np.log(p / (1 - p)))
 

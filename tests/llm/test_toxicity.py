@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 from leadlens.llm import toxicity
 from tests.llm.conftest import prose
 
@@ -66,3 +69,47 @@ def test_nothing_to_learn(spark):
     assert [r.score for r in toxicity.toxicity(docs, marks).collect()] == [0.0]
     docs, marks = frames(spark, [], [])
     assert toxicity.toxicity(docs, marks).count() == 0
+
+
+def plain_pool(model, text):
+    """Every filter at every place of the text, by sums over words, hashes and letters of an embedding."""
+    ids = toxicity.buckets(text)
+    vectors = [sum(model.embed[h][ids[h, i]].astype(float) for h in range(toxicity.HASHES)) for i in range(ids.shape[1])]
+    out = []
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(vectors) - width + 1):
+                total = sum(float(vectors[i + j] @ model.filters[k][j][:, f]) for j in range(width))
+                best = max(best, total + float(model.bias[k * toxicity.FILTERS + f]))
+            out.append(best)
+    return out
+
+
+def test_scores_against_a_plain_convolution(spark, monkeypatch):
+    rows, labels = corpus(160)
+    model = toxicity.fit(*frames(spark, rows, labels))
+    texts = [r[1] for r in rows[:25]] + ["", None, "one", "two words", prose(5, 400, 40)]
+
+    def plain(text):
+        ids = toxicity.buckets(text)
+        odds = float(np.dot(plain_pool(model, text), model.weights) + model.constant) - model.thresholds[model.language(ids)]
+        return 1 / (1 + math.exp(-max(-30, min(30, odds + toxicity._odds(toxicity.ACCEPT)))))
+
+    for text in texts:
+        assert np.allclose(model.pooled(toxicity.buckets(text)), plain_pool(model, text), atol=1e-4)
+    want = [plain(t) for t in texts]
+    assert np.allclose([model.score(t) for t in texts], want, atol=1e-4)
+    # blocks, and a memory that is full again and again
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    monkeypatch.setattr(toxicity, "REMEMBER", 12)
+    model.__dict__.pop("memory")
+    assert np.allclose([model.score(t) for t in texts], want, atol=1e-4) and len(model.memory.places) <= 12
+
+
+def test_the_greater_of_contradicting_labels_counts(spark):
+    rows, labels = corpus(120)
+    docs, marks = frames(spark, rows, labels)
+    _, twice = frames(spark, rows, labels + [(d, q, 0) for d, q, _ in labels])
+    one, two = toxicity.fit(docs, marks), toxicity.fit(docs, twice)
+    assert [one.score(r[1]) for r in rows[:30]] == [two.score(r[1]) for r in rows[:30]]
