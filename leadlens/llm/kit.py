@@ -50,14 +50,15 @@ def text_hash(text: str = "text") -> Column:
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text hash) stands in ``kept(doc_id, text_hash)``: one row for each, whole and
-    with all its columns.  One shuffle of the texts, by doc_id."""
-    key, mark = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
-    right = kept.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct()
-    left = docs.withColumn(mark + "_own", text_hash())
-    joined = left.join(
-        right, left["doc_id"].eqNullSafe(right[key]) & (left[mark + "_own"] == right[mark]), "left_semi"
-    )
-    return joined.dropDuplicates(["doc_id", mark + "_own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with all its columns.  The texts are shuffled once: repeated rows go, and the kept ones are found, under one key."""
+    name = fresh(docs, "kept")
+    key = {f"{name}_id": F.coalesce("doc_id", F.lit(0)), f"{name}_none": F.col("doc_id").isNull()}
+    left = docs.withColumns({**key, f"{name}_hash": text_hash()})
+    columns = [*key, f"{name}_hash"]
+    number = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+    once = left.withColumn(f"{name}_n", number).where(F.col(f"{name}_n") == 1)
+    right = kept.select(*[c.alias(n) for n, c in key.items()], F.col("text_hash").alias(f"{name}_hash")).distinct()
+    return once.join(right, columns, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fresh(df: DataFrame, name: str) -> str:
