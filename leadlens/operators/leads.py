@@ -30,7 +30,7 @@ def value_counts(values: DataFrame, column: str, *more: Column) -> DataFrame:
     return values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"), *more)
 
 
-def exact_median(counts: DataFrame, cells: int = 1024, rounds: int = 3) -> DataFrame:
+def exact_median(counts: DataFrame, cells: int = 1024, rounds: int = 2) -> DataFrame:
     """Exact median of counted values (v, n) as a one-row frame (column ``median``).
 
     Selection by histograms: a round divides the range that holds the middle ranks into ``cells`` equal cells, counts them, and
