@@ -16,6 +16,8 @@ from leadlens.streaming import newest as NW
 from leadlens.streaming import state as KS
 from leadlens.streaming import streams as ST
 
+PARTITIONS = 8  # of the states kept here
+
 
 def _folder(spark, name):
     return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
@@ -32,7 +34,7 @@ def running_leads(spark, sf):
     e = _stream(spark, sf, "events")
     s = e.select(F.col("user_id").alias("offer_id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("observed_at"))
     path, leads = _folder(spark, "leads"), ST.running_leads(s, V.AGGREGATORS)
-    KS.latest_to_table(leads, path, f"{path}/_checkpoint").awaitTermination()
+    KS.latest_to_table(leads, path, f"{path}/_checkpoint", partitions=PARTITIONS).awaitTermination()
     return KS.read_latest(spark, path, ["offer_id"], leads.schema).select("offer_id", "lead_hours")
 
 
@@ -52,7 +54,7 @@ def stream_latest_signals(spark, sf):
     o = _landed(spark, sf, path)
     rows = o.select(*[F.expr(e).alias(n) for n, e in V.ORDER_SIGNAL_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at"))
     newest = NW.newest_signals(rows)
-    KS.latest_to_table(newest, path, f"{path}/_checkpoint", "append").awaitTermination()
+    KS.latest_to_table(newest, path, f"{path}/_checkpoint", "append", PARTITIONS).awaitTermination()
     KS.compact_latest(spark, path, ["service_id"], newest.schema)
     out = NW.as_rows(KS.read_latest(spark, path, ["service_id"], newest.schema))
     return out.select("service_id", "position", "signal_id", "source", "raw_text")
@@ -74,7 +76,7 @@ def certificate_stream(spark, sf):
     """Distinct hosts over the whole stream."""
     messages = _messages(_stream(spark, sf, "orders"), F.col("o_orderdate").cast("timestamp"))
     path = _folder(spark, "certs")
-    with KS.rocksdb_state(spark):
+    with KS.rocksdb_state(spark, PARTITIONS):
         query = (
             ST.certificate_signals(messages, horizon=None).writeStream.format("parquet").option("path", f"{path}/table")
             .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
@@ -88,7 +90,7 @@ def certificate_ingest(spark, sf):
     """The form with a horizon: repeats come again after more than a day, in later micro-batches, and meet the stored keys."""
     path = _folder(spark, "certs")
     messages = _messages(_landed(spark, sf, path, 4), F.timestamp_seconds(F.col("o_orderkey") * 600))
-    KY.start_ingest(ST.certificate_signals(messages), path, V.instant(V.ORDERS_AS_OF)).awaitTermination()
+    KY.start_ingest(ST.certificate_signals(messages), path, V.instant(V.ORDERS_AS_OF), partitions=PARTITIONS).awaitTermination()
     return KY.read_state(spark, path, "signals").select("raw_text", "url", "source_url")
 
 
@@ -99,7 +101,7 @@ def stream_ingest(spark, sf):
     fields = ("force_classify", "service_candidate", "model_release", "org", "model_id")
     rows = o.select(*[F.expr(e).alias(n) for n, e in V.POST_COLUMNS.items()], F.col("o_orderdate").cast("timestamp").alias("observed_at"))
     signals = with_schema(rows.withColumn("meta", meta(**{n: F.col(n) for n in fields})).drop(*fields), "signals_in")
-    KY.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF)).awaitTermination()
+    KY.start_ingest(signals, path, V.instant(V.ORDERS_AS_OF), partitions=PARTITIONS).awaitTermination()
     offers = KY.read_state(spark, path, "offers")
     return offers.groupBy("type").agg(
         F.count("*").alias("offers"), F.count("amount").alias("with_amount"), F.countDistinct("service_id").alias("services")

@@ -330,10 +330,10 @@ def changes(
 
 def start_ingest(
     signals: DataFrame, root: str, as_of: Column | None = None, job: IngestJob = IngestJob(),
-    tables: dict[str, DataFrame] | None = None, stored: DataFrame | None = None, **trigger,
+    tables: dict[str, DataFrame] | None = None, stored: DataFrame | None = None, partitions: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Ingest every micro-batch and write its changes to ``root/changes/batch=n``, by table.  Read with
-    :func:`read_state`.  ``tables`` and ``stored`` are what a new query begins with.  Use ``availableNow=True`` or
+    :func:`read_state`.  ``tables`` and ``stored`` are what a new query begins with, ``partitions`` those of its state.  Use ``availableNow=True`` or
     ``processingTime='60 seconds'``."""
     spark = signals.sparkSession
     if tables is not None:
@@ -343,7 +343,7 @@ def start_ingest(
     def on_batch(batch: DataFrame, epoch: int) -> None:
         ST.write_changes(batch, root, epoch, "table")
 
-    with ST.rocksdb_state(spark):
+    with ST.rocksdb_state(spark, partitions):
         writer = changes(signals, as_of, job, tables, stored).writeStream.foreachBatch(on_batch)
         return writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 

@@ -23,12 +23,14 @@ STORE = {
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+def rocksdb_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB and write what changed; a query keeps the settings that it was
-    started with."""
-    before = {key: spark.conf.get(key, None) for key in STORE}
+    started with.  ``partitions`` of the state (else the session's for shuffles) can't change later: each is a store that
+    every batch opens, so they should follow the size of the state, not that of a batch."""
+    settings = STORE if partitions is None else {**STORE, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {key: spark.conf.get(key, None) for key in settings}
     try:
-        for key, value in STORE.items():
+        for key, value in settings.items():
             spark.conf.set(key, value)
         yield
     finally:
@@ -103,12 +105,14 @@ def ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
 
-def latest_to_table(frame: DataFrame, root: str, checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
+def latest_to_table(
+    frame: DataFrame, root: str, checkpoint: str, mode: str = "update", partitions: int | None = None, **trigger
+) -> StreamingQuery:
     """Write the rows that a streaming aggregation, or another keyed state, changes in a micro-batch."""
     def on_batch(rows: DataFrame, epoch: int) -> None:
         write_changes(rows, root, epoch)
 
-    with rocksdb_state(frame.sparkSession):
+    with rocksdb_state(frame.sparkSession, partitions):
         writer = frame.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
