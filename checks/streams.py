@@ -24,9 +24,8 @@ def _folder(spark, name):
 
 
 def _stream(spark, sf, name):
-    """A table file as a streaming source."""
-    schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table, one file or a folder of part files, as a streaming source.  The source takes a single file only by a pattern."""
+    return spark.readStream.schema(V.table(spark, sf, name).schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def running_leads(spark, sf):

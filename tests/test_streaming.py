@@ -47,3 +47,17 @@ def test_channel_stream_with_topics(spark, tmp_path):
     writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check"))
     writer.trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["source_url"] for r in spark.read.parquet(out).collect()) == ["https://t.me/a/6", "https://t.me/b/7"]
+
+
+def test_stream_reads_a_table_kept_as_a_folder(spark, tmp_path):
+    from checks import sources as SC
+    from checks import upkeep as U
+
+    rows = [(c, t, "user", f"text {c} {t}") for c in range(12) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    table.repartition(5).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    (tmp_path / "file").mkdir()
+    table.toPandas().to_parquet(f"{tmp_path}/file/conversations.parquet", index=False)
+    for kind in ("folder", "file"):
+        want = sorted(map(tuple, SC.channel_messages(spark, f"{tmp_path}/{kind}").collect()))
+        assert len(want) > 10 and sorted(map(tuple, U.channel_stream(spark, f"{tmp_path}/{kind}").collect())) == want
