@@ -184,3 +184,63 @@ def test_only_changed_keys_are_written(spark, tmp_path):
     assert written(root) == {0: 2, 1: 2}
     got = {r["offer_id"]: r["lead_hours"] for r in KS.read_latest(spark, root, ["offer_id"], leads.schema).collect()}
     assert got == {1: 48.0, 2: None, 3: None}
+
+
+class _Map:
+    """A map state that counts what it is asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.maps = []
+
+    def getMapState(self, *_):
+        self.maps.append(_Map())
+        return self.maps[-1]
+
+
+def test_rows_of_a_group_share_questions_to_the_state():
+    """A question to the state costs as much as many rows: 20,000 keys of one group ask for each slot, not for each key."""
+    import hashlib
+    import json
+
+    from pyspark.sql import Row
+
+    at = lambda n: json.dumps({"ingest_seq": n, "place": None, "pos": None, "source": "s", "tie": n})
+    rows = [
+        Row(digest=hashlib.sha256(b"%d" % (i // 2)).digest()[:16], named=True, domain=f"d{i % 50}.ai", to=1, as_of=0, at=at(i), body="{}", signal=f'{{"id": {i}}}')
+        for i in range(40_000)
+    ]
+    handle, first = _Handle(), KY.FirstOfKey()
+    first.init(handle)
+    out = list(first.handleInputRows((7,), iter(reversed(rows)), None))
+    ids = sorted(signal["id"] for row in out if row["kind"] == "signals" for signal in json.loads(row["body"]))
+    assert ids == list(range(0, 40_000, 2)) and sum(row["kind"] == "row" for row in out) == 20_000
+    assert handle.maps[0].asked <= 3 * KY.SLOTS
+    assert list(first.handleInputRows((7,), iter(rows), None)) == []
+    assert handle.maps[0].asked <= 6 * KY.SLOTS
+
+
+def test_long_texts_pass_whole(spark, signals, tmp_path):
+    """Texts beyond the length that JSON readers take by default."""
+    df = signals([{"source": "s", "raw_text": "free credits at https://alpha1.ai " + c * 21_000_000, "source_url": c} for c in "ab"])
+    source, root = str(tmp_path / "in"), str(tmp_path / "stream")
+    df.write.parquet(source)
+    KY.start_ingest(spark.readStream.schema(df.schema).parquet(source), root, as_of(), partitions=1).awaitTermination()
+    got = KY.read_state(spark, root, "signals").select(F.sha2("raw_text", 256).alias("h"))
+    assert rows_of(got) == rows_of(df.select(F.sha2("raw_text", 256).alias("h")))
