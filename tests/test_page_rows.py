@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from leadlens.functions import html as H
 from leadlens.operators import enrich as E
 from tests.test_discovery import DDL
 
@@ -52,3 +53,22 @@ def test_bodies_are_scanned_once(spark, tmp_path):
     bodies(spark, ROWS).write.parquet(str(tmp_path / "bodies"))
     rows = E.page_rows(spark.read.parquet(str(tmp_path / "bodies")))
     assert rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+def test_whole_pages_go_by_rows(spark):
+    """An Arrow batch holds ten thousand whole pages with all their links; by rows a worker holds a hundred."""
+    from leadlens.sources import html_links as HL
+
+    rows = [(i, f"<div class='server-card'><a href='/x{i}'>free trial {i}</a></div>", "https://a.example/") for i in range(3)] + [(3, None, None)]
+    pages = spark.createDataFrame(rows, "payload_id bigint, body string, page_url string")
+    read = {
+        "links": pages.select(H.links(F.col("body"), F.col("page_url")).alias("x")),
+        "cards": pages.select(H.cards(F.col("body"), F.col("page_url")).alias("x")),
+        "contexts": pages.select(H.links_in_context(F.col("body"), HL.DEAL_PATTERN.replace("U", "", 1)).alias("x")),
+    }
+    for name, frame in read.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan, name
+    found = HL.page_links(pages).select("payload_id", "item.href", "item.text").collect()
+    assert sorted(map(tuple, found)) == [(i, f"https://a.example/x{i}", f"free trial {i}") for i in range(3)]
+    assert [len(r["x"]["links"]) for r in read["contexts"].collect()] == [1, 1, 1, 0]
