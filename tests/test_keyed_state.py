@@ -186,6 +186,73 @@ def test_only_changed_keys_are_written(spark, tmp_path):
     assert got == {1: 48.0, 2: None, 3: None}
 
 
+def test_a_stream_is_read_once(spark, tmp_path):
+    """What stands before ingest, with its state, runs once for rows and mentions together."""
+    import json
+
+    from leadlens.streaming import streams as ST
+
+    names = [["*.llm-a.com", f"api.shop{i % 3}.net", "brand.ai", "free.token.dev"] for i in range(40)]
+    body = [json.dumps({"message_type": "certificate_update", "data": {"leaf_cert": {"all_domains": n}}}) for n in names]
+    df = spark.createDataFrame(list(enumerate(body)), "ingest_seq long, body string")
+    df = df.withColumn("received_at", F.timestamp_seconds(F.col("ingest_seq") * 7200 + 1_700_000_000))
+    source, root = str(tmp_path / "in"), str(tmp_path / "stream")
+    landed(df, source, 2)
+    query = KY.start_ingest(ST.certificate_signals(stream_of(spark, df, source)), root, as_of(), partitions=2)
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 40
+    assert [o["operatorName"] for o in query.recentProgress[0]["stateOperators"]].count("dedupeWithinWatermark") == 1
+    got = {r["raw_text"] for r in KY.read_state(spark, root, "signals").collect()}
+    assert got == {"llm-a.com", "free.token.dev"}
+
+
+def test_a_classifier_sees_kept_rows_only(spark, signals, tmp_path):
+    """A classifier of the caller's own may drop rows; their mentions stay, as they do in a batch."""
+    def classifier(rows):
+        return I.rule_classifier(rows.where("raw_text NOT LIKE '%promo%'"))
+
+    df = posts(signals, 90)
+    source, root, batch = (str(tmp_path / n) for n in ("in", "stream", "batch"))
+    landed(df, source, 2)
+    job = IngestJob(classifier=classifier)
+    KY.start_ingest(stream_of(spark, df, source), root, as_of(), job).awaitTermination()
+    job.run(df, None, batch, as_of())
+    same(spark, root, batch)
+
+
+def test_mentions_of_a_domain_pass_as_one():
+    import json
+
+    from pyspark.sql import Row
+
+    def mention(domain, n, high):
+        at = json.dumps({"ingest_seq": n, "place": None, "pos": 0, "source": f"s{n}", "tie": None})
+        body = json.dumps({"high": high, "source": f"s{n}"})
+        return Row(digest=None, named=None, domain=domain, to=7, as_of=0, at=at, body=body, signal=None)
+
+    first = KY.FirstOfKey()
+    first.init(_Handle())
+    rows = [mention("a.ai", 2, True), mention("a.ai", 1, False), mention("b.ai", 4, False), mention("a.ai", 3, False)]
+    out = {row["domain"]: (row["kind"], row["part"], json.loads(row["body"])) for row in first.handleInputRows((7,), iter(rows), None)}
+    assert out == {"a.ai": ("mention", 7, {"high": True, "source": "s1"}), "b.ai": ("mention", 7, {"high": False, "source": "s4"})}
+
+
+def test_landed_files_can_be_split(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from checks import streams as S
+
+    orders = spark.range(0, 600_000, 1, 1).select(
+        F.col("id").alias("o_orderkey"), F.xxhash64("id").alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+        F.rand(1).alias("o_totalprice"), F.timestamp_seconds("id").alias("o_orderdate"), F.lit("1").alias("o_orderpriority"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    S._landed(spark, str(tmp_path), str(tmp_path), 1)
+    files = [f for f in os.listdir(f"{tmp_path}/landed") if f.endswith(".parquet")]
+    kept = [pq.ParquetFile(f"{tmp_path}/landed/{f}").metadata for f in files]
+    assert sum(m.num_rows for m in kept) == 600_000 and max(m.num_row_groups for m in kept) > 2
+
+
 class _Map:
     """A map state that counts what it is asked."""
 

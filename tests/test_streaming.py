@@ -21,6 +21,21 @@ def test_certificate_messages(spark):
     assert got == {("llm.foo.com", "force"), ("bar.net", "candidate"), ("brand.ai", "candidate")}
 
 
+def test_certificate_messages_are_parsed_once(spark):
+    """Also where Spark derives filters from what is exploded, and where kind and target share a test."""
+    rows = [
+        (1, message("certificate_update", "*.LLM.Foo.com", "", "API.Bar.net", "plain.com", "gpt.googleapis.com", "Brand.ai", None)),
+        (2, message("certificate_update")), (3, message("heartbeat", "gpt.x")), (4, "broken"), (5, None), (6, '{"message_type": "certificate_update"}'),
+    ]
+    df = spark.createDataFrame(rows, "id long, body string")
+    hosts = CT.message_hosts(df)
+    assert sorted((r["id"], r["pos"][0], r["kind"], r["target"]) for r in hosts.collect()) == [
+        (1, 0, "force", "LLM.Foo.com"), (1, 2, "candidate", "bar.net"), (1, 5, "candidate", "brand.ai"),
+    ]
+    plan = hosts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("deepseek") == 1
+
+
 def test_stream_drops_repeats_within_horizon(spark, tmp_path):
     source = tmp_path / "in"
     schema = "body string, received_at timestamp"
