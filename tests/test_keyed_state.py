@@ -311,3 +311,38 @@ def test_long_texts_pass_whole(spark, signals, tmp_path):
     KY.start_ingest(spark.readStream.schema(df.schema).parquet(source), root, as_of(), partitions=1).awaitTermination()
     got = KY.read_state(spark, root, "signals").select(F.sha2("raw_text", 256).alias("h"))
     assert rows_of(got) == rows_of(df.select(F.sha2("raw_text", 256).alias("h")))
+
+
+def test_repeats_are_not_labelled(spark, signals, tmp_path, monkeypatch):
+    """Nothing is labelled before the state has told repeats apart; their mentions count all the same."""
+    streams, rules = [], I.rule_classifier
+    monkeypatch.setattr(I, "rule_classifier", lambda rows, lex: streams.append(rows.isStreaming) or rules(rows, lex))
+    rows = [
+        {"source": "s", "raw_text": f"free trial at https://{d}.ai with opus", "source_url": "u", "observed_at": "2026-05-01 00:00:00"}
+        for d in ("alpha1", "alpha2", "alpha3", "alpha4")
+    ]
+    df, source, root = signals(rows), str(tmp_path / "in"), str(tmp_path / "stream")
+    landed(df, source, 2)
+    KY.start_ingest(stream_of(spark, df, source), root, as_of(), partitions=2).awaitTermination()
+    assert streams == [False, False]
+    assert [r["canonical_domain"] for r in KY.read_state(spark, root, "services").collect()] == ["alpha1.ai"]
+    assert KY.read_state(spark, root, "signals").count() == 1 and KY.read_state(spark, root, "candidates").count() == 4
+
+
+def test_frames_pass_as_rows_do():
+    import hashlib
+    import json
+
+    import pandas as pd
+
+    at = lambda n: json.dumps({"ingest_seq": n, "source": "s", "tie": n})
+    rows = [
+        (7, hashlib.sha256(b"%d" % (i // 2)).digest()[:16], True, None, 0, at(i), f'{{"said": {i}}}' if i % 3 else None, f'{{"id": {i}}}')
+        for i in range(100)
+    ] + [(7, None, False, None, 0, None, '{"said": 100}', None)]
+    first = KY.FramesOfKeys()
+    first.init(_Handle())
+    frames = [pd.DataFrame(rows[k::2], columns=KY._In._fields) for k in (1, 0)]
+    out = pd.concat(first.handleInputRows((7,), iter(frames), None))
+    texts = {kind: sorted(v for t in part["body"] for e in json.loads(t) for v in e.values()) for kind, part in out.groupby("kind")}
+    assert texts == {"signals": list(range(0, 100, 2)), "mentions": [i for i in range(100) if i % 3] + [100]}
