@@ -346,3 +346,12 @@ def test_frames_pass_as_rows_do():
     out = pd.concat(first.handleInputRows((7,), iter(frames), None))
     texts = {kind: sorted(v for t in part["body"] for e in json.loads(t) for v in e.values()) for kind, part in out.groupby("kind")}
     assert texts == {"signals": list(range(0, 100, 2)), "mentions": [i for i in range(100) if i % 3] + [100]}
+
+
+def test_a_mention_is_looked_for_once(spark, signals):
+    """Where a host stands is found once, in a text that is lower-cased once, and only for hosts that may be candidates."""
+    df = I.normalize(signals([{"source": "s", "raw_text": "Free trial at https://Alpha1.ai and https://x.com, or Beta22.dev " + "x " * 90 + "tail9.io"}]))
+    found = df.select(F.explode(I.mention_array()).alias("m")).select("m.*")
+    assert [tuple(r) for r in found.collect()] == [(0, "alpha1.ai", True), (2, "beta22.dev", True), (3, "tail9.io", False)]
+    plan = df.select(I.mention_array().alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
